@@ -8,10 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakequill.llm import bpe_codec, packing, token_counts
+from lakequill.llm import bpe_codec, ngram_join, packing, token_counts
 from lakequill.llm.common import table
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose five-word shingle sets have a Jaccard similarity of 0.75 or more."""
+    return ngram_join.components(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, counted in flat token files of all documents."""
     path, end = public_tokenizers.path("word_bpe_49k.json"), 49407
@@ -31,6 +36,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_ngram_jaccard": op3_ngram_jaccard,
     "op7_token_counts": op7_token_counts,
     "op8_packing": op8_packing,
     "op10_bpe": op10_bpe,
