@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakequill.llm import bpe_codec, ngram_join, packing, token_counts
+from lakequill.llm import bpe_codec, ngram_join, packing, perspectives, pivot_search, sharding, token_counts
 from lakequill.llm.common import table
 
 
@@ -17,6 +17,16 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.components(table(spark, sf_dir, "documents"))
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen contiguous shards of all documents with near-equal bytes."""
+    return sharding.shard_by_bytes(table(spark, sf_dir, "documents"), 16)
+
+
+def op5_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every dialogue from every participant's side, turn by turn, with loss masks."""
+    return perspectives.rotate(table(spark, sf_dir, "conversations"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, counted in flat token files of all documents."""
     path, end = public_tokenizers.path("word_bpe_49k.json"), 49407
@@ -35,10 +45,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.map_codec(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), bpe_codec.digest, schema)
 
 
+def op9_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten best inner products for every hundredth vector, against all vectors."""
+    return pivot_search.top_k(table(spark, sf_dir, "embeddings"), lambda i: i % 100 == 0, 10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ngram_jaccard": op3_ngram_jaccard,
+    "op4_sharding": op4_sharding,
+    "op5_chat_perspectives": op5_chat_perspectives,
     "op7_token_counts": op7_token_counts,
     "op8_packing": op8_packing,
+    "op9_pivot_topk": op9_pivot_topk,
     "op10_bpe": op10_bpe,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_chat_perspectives": perspectives.ORACLE, "op9_pivot_topk": pivot_search.ORACLE}
