@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakequill.llm import bpe_codec, ngram_join, packing, perspectives, pivot_search, sharding, token_counts
+from lakequill.llm import bpe_codec, ngram_join, packing, perspectives, pivot_search, sharding, token_counts, toxicity
 from lakequill.llm.common import table
 
 
@@ -27,6 +27,12 @@ def op5_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perspectives.rotate(table(spark, sf_dir, "conversations"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score for every document, from a machine trained outside the held-out fifth of the labels."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, counted in flat token files of all documents."""
     path, end = public_tokenizers.path("word_bpe_49k.json"), 49407
@@ -54,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_sharding": op4_sharding,
     "op5_chat_perspectives": op5_chat_perspectives,
+    "op6_toxicity": op6_toxicity,
     "op7_token_counts": op7_token_counts,
     "op8_packing": op8_packing,
     "op9_pivot_topk": op9_pivot_topk,
