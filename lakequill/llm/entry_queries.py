@@ -8,10 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakequill.llm import bpe_codec, ngram_join, packing, perspectives, pivot_search, sharding, token_counts, toxicity
+from lakequill.llm import bpe_codec, line_dedup, ngram_join, packing, perspectives, pivot_search, sharding, token_counts, toxicity
 from lakequill.llm.common import table
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that are the same as, or much like, an earlier one."""
+    return line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose five-word shingle sets have a Jaccard similarity of 0.75 or more."""
     return ngram_join.components(table(spark, sf_dir, "documents"))
@@ -57,6 +62,7 @@ def op9_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_line_dedup": op2_line_dedup,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_sharding": op4_sharding,
     "op5_chat_perspectives": op5_chat_perspectives,
