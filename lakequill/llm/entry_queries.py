@@ -8,10 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakequill.llm import bpe_codec, line_dedup, ngram_join, packing, perspectives, pivot_search, sharding, token_counts, toxicity
+from lakequill.llm import bpe_codec, line_dedup, media, ngram_join, packing, perspectives, pivot_search, sharding, token_counts, toxicity
 from lakequill.llm.common import table
 
 
+def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text stored as a bitmap without a declared type, sniffed, carved out and read back."""
+    return media.digest(media.store_texts(table(spark, sf_dir, "documents")))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that are the same as, or much like, an earlier one."""
     return line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -62,6 +67,7 @@ def op9_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_media": op1_media,
     "op2_line_dedup": op2_line_dedup,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_sharding": op4_sharding,
