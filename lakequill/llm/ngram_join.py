@@ -6,8 +6,10 @@ and the components of those links are cut into groups of a bounded size. Each gr
 its row of the matrix. A document (the query) can only link into a group whose union holds at least
 75 in 100 of its tokens, so
 
-* a query meets a group only if a token of its prefix (its rarest quarter) is in the prefix part of
+* a query meets a group only if tokens of its prefix (its rarest quarter) are in the prefix part of
   the group's row, the sizes allow a link, and the two are not yet in one component;
+* the tokens met there and the longer of the rests behind the prefixes bound the overlap, which must
+  reach what a link needs;
 * for those, the whole overlap with the group's union is the bound; and
 * only groups that pass the bound are opened, member by member, until a link is found.
 
@@ -36,7 +38,9 @@ from lakequill.llm.shingles import mix, shingle_sets
 
 #: Most tokens that are ranked by count; their table goes to every worker, 16 bytes each.
 RANKED = 1 << 18
-BANDS, ROWS = 6, 3
+BANDS, ROWS = 12, 3
+#: Rows of (document, group) up to which they are sent to the texts; beyond it the texts are shuffled to them. About 50 bytes each.
+SENT = 150_000
 #: Shingles that are counted together before a task lets go of them.
 COUNTED = 1 << 22
 GROUP = 24
@@ -168,8 +172,11 @@ def verified(docs: DataFrame, pairs: DataFrame, members: DataFrame, sizes: DataF
         .select("doc", "g", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("member"))
         .unionByName(members.join(parts, "g").select("doc", "g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("member")))
     )
+    wanted = checkpointed(wanted)
     texts = docs.select(F.col("doc_id").alias("doc"), "text")
-    return wanted.join(texts, "doc").groupBy("g", "part").applyInPandas(_open, "a long, b long")
+    if wanted.count() <= SENT:
+        wanted = F.broadcast(wanted)
+    return texts.join(wanted, "doc").select("doc", "g", "part", "member", "text").groupBy("g", "part").applyInPandas(_open, "a long, b long")
 
 
 def components(docs: DataFrame) -> DataFrame:
@@ -221,9 +228,12 @@ def components(docs: DataFrame) -> DataFrame:
         postings.select("token", "doc", "n", F.col("comp").alias("own"))
         .join(matrix, "token")
         .where("own > comp and 100 * n >= 75 * least and 75 * n <= 100 * most")
-        .select("doc", "g")
-        .distinct()
+        .groupBy("doc", "g")
+        .agg(F.count("*").alias("both"), F.first("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
     )
+    # a common token is in both prefixes, or behind the prefix that ends first; a prefix leaves ceil(3n/4) - 1 tokens
+    behind = F.expr("(3 * greatest(n, most) + 3) div 4 - 1")
+    met = met.where(7 * (F.col("both") + behind) >= 3 * (F.col("n") + F.col("least"))).select("doc", "g")
     met = checkpointed(met)
     members = group.select("doc", "g").join(met.select("g").distinct(), "g", "left_semi")
     second = checkpointed(verified(docs, met, members, sizes))
