@@ -32,7 +32,8 @@ def _scores(spark, d):
     return R.bm25(R.postings(docs, "doc_id", toks), R.collection(docs, toks), asked, "doc_id", "item_id")
 
 
-BM = [F.desc("score"), "doc_id"]
+def _bm():
+    return [F.desc("score"), "doc_id"]
 
 
 @query("d1_index_statistics", SQL(f"WITH {BASE} SELECT term, df, (SELECT CAST(sum(tf) AS BIGINT) FROM p x WHERE x.term = df.term) AS cf FROM df"))
@@ -48,7 +49,7 @@ def collection(spark, d):
 
 @query("f1_bm25_topk", SQL(f"WITH {BASE} SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 10"))
 def bm25_topk(spark, d):
-    return R.top_k(_scores(spark, d), ["item_id"], BM, 10)
+    return R.top_k(_scores(spark, d), ["item_id"], _bm(), 10)
 
 
 @query("c10_best_chunk_per_page", SQL(f"""WITH {BASE}, x AS (SELECT item_id, lang, doc_id, score, row_number() OVER (PARTITION BY item_id, lang ORDER BY score DESC, CAST(doc_id AS VARCHAR) DESC) AS r
@@ -62,7 +63,7 @@ def best_chunk(spark, d):
  FROM s JOIN documents USING (doc_id)) SELECT item_id, source, doc_id, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM x WHERE r = 1"""))
 def dedupe(spark, d):
     s = _scores(spark, d).join(_docs(spark, d).select("doc_id", "source"), "doc_id")
-    return R.ranked(R.best_per(s, ["item_id", "source"], BM), ["item_id"], BM).select("item_id", "source", "doc_id", "score", "rank")
+    return R.ranked(R.best_per(s, ["item_id", "source"], _bm()), ["item_id"], _bm()).select("item_id", "source", "doc_id", "score", "rank")
 
 
 @query("e1_rank_ties_in_order", SQL("SELECT o_orderkey, o_orderpriority, o_totalprice, CAST(row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS INTEGER) AS rank FROM orders"))
@@ -79,7 +80,7 @@ g AS (SELECT item_id, source, row_number() OVER (PARTITION BY item_id ORDER BY r
 
 def _channels(spark, d):
     docs = _docs(spark, d).select("doc_id", "source")
-    b = R.ranked(_scores(spark, d), ["item_id"], BM, "br", 0).where("br < 50").select("item_id", "doc_id", "br")
+    b = R.ranked(_scores(spark, d), ["item_id"], _bm(), "br", 0).where("br < 50").select("item_id", "doc_id", "br")
     g = b.where("br < 5").join(docs, "doc_id").groupBy("item_id", "source").agg(F.sum(1.0 / (F.col("br") + 1)).alias("w"))
     g = R.ranked(g, ["item_id"], [F.desc(F.round("w", 6)), "source"], "gr", 0).select("item_id", "source", "gr")
     return docs, b, g
@@ -109,7 +110,7 @@ def channel_union(spark, d):
 w AS (SELECT item_id // 4 AS family, item_id, doc_id, rank, CASE WHEN item_id % 4 = 0 THEN 2.0 ELSE 1.0 END AS weight FROM r)
 SELECT family, doc_id, round(sum(weight / (60 + rank)), 8) AS fused, CAST(min(rank) AS INTEGER) AS best_rank, count(*) AS matched FROM w GROUP BY ALL"""))
 def rrf_multi(spark, d):
-    r = R.top_k(_scores(spark, d), ["item_id"], BM, 30)
+    r = R.top_k(_scores(spark, d), ["item_id"], _bm(), 30)
     w = r.withColumn("family", F.floor(F.col("item_id") / 4)).withColumn("weight", F.when(F.col("item_id") % 4 == 0, 2.0).otherwise(1.0))
     return w.groupBy("family", "doc_id").agg(F.round(F.sum(F.col("weight") / (R.RRF + F.col("rank"))), 8).alias("fused"), F.min("rank").alias("best_rank"), F.count("*").alias("matched"))
 
@@ -158,7 +159,7 @@ x AS (SELECT item_id, doc_id, i, score, coalesce(CAST(e.label AS DOUBLE), -1) AS
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, i) AS rb, row_number() OVER (PARTITION BY item_id ORDER BY dense DESC, i) AS rd, row_number() OVER (PARTITION BY item_id ORDER BY rerank DESC, i) AS rr FROM x)
 SELECT item_id, doc_id, round(1.0 / (60 + rb) + 1.0 / (60 + rd) + 1.0 / (60 + rr), 6) AS fused FROM r"""))
 def rrf_three(spark, d):
-    b = R.ranked(_scores(spark, d), ["item_id"], BM, "i").where("i <= 50")
+    b = R.ranked(_scores(spark, d), ["item_id"], _bm(), "i").where("i <= 50")
     e = tbl(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").cast("double").alias("dense"))
     x = b.join(_docs(spark, d).select("doc_id", (F.length("text") % 7).cast("double").alias("rerank")), "doc_id").join(e, "doc_id", "left").withColumn("dense", F.coalesce("dense", F.lit(-1.0)))
     for name, by in (("rb", "score"), ("rd", "dense"), ("rr", "rerank")):
