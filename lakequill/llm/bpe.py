@@ -22,7 +22,7 @@ SHORT = 48
 NONE = np.int32(2**31 - 1)
 _BATCH_BYTES = 4_000_000
 #: Cached words per Python worker; the cache starts afresh beyond it, so that its memory is bounded.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 
 # The public patterns by which the two tokenizers split a text before merging.
 BYTE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""

@@ -1,7 +1,7 @@
 """N-gram Jaccard self-join by a token-group matrix, exact at its threshold.
 
 Documents with the same shingle set form a class; one document stands for it. Similar documents are
-then partitioned into groups: minhash buckets elect a leader, members are checked against it exactly,
+then partitioned into groups: minhash buckets elect two leaders, members are checked against them exactly,
 and the components of those links are cut into groups of a bounded size. Each group's token union is
 its row of the matrix. A document (the query) can only link into a group whose union holds at least
 75 in 100 of its tokens, so
@@ -190,7 +190,7 @@ def components(docs: DataFrame) -> DataFrame:
 
     # leaders of minhash buckets
     banded = reps.select("doc", F.explode("bands").alias("band"))
-    leaders = banded.groupBy("band").agg(F.min("doc").alias("g"), F.max("doc").alias("last")).where("g < last").select("band", "g")
+    leaders = banded.groupBy("band").agg(F.min("doc").alias("g"), F.max("doc").alias("last")).where("g < last").select("band", F.explode(F.array("g", "last")).alias("g"))
     pairs = checkpointed(banded.join(leaders, "band").where("doc <> g").select("doc", "g").distinct())
     first = checkpointed(verified(docs, pairs, pairs.select(F.col("g").alias("doc"), "g").distinct(), sizes))
     comps = checkpointed(connected_components(first))

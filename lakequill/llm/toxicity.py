@@ -37,7 +37,9 @@ ALIKE = 0.45
 COVER = 3
 _SPACE, _JOINER, _MARK = 0, 1, 2
 _LETTERS = 64
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
+#: Rows of a batch that are scored together.
+_ROWS = 256
 GAPS = [(a, b) for a, b in product(range(1, SPAN), repeat=2) if a + b < SPAN]
 
 
@@ -337,8 +339,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = shared.value.score([t or "" for t in b.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64())], names=["doc_id", "score"])
+            for lo in range(0, b.num_rows, _ROWS):
+                part = b.slice(lo, _ROWS)
+                s = shared.value.score([t or "" for t in part.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s, pa.float64())], names=["doc_id", "score"])
 
     scored = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -350,7 +354,9 @@ def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = shared.value.score([t or "" for t in b.column(b.schema.get_field_index("text")).to_pylist()])
-            yield b.filter(pa.array(s < 0.5))
+            for lo in range(0, b.num_rows, _ROWS):
+                part = b.slice(lo, _ROWS)
+                s = shared.value.score([t or "" for t in part.column(part.schema.get_field_index("text")).to_pylist()])
+                yield part.filter(pa.array(s < 0.5))
 
     return docs.mapInArrow(run, docs.schema)
