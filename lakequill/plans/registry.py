@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-MODULES = ["q_retrieval", "q_graph", "q_time", "q_resolve"]
+MODULES = ["q_retrieval", "q_graph", "q_time", "q_resolve", "q_extract"]
 
 
 def SQL(text: str) -> str:  # noqa: N802
