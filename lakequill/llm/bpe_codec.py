@@ -16,6 +16,9 @@ from pyspark.sql import DataFrame
 from lakequill.llm.bpe import encoder
 
 
+_ARROW = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
+
+
 def map_codec(docs: DataFrame, path: str, derive: Callable[[bytes, str], tuple], schema: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``derive(ids as little-endian 32-bit bytes, decoded text)`` for every row; ``schema`` names the key and what it returns.
 
@@ -29,10 +32,11 @@ def map_codec(docs: DataFrame, path: str, derive: Callable[[bytes, str], tuple],
                 continue
             texts = [t or "" for t in b.column(1).to_pylist()]
             rows = [derive(ids, bpe.decode(ids)) for ids in bpe.encode_many(texts)]
-            cols = [b.column(0), *(pa.array(c) for c in zip(*rows, strict=True))]
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+            cols = [b.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))]
+            yield pa.RecordBatch.from_arrays(cols, names=list(names))
 
-    names = [c.split()[0] for c in schema.split(",")]
+    names, types = zip(*(c.split() for c in schema.split(",")), strict=True)
+    kinds = [_ARROW[t] for t in types[1:]]
     return docs.select(key, text).mapInArrow(run, schema)
 
 
