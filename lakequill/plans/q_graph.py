@@ -12,7 +12,7 @@ from lakequill.plans.registry import SQL, query, tbl
 LINKS = Fixture("links", "src string, dst string, kind string, source string, pos int", [
     ("A", "B", "link", None, 1), ("B", "A", "link", None, 1), ("A", "C", "link", None, 2), ("A", "S1", "fm-source", None, 3), ("B", "S1", "fm-source", None, 2),
     ("C", "S2", "fm-source", None, 1), ("D", "S2", "fm-source", None, 1), ("P", "H", "claim-link", "S1", 1), ("P", "I", "claim-link", "S1", 2), ("P", "I", "claim-link", "S2", 3),
-    ("P", "S1", "claim-cite", "S1", 4), ("Q", "H", "link", None, 1), ("H", "P", "fm-related", None, 1), ("G", "A", "fm-related", None, 1), ("I", "I", "link", None, 1),
+    ("P", "S3", "claim-cite", "S1", 4), ("Q", "H", "link", None, 1), ("H", "P", "fm-related", None, 1), ("G", "A", "fm-related", None, 1), ("I", "I", "link", None, 1),
 ])
 RANK = "CASE kind WHEN 'claim-link' THEN 5 WHEN 'claim-cite' THEN 4 WHEN 'link' THEN 3 WHEN 'fm-source' THEN 2 ELSE 1 END"
 WEIGHT = "CASE kind WHEN 'claim-link' THEN 1.5 WHEN 'claim-cite' THEN 1.0 WHEN 'link' THEN 1.0 WHEN 'fm-source' THEN 0.6 ELSE 0.4 END"
