@@ -4,8 +4,8 @@ Lines are keyed by two 64-bit hashes, so equal lines are one class. Each class g
 MinHash of its character shingles: the shingles of a line are generated, hashed and reduced to the least
 hash of each of ``BANDS * ROWS`` bins in one code-generated aggregate. Bands of ``ROWS`` minima are
 buckets; in each bucket every class is held against the class with the least key, and, where that leaves
-a bucket in several components, the components' members against each other's least members, until
-nothing more links. A pair links if the exact Jaccard similarity of its shingle sets is ``SIMILAR`` or
+a bucket in several components, against further classes drawn by lot, more in each round, until any two
+classes of the bucket have been compared or are in one component. A pair links if the exact Jaccard similarity of its shingle sets is ``SIMILAR`` or
 more. Distributed union-find over the links keeps, of each component, the first line by document id and
 line number.
 
@@ -114,25 +114,30 @@ def duplicate_lines(docs: DataFrame, max_rounds: int = 20) -> tuple[DataFrame, D
     bucket = W.partitionBy("band")
     buckets = checkpointed(banded(rows).withColumn("o1", F.min("h1").over(bucket)).withColumn("most", F.max("h1").over(bucket)).where("o1 < most").select("band", "h1", "o1"))
     texts = checkpointed(fetch(rows, buckets.select("h1").distinct()))
-    pairs = checkpointed(buckets.where("h1 <> o1").select("h1", "o1").distinct())
-    keyed = buckets.select("band", "h1").join(texts.select("h1", _node("h1", "h2").alias("node")), "h1")
-    links, tried, comps = [], pairs, None
-    for _ in range(max_rounds):
+    left = buckets.join(texts.select("h1", _node("h1", "h2").alias("node")), "h1").select("band", "h1", "node", (F.col("h1") == F.col("o1")).alias("rep"), F.col("node").alias("root"))
+    links, tried, comps = [], [], None
+    for k in range(1, max_rounds + 1):
+        # the elected against all of their bucket that is not in their component; then they have met all of it
+        reps = left.where("rep").select("band", F.col("h1").alias("o1"), F.col("root").alias("other"))
+        met = left.join(reps, "band").where("root <> other and h1 <> o1 and (not rep or h1 > o1)")
+        met = met.select(F.greatest("h1", "o1").alias("h1"), F.least("h1", "o1").alias("o1")).distinct()
+        for old in tried:
+            met = met.join(old, ["h1", "o1"], "left_anti")
+        pairs = checkpointed(met)
+        tried.append(pairs)
         found = checkpointed(verified(texts, pairs))
-        if comps is not None and not found.limit(1).count():
+        if comps is None or found.limit(1).count():
+            links.append(found)
+            comps = checkpointed(connected_components(reduce(DataFrame.unionByName, links)))
+        # buckets that still hold several components elect anew, by lot, four times as many; in the end all that are left
+        owned = left.where("not rep").select("band", "h1", "node").join(comps, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        several = owned.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("crowd")).where("lo < hi").select("band", "crowd")
+        lot = F.pmod(F.xxhash64("h1", F.lit(k)), F.col("crowd")) < 4**k
+        left = checkpointed(owned.join(several, "band").select("band", "h1", "node", lot.alias("rep"), "root"))
+        if not left.limit(1).count():
             break
-        links.append(found)
-        comps = checkpointed(connected_components(reduce(DataFrame.unionByName, links)))
-        # what a bucket still holds of several components: members of the others against a member of the least
-        owned = keyed.join(comps, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        several = owned.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band", "lo")
-        apart = owned.join(several, "band")
-        inside = apart.where("root = lo").groupBy("band").agg(F.min("h1").alias("o1"))
-        met = apart.where("root <> lo").join(inside, "band").select("h1", "o1").distinct()
-        pairs = checkpointed(met.join(tried, ["h1", "o1"], "left_anti"))
-        if not pairs.limit(1).count():
-            break
-        tried = checkpointed(tried.unionByName(pairs))
+    else:
+        raise RuntimeError("duplicate_lines: classes of a bucket are left that have not met; raise max_rounds")
     roots = classes.join(texts.select("h1", "h2"), ["h1", "h2"], "left_semi").withColumn("node", _node("h1", "h2")).join(comps, "node").select("h1", "h2", "root", "doc_id", "line_no")
     kept = roots.groupBy("root").agg(F.min(F.struct("doc_id", "line_no")).alias("keep"))
     fuzzy = checkpointed(roots.join(kept, "root").select("h1", "h2", "keep.doc_id", "keep.line_no"))
