@@ -27,8 +27,6 @@ from lakequill.llm.common import checkpointed, connected_components
 
 SHINGLE, BANDS, ROWS = 8, 7, 4
 SIMILAR = 0.75
-#: Shingles that a bin is left with, on average, by the bound on hashes: an emptied bin (5 in 1000) takes its neighbour's.
-BIN_LOAD = 5
 #: Rows up to which keys or line numbers are sent to the texts, when their number has been counted; beyond it the texts are shuffled to them.
 SENT_KEYS, SENT_NUMBERS = 200_000, 1_500_000
 #: Shingles of a line that are looked for in the other before the sets are made, and the share of them that must be there.
@@ -54,11 +52,9 @@ def banded(rows: DataFrame) -> DataFrame:
     Equal lines fall together before the shuffle. A band without any shingle has no row.
     """
     body = rows.select("h1", F.encode("line", "UTF-16BE").alias("body"))
-    # hashes above the bound can hardly be the least of their bin in a line of this length
-    body = body.withColumn("bound", F.expr(f"cast(16777216 * least(1D, {BIN_LOAD * _BINS}D / greatest(1, length(body) div 2 - {SHINGLE - 1})) as int)"))
-    each = body.select("h1", "bound", "body", F.explode(F.expr(_offsets("body"))).alias("k"))
-    each = each.select("h1", "bound", F.expr(f"shiftrightunsigned(xxhash64(substring(body, k, {2 * SHINGLE})), 32) * {_BINS}").alias("at"))
-    each = each.select("h1", "bound", "at", F.expr("cast(shiftrightunsigned(at & 4294967295, 8) as int)").alias("v")).where("v < bound")
+    each = body.select("h1", "body", F.explode(F.expr(_offsets("body"))).alias("k"))
+    each = each.select("h1", F.expr(f"shiftrightunsigned(xxhash64(substring(body, k, {2 * SHINGLE})), 32) * {_BINS}").alias("at"))
+    each = each.select("h1", "at", F.expr("cast(shiftrightunsigned(at & 4294967295, 8) as int)").alias("v"))
     each = each.select("h1", "v", F.expr("cast(shiftright(at, 32) as int)").alias("bin")).select("h1", "v", F.expr(f"bin div {ROWS}").cast("int").alias("g"), F.expr(f"bin % {ROWS}").alias("r"))
     least = each.groupBy("h1", "g").agg(*[F.min(F.when(F.col("r") == j, F.col("v"))).alias(f"m{j}") for j in range(ROWS)])
     filled = [F.coalesce(*[F.col(f"m{(j + i) % ROWS}") for i in range(ROWS)]) for j in range(ROWS)]

@@ -24,3 +24,10 @@ def test_all_components_of_a_bucket_meet(spark, monkeypatch):
     assert kept(spark, pairs) == list(range(0, 24, 2))
     with pytest.raises(RuntimeError):
         line_dedup.duplicate_lines(spark.createDataFrame(list(enumerate(pairs)), SCHEMA), max_rounds=1)
+
+
+def test_long_repetitive_line_has_its_near_copy(spark):
+    r = random.Random(2)
+    phrase = " ".join("".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(13)) + " "
+    long = phrase * 360
+    assert kept(spark, [long, long + "near"]) == [0]
