@@ -29,8 +29,6 @@ SHINGLE, BANDS, ROWS = 8, 7, 4
 SIMILAR = 0.75
 #: Rows up to which keys or line numbers are sent to the texts, when their number has been counted; beyond it the texts are shuffled to them.
 SENT_KEYS, SENT_NUMBERS = 200_000, 1_500_000
-#: Shingles of a line that are looked for in the other before the sets are made, and the share of them that must be there.
-PROBES, PROBED = 24, 0.35
 _BINS = BANDS * ROWS
 
 
@@ -61,39 +59,41 @@ def banded(rows: DataFrame) -> DataFrame:
     return least.select("h1", F.xxhash64("g", *filled).alias("band"))
 
 
-def _shingles(column: str):
-    return F.array_distinct(F.expr(f"transform({_offsets(column)}, k -> xxhash64(substring({column}, k, {2 * SHINGLE})))"))
+def _shingles(column):
+    """Hashes of all shingles of a line's UTF-16 form, with repeats."""
+    at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(column) - (2 * SHINGLE - 1)), F.lit(2))
+    return F.transform(at, lambda k: F.xxhash64(F.substring(column, k, F.lit(2 * SHINGLE))))
 
 
 def fetch(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """``(h1, h2, line)``, one row for each line whose first hash is in ``keys(h1)``."""
+    """``(h1, h2, line, n)``, one row with the number of distinct shingles for each line whose first hash is in ``keys(h1)``."""
     keys = checkpointed(keys)
     if keys.count() <= SENT_KEYS:
         keys = F.broadcast(keys)
     one = rows.join(keys, "h1", "left_semi").select("h1", "h2", "doc_id", "line_no", "line")
-    return one.groupBy("h1", "h2").agg(F.max("line").alias("line"))
+    one = one.groupBy("h1", "h2").agg(F.max("line").alias("line"))
+    # in a lambda of its own, or the optimizer would encode the line anew for each shingle
+    distinct = F.transform(F.array(F.encode("line", "UTF-16BE")), lambda x: F.size(F.array_distinct(_shingles(x))))
+    return one.select("h1", "h2", "line", F.get(distinct, F.lit(0)).alias("n"))
+
+
+def _sized(n: str, m: str):
+    """Whether sets of ``n`` and ``m`` shingles can be similar at all."""
+    return F.least(n, m) >= SIMILAR * F.greatest(n, m)
 
 
 def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """Of ``pairs(h1, o1)`` those whose lines are similar, as ``(a, b)`` of their full keys."""
-    mine = texts.select("h1", _node("h1", "h2").alias("a"), "line")
-    other = texts.select(F.col("h1").alias("o1"), _node("h1", "h2").alias("b"), F.col("line").alias("other"))
-    met = pairs.join(mine, "h1").join(other, "o1").where("a <> b").where(_alike("line", "other"))
-    # one lambda and a checkpoint, as the optimizer would copy the shingle sets into each expression that uses them
-    pair = F.array(F.struct(_shingles("x").alias("x"), _shingles("y").alias("y")))
-    counted = F.transform(pair, lambda p: F.struct(F.size(F.array_intersect(p["x"], p["y"])).alias("both"), (F.size(p["x"]) + F.size(p["y"])).alias("sizes")))
-    sized = met.select("a", "b", F.encode("line", "UTF-16BE").alias("x"), F.encode("other", "UTF-16BE").alias("y")).select("a", "b", F.get(counted, F.lit(0)).alias("r"))
-    sized = checkpointed(sized).select("a", "b", "r.*")
+    mine = texts.select("h1", _node("h1", "h2").alias("a"), "line", "n")
+    other = texts.select(F.col("h1").alias("o1"), _node("h1", "h2").alias("b"), F.col("line").alias("other"), F.col("n").alias("m"))
+    met = pairs.join(mine, "h1").join(other, "o1").where("a <> b").where(_sized("n", "m"))
+    # one lambda and a checkpoint, as the optimizer would copy the shingles into each expression that uses them
+    pair = F.array(F.struct(F.encode("line", "UTF-16BE").alias("x"), F.encode("other", "UTF-16BE").alias("y")))
+    both = F.transform(pair, lambda p: F.size(F.array_intersect(_shingles(p["x"]), _shingles(p["y"]))))
+    sized = checkpointed(met.select("a", "b", (F.col("n") + F.col("m")).alias("sizes"), F.get(both, F.lit(0)).alias("both")))
     return sized.where(F.col("both") >= SIMILAR * (F.col("sizes") - F.col("both"))).select("a", "b")
 
 
-def _alike(a: str, b: str):
-    """Whether enough of ``PROBES`` shingles spread evenly over ``a`` stand in ``b``: similar lines share over twice as many, most others hardly any."""
-    last = f"greatest(1, length({a}) - {SHINGLE - 1})"
-    at = f"sequence(1, {last}, greatest(1, cast({last} div {PROBES} as int)))"
-    return F.expr(f"size(filter({at}, k -> contains({b}, substring({a}, k, {SHINGLE})))) >= {PROBED} * size({at})")
-
-
 def _node(a: str, b: str):
     return F.concat(F.hex(a), F.lit("-"), F.hex(b))
 
@@ -110,12 +110,12 @@ def duplicate_lines(docs: DataFrame, max_rounds: int = 20) -> tuple[DataFrame, D
     bucket = W.partitionBy("band")
     buckets = checkpointed(banded(rows).withColumn("o1", F.min("h1").over(bucket)).withColumn("most", F.max("h1").over(bucket)).where("o1 < most").select("band", "h1", "o1"))
     texts = checkpointed(fetch(rows, buckets.select("h1").distinct()))
-    left = buckets.join(texts.select("h1", _node("h1", "h2").alias("node")), "h1").select("band", "h1", "node", (F.col("h1") == F.col("o1")).alias("rep"), F.col("node").alias("root"))
+    left = buckets.join(texts.select("h1", _node("h1", "h2").alias("node"), "n"), "h1").select("band", "h1", "node", "n", (F.col("h1") == F.col("o1")).alias("rep"), F.col("node").alias("root"))
     links, tried, comps = [], [], None
     for k in range(1, max_rounds + 1):
         # the elected against all of their bucket that is not in their component; then they have met all of it
-        reps = left.where("rep").select("band", F.col("h1").alias("o1"), F.col("root").alias("other"))
-        met = left.join(reps, "band").where("root <> other and h1 <> o1 and (not rep or h1 > o1)")
+        reps = left.where("rep").select("band", F.col("h1").alias("o1"), F.col("root").alias("other"), F.col("n").alias("m"))
+        met = left.join(reps, "band").where("root <> other and h1 <> o1 and (not rep or h1 > o1)").where(_sized("n", "m"))
         met = met.select(F.greatest("h1", "o1").alias("h1"), F.least("h1", "o1").alias("o1")).distinct()
         for old in tried:
             met = met.join(old, ["h1", "o1"], "left_anti")
@@ -126,10 +126,10 @@ def duplicate_lines(docs: DataFrame, max_rounds: int = 20) -> tuple[DataFrame, D
             links.append(found)
             comps = checkpointed(connected_components(reduce(DataFrame.unionByName, links)))
         # buckets that still hold several components elect anew, by lot, four times as many; in the end all that are left
-        owned = left.where("not rep").select("band", "h1", "node").join(comps, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        owned = left.where("not rep").select("band", "h1", "node", "n").join(comps, "node", "left").withColumn("root", F.coalesce("root", "node"))
         several = owned.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("crowd")).where("lo < hi").select("band", "crowd")
         lot = F.pmod(F.xxhash64("h1", F.lit(k)), F.col("crowd")) < 4**k
-        left = checkpointed(owned.join(several, "band").select("band", "h1", "node", lot.alias("rep"), "root"))
+        left = checkpointed(owned.join(several, "band").select("band", "h1", "node", "n", lot.alias("rep"), "root"))
         if not left.limit(1).count():
             break
     else:

@@ -31,3 +31,14 @@ def test_long_repetitive_line_has_its_near_copy(spark):
     phrase = " ".join("".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(13)) + " "
     long = phrase * 360
     assert kept(spark, [long, long + "near"]) == [0]
+
+
+def test_line_with_a_long_rule_is_like_the_line(spark):
+    r = random.Random(3)
+    sentence = " ".join("".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(40))
+    texts = spark.createDataFrame(list(enumerate([sentence, sentence + "=" * 600])), SCHEMA)
+    rows = line_dedup.lines(texts)
+    found = line_dedup.fetch(rows, rows.select("h1"))
+    keys = [r["h1"] for r in found.orderBy("line").select("h1").collect()]
+    both = spark.createDataFrame([keys, keys[::-1]], "h1 long, o1 long")
+    assert line_dedup.verified(found, both).count() == 2
