@@ -32,5 +32,5 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left, packed into training sequences; documents without any text give none."""
-    return packing.pack(docs.where("text <> ''"), public_tokenizers.path("word_bpe_49k.json"), 1, packing.WINDOW)
+    """What is left, packed into training sequences; a document without text is its closing id."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), 1, packing.WINDOW)
