@@ -15,15 +15,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder of ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    """Cut the lineage in the folder of ``spark.checkpoint.dir``. Where that is unset, a local session gets a folder of its own; a cluster gets an error."""
+    sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        where = sc.getConf().get("spark.checkpoint.dir") or f"{tempfile.gettempdir()}/lakequill-{uuid.uuid4().hex}"
-        sc.setCheckpointDir(where)
+        where = sc.getConf().get("spark.checkpoint.dir")
+        if not where and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(where or f"{tempfile.gettempdir()}/lakequill-{uuid.uuid4().hex}")
     return df.checkpoint(eager=True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores behind it as long as ``df`` has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def nodes_of(edges: DataFrame) -> DataFrame:
+    """``(w)``: the nodes that hang on a smaller one."""
+    return edges.select(F.col("u").alias("w")).distinct()
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """Distributed union-find over ``edges(a long, b long)``: returns ``(node, root)``, root the smallest node reachable.
 
@@ -35,6 +49,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     both = edges.select("a", "b").where("a <> b")
     cur = checkpointed(both.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     nodes = cur
+    state = [F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.hash("v", "u").cast("long"))]
+    before = cur.agg(*state).first()
     for _ in range(max_rounds):
         sym = cur.select("u", "v").unionAll(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = sym.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -46,12 +62,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
             .where("u <> v")
             .distinct()
         )
-        nxt = checkpointed(small)
-        # fixed point: the same number of edges and none that leads elsewhere
-        moved = nxt.join(cur, ["u", "v"], "left_anti").limit(1).count() or nxt.count() != cur.count()
-        cur = nxt
-        if not moved:
+        cur = checkpointed(small)
+        after = cur.agg(*state).first()
+        if after == before and not cur.join(nodes_of(cur), F.col("v") == F.col("w"), "left_semi").limit(1).count():
             break
+        before = after
     else:
         raise RuntimeError("connected_components: no fixed point; raise max_rounds")
     roots = cur.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -1,34 +1,43 @@
 """Fuzzy line de-duplication by MinHash, in DataFrame operations only.
 
-Lines are keyed by two 64-bit hashes, so equal lines are one class. Each class gets a one-permutation
-MinHash of its character shingles: the shingles of a line are generated, hashed and reduced to the least
-hash of each of ``BANDS * ROWS`` bins in one code-generated aggregate. Bands of ``ROWS`` minima are
-buckets; in each bucket every class is held against the class with the least key, and, where that leaves
-a bucket in several components, against further classes drawn by lot, more in each round, until any two
-classes of the bucket have been compared or are in one component. A pair links if the exact Jaccard similarity of its shingle sets is ``SIMILAR`` or
-more. Distributed union-find over the links keeps, of each component, the first line by document id and
-line number.
+Equal lines, by two 64-bit hashes, are one class. Each class gets a one-permutation MinHash of its
+character shingles: the shingles of a line are generated, hashed and reduced to the least hash of each
+of ``BANDS * ROWS`` bins in one code-generated aggregate. Bands of ``ROWS`` minima are buckets.
+
+Links are found in two rounds. First every class of a bucket meets the bucket's leader, its least key,
+and the links join classes to components. Then each class outside its leader's component meets all
+classes of the bucket that are in another component. So any two classes of a bucket have been compared,
+or are in one component.
+
+A comparison has two steps, both exact. Each class has a bitmap of its shingles (``WORDS`` words); bits
+that only one of two classes has are shingles that only it has, which bounds the Jaccard similarity from
+above. Pairs that the bound leaves are verified on their whole shingle sets, and link if the similarity
+is ``SIMILAR`` in 100 or more. Distributed union-find over the links keeps, of each component, the first line by
+document id and line number.
 
 Defined cases: lines are split at line feeds; blank lines are kept and never compared; a line shorter
 than a shingle is one shingle; a null text stays null; documents without an id keep all their lines;
 rows with one id share their lines' places, so an equal line at the same place is kept in all of them; a
-document of which no line is left has an empty text; an empty table gives an empty result.
+document of which no line is left has an empty text; an empty table gives an empty result; all columns of
+the input are returned, and where it has a column of the name of an added one, the added one's name gets
+a trailing underscore.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lakequill.llm.common import checkpointed, connected_components
+from lakequill.llm.common import checkpointed, connected_components, free_name
 
 SHINGLE, BANDS, ROWS = 8, 7, 4
-SIMILAR = 0.75
-#: Rows up to which keys or line numbers are sent to the texts, when their number has been counted; beyond it the texts are shuffled to them.
-SENT_KEYS, SENT_NUMBERS = 200_000, 1_500_000
+SIMILAR = 75
+#: 64-bit words of a class's bitmap of shingles.
+WORDS = 32
+#: Characters of pairs that one task verifies; more tasks are made for more.
+TASK_CHARS = 2_000_000
+#: Rows, and bytes, that are sent to all tasks, when they have been counted; beyond them the texts are shuffled to them.
+SENT_ROWS, SENT_BYTES = 600_000, 48 << 20
 _BINS = BANDS * ROWS
 
 
@@ -38,9 +47,14 @@ def lines(docs: DataFrame) -> DataFrame:
     return cut.where(F.trim("line") != "").withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64("line", F.lit(7)))
 
 
-def _offsets(body: str) -> str:
-    """Byte offsets of the shingles in the UTF-16 form of a line, whose characters are two bytes each."""
-    return f"sequence(1, greatest(1, length({body}) - {2 * SHINGLE - 1}), 2)"
+def shingled(rows: DataFrame, *keep: str) -> DataFrame:
+    """``(*keep, h)``: the hash of each shingle of ``line``, with repeats; generated code all through.
+
+    Shingles are cut out of the UTF-16 form, whose characters are two bytes each.
+    """
+    at = f"explode(sequence(1, greatest(1, length(body) - {2 * SHINGLE - 1}), 2))"
+    body = rows.select(*keep, F.encode("line", "UTF-16BE").alias("body"))
+    return body.select(*keep, "body", F.expr(at).alias("k")).select(*keep, F.expr(f"xxhash64(substring(body, k, {2 * SHINGLE}))").alias("h"))
 
 
 def banded(rows: DataFrame) -> DataFrame:
@@ -49,9 +63,7 @@ def banded(rows: DataFrame) -> DataFrame:
     Grouping by band keeps the generated aggregate to ``ROWS`` minima, and small enough to be compiled.
     Equal lines fall together before the shuffle. A band without any shingle has no row.
     """
-    body = rows.select("h1", F.encode("line", "UTF-16BE").alias("body"))
-    each = body.select("h1", "body", F.explode(F.expr(_offsets("body"))).alias("k"))
-    each = each.select("h1", F.expr(f"shiftrightunsigned(xxhash64(substring(body, k, {2 * SHINGLE})), 32) * {_BINS}").alias("at"))
+    each = shingled(rows, "h1").select("h1", F.expr(f"shiftrightunsigned(h, 32) * {_BINS}").alias("at"))
     each = each.select("h1", "at", F.expr("cast(shiftrightunsigned(at & 4294967295, 8) as int)").alias("v"))
     each = each.select("h1", "v", F.expr("cast(shiftright(at, 32) as int)").alias("bin")).select("h1", "v", F.expr(f"bin div {ROWS}").cast("int").alias("g"), F.expr(f"bin % {ROWS}").alias("r"))
     least = each.groupBy("h1", "g").agg(*[F.min(F.when(F.col("r") == j, F.col("v"))).alias(f"m{j}") for j in range(ROWS)])
@@ -59,82 +71,118 @@ def banded(rows: DataFrame) -> DataFrame:
     return least.select("h1", F.xxhash64("g", *filled).alias("band"))
 
 
-def _shingles(column):
-    """Hashes of all shingles of a line's UTF-16 form, with repeats."""
-    at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(column) - (2 * SHINGLE - 1)), F.lit(2))
-    return F.transform(at, lambda k: F.xxhash64(F.substring(column, k, F.lit(2 * SHINGLE))))
+def sent(df: DataFrame) -> DataFrame:
+    """Marks a checkpointed table for sending to all tasks if its counted rows are few enough."""
+    return F.broadcast(df) if df.count() <= SENT_ROWS else df
 
 
-def fetch(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """``(h1, h2, line, n)``, one row with the number of distinct shingles for each line whose first hash is in ``keys(h1)``."""
-    keys = checkpointed(keys)
-    if keys.count() <= SENT_KEYS:
-        keys = F.broadcast(keys)
-    one = rows.join(keys, "h1", "left_semi").select("h1", "h2", "doc_id", "line_no", "line")
-    one = one.groupBy("h1", "h2").agg(F.max("line").alias("line"))
-    # in a lambda of its own, or the optimizer would encode the line anew for each shingle
-    distinct = F.transform(F.array(F.encode("line", "UTF-16BE")), lambda x: F.size(F.array_distinct(_shingles(x))))
-    return one.select("h1", "h2", "line", F.get(distinct, F.lit(0)).alias("n"))
+def crowded(bands: DataFrame) -> DataFrame:
+    """``(band, h1, o1)``: the rows of bands that hold several keys, with the least of them."""
+    many = bands.groupBy("band").agg(F.min("h1").alias("o1"), F.max("h1").alias("most")).where("o1 < most").select("band", "o1")
+    return checkpointed(bands.join(sent(checkpointed(many)), "band").select("band", "h1", "o1"))
 
 
-def _sized(n: str, m: str):
-    """Whether sets of ``n`` and ``m`` shingles can be similar at all."""
-    return F.least(n, m) >= SIMILAR * F.greatest(n, m)
+def fetch(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(cid, h1, line, p)`` for ``wanted(cid, h1, doc_id, line_no)``: the line at that place, and its number of shingles with repeats."""
+    wanted = checkpointed(wanted)
+    at = ["h1", "doc_id", "line_no"]
+    texts = rows.join(sent(wanted), at).select("cid", "h1", "line", F.greatest(F.lit(1), F.expr(f"length(encode(line, 'UTF-16BE')) div 2 - {SHINGLE - 1}")).cast("int").alias("p"))
+    texts = checkpointed(texts)
+    # several rows of one id give a place several times
+    return checkpointed(texts.dropDuplicates(["cid"])) if texts.count() > wanted.count() else texts
 
 
-def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of ``pairs(h1, o1)`` those whose lines are similar, as ``(a, b)`` of their full keys."""
-    mine = texts.select("h1", _node("h1", "h2").alias("a"), "line", "n")
-    other = texts.select(F.col("h1").alias("o1"), _node("h1", "h2").alias("b"), F.col("line").alias("other"), F.col("n").alias("m"))
-    met = pairs.join(mine, "h1").join(other, "o1").where("a <> b").where(_sized("n", "m"))
-    # one lambda and a checkpoint, as the optimizer would copy the shingles into each expression that uses them
-    pair = F.array(F.struct(F.encode("line", "UTF-16BE").alias("x"), F.encode("other", "UTF-16BE").alias("y")))
-    both = F.transform(pair, lambda p: F.size(F.array_intersect(_shingles(p["x"]), _shingles(p["y"]))))
-    sized = checkpointed(met.select("a", "b", (F.col("n") + F.col("m")).alias("sizes"), F.get(both, F.lit(0)).alias("both")))
-    return sized.where(F.col("both") >= SIMILAR * (F.col("sizes") - F.col("both"))).select("a", "b")
+def bitmaps(texts: DataFrame) -> DataFrame:
+    """``(cid, p, w, bits)``: the bitmap of a class's shingles in words, and how many bits are set. One shuffle, of the lines."""
+    spread = texts.select("cid", "p", "line").repartition("cid")
+    each = shingled(spread, "cid", "p").select("cid", "p", F.expr(f"cast(shiftrightunsigned(h, 6) & {WORDS - 1} as int)").alias("j"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("w"))
+    word = each.groupBy("cid", "p", "j").agg(F.bit_or("w").alias("w"))
+    flat = word.groupBy("cid", "p").agg(*[F.bit_or(F.when(F.col("j") == i, F.col("w")).otherwise(F.lit(0).cast("long"))).alias(f"w{i}") for i in range(WORDS)])
+    words = F.array(*[f"w{i}" for i in range(WORDS)])
+    return checkpointed(flat.select("cid", "p", words.alias("w")).withColumn("bits", _summed(F.transform("w", F.bit_count))))
+
+
+def _summed(counts):
+    return F.aggregate(counts, F.lit(0), lambda s, x: s + x)
 
 
-def _node(a: str, b: str):
-    return F.concat(F.hex(a), F.lit("-"), F.hex(b))
+def _side(maps: DataFrame, side: str) -> DataFrame:
+    return maps.select(*[F.col(c).alias(f"{side}_{c}") for c in maps.columns])
 
 
-def duplicate_lines(docs: DataFrame, max_rounds: int = 20) -> tuple[DataFrame, DataFrame]:
+def _near():
+    """Whether two classes ``a_`` and ``b_`` can be similar: u bits are only a's, v only b's; then at most a_p - u and b_p - v shingles are common, and u + v are not.
+
+    The words are an array: over as many columns and a long sum the optimizer takes minutes.
+    """
+    sized = 100 * F.least("a_p", "b_p") >= SIMILAR * F.greatest("a_bits", "b_bits")
+    apart = _summed(F.zip_with("a_w", "b_w", lambda x, y: F.bit_count(x.bitwiseXOR(y))))
+    # 2u = apart + a_bits - b_bits, 2v = apart - a_bits + b_bits; similar: (100 - SIMILAR) * common >= SIMILAR * (u + v)
+    common = F.least(2 * F.col("a_p") - F.col("a_bits") + F.col("b_bits"), 2 * F.col("b_p") - F.col("b_bits") + F.col("a_bits"))
+    return sized & ((100 - SIMILAR) * common >= (100 + SIMILAR) * apart)
+
+
+def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Of the checkpointed ``pairs(a, b, chars)`` those whose shingle sets are similar, as ``(a, b)``.
+
+    Both lines' shingles are counted in the task that holds the pair; ``b`` may be a leader of very many.
+    """
+    chars = pairs.agg(F.coalesce(F.sum("chars"), F.lit(0))).first()[0]
+    if not chars:
+        return pairs.select("a", "b")
+    mine = texts.select(F.col("cid").alias("a"), F.col("line").alias("x"))
+    other = texts.select(F.col("cid").alias("b"), F.col("line").alias("y"))
+    met = pairs.select("a", "b").join(mine, "a").join(other, "b").repartition(max(8, -(-chars // TASK_CHARS)), "a", "b")
+    sides = met.select("a", "b", F.explode(F.array(F.struct(F.col("x").alias("line"), F.lit(1).alias("side")), F.struct(F.col("y").alias("line"), F.lit(2).alias("side")))).alias("s"))
+    each = shingled(sides.select("a", "b", "s.line", "s.side"), "a", "b", "side").groupBy("a", "b", "h").agg(F.bit_or("side").alias("side"))
+    sizes = each.groupBy("a", "b").agg(F.count("*").alias("all"), F.sum(F.when(F.col("side") == 3, 1).otherwise(0)).alias("both"))
+    return checkpointed(sizes.where(100 * F.col("both") >= SIMILAR * F.col("all")).select("a", "b"))
+
+
+def similar_classes(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """``(cid, root)`` of the classes that are in a component with another."""
+    buckets = crowded(banded(rows))
+    texts = fetch(rows, classes.join(buckets.select("h1").distinct(), "h1").select("cid", "h1", "doc_id", "line_no"))
+    maps = bitmaps(texts)
+    named = texts.select("h1", "cid")
+    members = checkpointed(buckets.join(named, "h1").join(named.select(F.col("h1").alias("o1"), F.col("cid").alias("lead")), "o1").select("band", "cid", "lead"))
+
+    # every class with its buckets' leaders
+    pairs = members.where("cid <> lead").select(F.col("cid").alias("a_cid"), F.col("lead").alias("b_cid")).distinct()
+    near = pairs.join(_side(maps, "a"), "a_cid").join(_side(maps, "b"), "b_cid").where(_near())
+    chosen = [F.col("a_cid").alias("a"), F.col("b_cid").alias("b"), (F.col("a_p") + F.col("b_p")).cast("long").alias("chars")]
+    first = verified(texts, checkpointed(near.select(*chosen)))
+    comps = checkpointed(connected_components(first))
+
+    # those outside their leader's component with all of the bucket that are in another one
+    root = comps.withColumnsRenamed({"node": "cid"})
+    rooted = members.join(root, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    rooted = rooted.join(root.select(F.col("cid").alias("lead"), F.col("root").alias("main")), "lead", "left").withColumn("main", F.coalesce("main", "lead"))
+    rooted = checkpointed(rooted.where("cid <> lead").select("band", "cid", "root", "main"))
+    outside = rooted.where("root <> main")
+    inside = rooted.join(outside.select("band").distinct(), "band", "left_semi")
+    a = outside.join(maps, "cid").select("band", "root", *maps.columns)
+    b = inside.join(maps, "cid").select(F.col("band"), F.col("main"), F.col("root").alias("b_root"), *[F.col(c).alias(f"b_{c}") for c in maps.columns])
+    a = a.select(F.col("band"), F.col("root").alias("a_root"), *[F.col(c).alias(f"a_{c}") for c in maps.columns])
+    # of two outsiders one order will do
+    met = a.join(b, "band").where("a_root <> b_root and (b_root = main or a_cid > b_cid)").where(_near())
+    second = verified(texts, checkpointed(met.select(*chosen).distinct()))
+    if second.limit(1).count():
+        ends = second.join(comps.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(comps.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
+        more = checkpointed(connected_components(ends.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))))
+        joined = comps.join(more.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+        # classes that were alone before
+        comps = checkpointed(joined.unionByName(more.join(joined.select("node"), "node", "left_anti").select("node", "root")))
+    return comps.select(F.col("node").alias("cid"), "root")
+
+
+def duplicate_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(places of all lines with the class, classes that lose lines with the place that is kept)."""
-    docs = docs.select("doc_id", "text")
-    rows = lines(docs)
+    rows = lines(docs.select("doc_id", "text"))
     places = checkpointed(rows.select("doc_id", "line_no", "h1", "h2"))
     classes = places.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("times"))
-    classes = checkpointed(classes.select("h1", "h2", "first.doc_id", "first.line_no", "times"))
-
-    # buckets of two classes or more; each class against the one with the least key
-    bucket = W.partitionBy("band")
-    buckets = checkpointed(banded(rows).withColumn("o1", F.min("h1").over(bucket)).withColumn("most", F.max("h1").over(bucket)).where("o1 < most").select("band", "h1", "o1"))
-    texts = checkpointed(fetch(rows, buckets.select("h1").distinct()))
-    left = buckets.join(texts.select("h1", _node("h1", "h2").alias("node"), "n"), "h1").select("band", "h1", "node", "n", (F.col("h1") == F.col("o1")).alias("rep"), F.col("node").alias("root"))
-    links, tried, comps = [], [], None
-    for k in range(1, max_rounds + 1):
-        # the elected against all of their bucket that is not in their component; then they have met all of it
-        reps = left.where("rep").select("band", F.col("h1").alias("o1"), F.col("root").alias("other"), F.col("n").alias("m"))
-        met = left.join(reps, "band").where("root <> other and h1 <> o1 and (not rep or h1 > o1)").where(_sized("n", "m"))
-        met = met.select(F.greatest("h1", "o1").alias("h1"), F.least("h1", "o1").alias("o1")).distinct()
-        for old in tried:
-            met = met.join(old, ["h1", "o1"], "left_anti")
-        pairs = checkpointed(met)
-        tried.append(pairs)
-        found = checkpointed(verified(texts, pairs))
-        if comps is None or found.limit(1).count():
-            links.append(found)
-            comps = checkpointed(connected_components(reduce(DataFrame.unionByName, links)))
-        # buckets that still hold several components elect anew, by lot, four times as many; in the end all that are left
-        owned = left.where("not rep").select("band", "h1", "node", "n").join(comps, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        several = owned.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("crowd")).where("lo < hi").select("band", "crowd")
-        lot = F.pmod(F.xxhash64("h1", F.lit(k)), F.col("crowd")) < 4**k
-        left = checkpointed(owned.join(several, "band").select("band", "h1", "node", "n", lot.alias("rep"), "root"))
-        if not left.limit(1).count():
-            break
-    else:
-        raise RuntimeError("duplicate_lines: classes of a bucket are left that have not met; raise max_rounds")
-    roots = classes.join(texts.select("h1", "h2"), ["h1", "h2"], "left_semi").withColumn("node", _node("h1", "h2")).join(comps, "node").select("h1", "h2", "root", "doc_id", "line_no")
+    classes = checkpointed(classes.select(F.monotonically_increasing_id().alias("cid"), "h1", "h2", "first.doc_id", "first.line_no", "times"))
+    roots = classes.join(similar_classes(rows, classes), "cid")
     kept = roots.groupBy("root").agg(F.min(F.struct("doc_id", "line_no")).alias("keep"))
     fuzzy = checkpointed(roots.join(kept, "root").select("h1", "h2", "keep.doc_id", "keep.line_no"))
     exact = classes.where("times > 1").join(fuzzy, ["h1", "h2"], "left_anti").select("h1", "h2", "doc_id", "line_no")
@@ -145,19 +193,20 @@ def dedup(docs: DataFrame) -> DataFrame:
     """All rows and columns of ``docs``, with the text without its repeated lines, and ``n_lines`` and ``n_dropped``."""
     places, kept = duplicate_lines(docs)
     kept = kept.select("h1", "h2", F.col("doc_id").alias("keep_doc"), F.col("line_no").alias("keep_line"))
-    gone = (
+    key, gone, cut, rest, n_lines, n_dropped = (free_name(docs, c) for c in ("lq_id", "lq_gone", "lq_lines", "lq_left", "n_lines", "n_dropped"))
+    lost = (
         places.join(kept, ["h1", "h2"]).where("doc_id <> keep_doc or line_no <> keep_line")
-        .groupBy(F.col("doc_id").alias("lq_id")).agg(F.collect_set("line_no").alias("lq_gone"))
+        .groupBy(F.col("doc_id").alias(key)).agg(F.collect_set("line_no").alias(gone))
     )
-    gone = checkpointed(gone)
-    if gone.agg(F.coalesce(F.sum(F.size("lq_gone") + 5), F.lit(0))).first()[0] <= SENT_NUMBERS:
-        gone = F.broadcast(gone)
-    out = docs.join(gone, F.col("doc_id") == F.col("lq_id"), "left").withColumn("lq_lines", F.split("text", "\n", -1))
-    left = F.filter("lq_lines", lambda x, i: ~F.array_contains("lq_gone", i))
+    lost = checkpointed(lost)
+    if lost.agg(F.coalesce(F.sum(48 + 8 * F.size(gone)), F.lit(0))).first()[0] <= SENT_BYTES:
+        lost = F.broadcast(lost)
+    out = docs.join(lost, F.col("doc_id") == F.col(key), "left").withColumn(cut, F.split("text", "\n", -1))
+    left = F.filter(cut, lambda x, i: ~F.array_contains(gone, i))
     return (
-        out.withColumn("n_lines", F.coalesce(F.size("lq_lines"), F.lit(0)))
-        .withColumn("lq_left", F.when(F.col("lq_gone").isNull(), F.col("lq_lines")).otherwise(left))
-        .withColumn("n_dropped", F.col("n_lines") - F.coalesce(F.size("lq_left"), F.lit(0)))
-        .withColumn("text", F.array_join("lq_left", "\n"))
-        .drop("lq_id", "lq_gone", "lq_lines", "lq_left")
+        out.withColumn(rest, F.when(F.col(gone).isNull(), F.col(cut)).otherwise(left))
+        .withColumn(n_lines, F.coalesce(F.size(cut), F.lit(0)))
+        .withColumn(n_dropped, F.col(n_lines) - F.coalesce(F.size(rest), F.lit(0)))
+        .withColumn("text", F.array_join(rest, "\n"))
+        .drop(key, gone, cut, rest)
     )
