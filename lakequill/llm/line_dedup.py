@@ -26,6 +26,7 @@ a trailing underscore.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lakequill.llm.common import checkpointed, connected_components, free_name
@@ -77,9 +78,10 @@ def sent(df: DataFrame) -> DataFrame:
 
 
 def crowded(bands: DataFrame) -> DataFrame:
-    """``(band, h1, o1)``: the rows of bands that hold several keys, with the least of them."""
-    many = bands.groupBy("band").agg(F.min("h1").alias("o1"), F.max("h1").alias("most")).where("o1 < most").select("band", "o1")
-    return checkpointed(bands.join(sent(checkpointed(many)), "band").select("band", "h1", "o1"))
+    """``(band, h1, o1)``: the rows of bands that hold several keys, with the least of them. The window holds two numbers a row and spills."""
+    bucket = W.partitionBy("band")
+    met = bands.withColumn("o1", F.min("h1").over(bucket)).withColumn("most", F.max("h1").over(bucket))
+    return checkpointed(met.where("o1 < most").select("band", "h1", "o1"))
 
 
 def fetch(rows: DataFrame, wanted: DataFrame) -> DataFrame:
