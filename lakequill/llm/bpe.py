@@ -21,7 +21,7 @@ import regex
 SHORT = 48
 NONE = np.int32(2**31 - 1)
 _BATCH_BYTES = 4_000_000
-#: Cached words per Python worker; the cache starts afresh beyond it, so that its memory is bounded.
+#: Words of a generation of the cache. Beyond it the generation ages, and of the aged one only words that are met again are kept, so that memory is bounded.
 CACHE_WORDS = 300_000
 
 # The public patterns by which the two tokenizers split a text before merging.
@@ -97,6 +97,7 @@ class RankBPE:
         for i, s in names.items():
             self.piece[i] = s.encode()
         self.cache: dict[str, bytes] = {}
+        self.aged: dict[str, bytes] = {}
 
     # -- merging -----------------------------------------------------------------------------
 
@@ -201,9 +202,12 @@ class RankBPE:
         return self.find(text)
 
     def _learn(self, units: set[str]) -> None:
-        if len(self.cache) + len(units) > CACHE_WORDS:
-            self.cache.clear()
-        new = [u for u in units if u not in self.cache]
+        new = units.difference(self.cache)
+        if len(self.cache) + len(new) > CACHE_WORDS:
+            self.aged, self.cache, new = self.cache, {}, units
+        again = new.intersection(self.aged)
+        self.cache.update(zip(again, map(self.aged.__getitem__, again), strict=True))
+        new = list(new - again)
         if not self.word_level:
             self.cache.update(zip(new, self.merge_words([u.encode() for u in new]), strict=True))
             return
