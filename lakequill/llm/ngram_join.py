@@ -6,10 +6,10 @@ and the components of those links are cut into groups of a bounded size. Each gr
 its row of the matrix. A document (the query) can only link into a group whose union holds at least
 75 in 100 of its tokens, so
 
-* a query meets a group only if tokens of its prefix (its rarest quarter) are in the prefix part of
+* a query meets a group only if a token of its prefix (its rarest quarter) is in the prefix part of
   the group's row, the sizes allow a link, and the two are not yet in one component;
-* the tokens met there and the longer of the rests behind the prefixes bound the overlap, which must
-  reach what a link needs;
+* that token must stand early enough in both orders: were it the first one shared, the tokens from it
+  on must be as many as a link of these sizes needs (for equal sizes, within the first seventh);
 * for those, the whole overlap with the group's union is the bound; and
 * only groups that pass the bound are opened, member by member, until a link is found.
 
@@ -18,8 +18,9 @@ them, and the most frequent ones, at most ``RANKED`` whatever the corpus, are ra
 steers cost only; any one order that all tasks share finds every link.
 
 Defined cases: a null or empty text, or one without words, has no shingles and stays alone; fewer than
-five words are one shingle; equal texts link; repeated ids are seen as one document; other columns are
-not read; an empty table gives an empty result.
+five words are one shingle; equal texts link; repeated ids are seen as one document, which links as any
+of its texts does; a row without an id links with equal texts only, and has no component where there are
+none; other columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -107,13 +108,13 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prefixes(ranked: tuple[np.ndarray, np.ndarray]):
-    """Prefix tokens of each document; copies within a task are given once, for the smallest id."""
+    """Prefix tokens of each document with their places in it; copies within a task are given once, for the smallest id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, counts = ranked
         seen: dict[tuple[int, int], int] = {}
         for b in batches:
-            tokens, docs, hot = [], [], []
+            tokens, docs, hot, place = [], [], [], []
             for key, s in zip(b.column(0).to_pylist(), shingle_sets(b.column(1).to_pylist()), strict=True):
                 if not len(s):
                     continue
@@ -131,21 +132,23 @@ def _prefixes(ranked: tuple[np.ndarray, np.ndarray]):
                 tokens.append(s[first])
                 hot.append(count[first] > 0)
                 docs.append(np.full(len(first), key, np.int64))
+                place.append(np.arange(len(first), dtype=np.int32))
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(docs)), pa.array(np.concatenate(hot))], names=["token", "doc", "hot"])
+                cols = [np.concatenate(tokens).view(np.int64), np.concatenate(docs), np.concatenate(hot), np.concatenate(place)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["token", "doc", "hot", "at"])
 
     return run
 
 
 def _open(pdf: pd.DataFrame) -> pd.DataFrame:
     """One group with some of its queries: bound by the token union, then member by member."""
-    sets = dict(zip(zip(pdf.doc, pdf.member, strict=True), shingle_sets(pdf.text.tolist()), strict=True))
-    members = sorted((len(s), d, s) for (d, m), s in sets.items() if m)
+    sets = list(zip(pdf.doc.tolist(), pdf.member.tolist(), shingle_sets(pdf.text.tolist()), strict=True))
+    members = sorted(((len(s), d, s) for d, m, s in sets if m and len(s)), key=lambda x: x[:2])
     out = []
     if members:
         union = np.unique(np.concatenate([s for *_, s in members]))
-        for (q, m), s in sets.items():
-            if m:
+        for q, m, s in sets:
+            if m or not len(s):
                 continue
             at = np.searchsorted(union, s)
             at[at == len(union)] = 0
@@ -166,7 +169,9 @@ def verified(docs: DataFrame, pairs: DataFrame, members: DataFrame, sizes: DataF
     (boundedly many) members.
     """
     load = pairs.join(sizes, "doc").groupBy("g").agg(F.sum("n").alias("load"))
-    parts = load.select("g", F.ceil(F.col("load") / OPENED).cast("int").alias("parts"))
+    parts = checkpointed(load.select("g", F.ceil(F.col("load") / OPENED).cast("int").alias("parts")))
+    if parts.count() <= SENT:
+        parts = F.broadcast(parts)
     wanted = (
         pairs.join(parts, "g")
         .select("doc", "g", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("member"))
@@ -185,7 +190,7 @@ def components(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     signed = checkpointed(docs.mapInArrow(_sign, "id long, n long, s1 long, s2 long, bands array<long>"))
     sigs = signed.where("bands is not null")
-    reps = checkpointed(sigs.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("id").alias("doc"), F.first("bands").alias("bands")))
+    reps = checkpointed(sigs.where("n > 0 and id is not null").groupBy("s1", "s2", "n").agg(F.min("id").alias("doc"), F.first("bands").alias("bands")))
     sizes = reps.select("doc", "n")
 
     # leaders of minhash buckets
@@ -213,8 +218,8 @@ def components(docs: DataFrame) -> DataFrame:
         yield from _prefixes(ranked.value)(batches)
 
     salted = W.partitionBy("token", "salt")
-    postings = docs.mapInArrow(prefixes, "token long, doc long, hot boolean").withColumn("salt", F.when(F.col("hot"), F.pmod("doc", F.lit(1021))).otherwise(0))
-    shared = postings.withColumn("lo", F.min("doc").over(salted)).withColumn("hi", F.max("doc").over(salted)).where("hot or lo < hi").select("token", "doc")
+    postings = docs.where("doc_id is not null").mapInArrow(prefixes, "token long, doc long, hot boolean, at int").withColumn("salt", F.when(F.col("hot"), F.pmod("doc", F.lit(1021))).otherwise(0))
+    shared = postings.withColumn("lo", F.min("doc").over(salted)).withColumn("hi", F.max("doc").over(salted)).where("hot or lo < hi").select("token", "doc", "at")
     group = (
         reps.select("doc", "n").join(comps.withColumnsRenamed({"node": "doc", "root": "comp"}), "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
     )
@@ -223,17 +228,15 @@ def components(docs: DataFrame) -> DataFrame:
     postings = checkpointed(shared.join(group, "doc"))
     several = postings.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
     postings = postings.join(several, "token")
-    matrix = postings.groupBy("token", "g", "comp").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    # a link of sizes n and m needs 3 (n + m) / 7 common tokens; n - at of them can be common from place at on
+    matrix = postings.groupBy("token", "g", "comp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(4 * F.col("n") - 7 * F.col("at")).alias("room"))
     met = (
-        postings.select("token", "doc", "n", F.col("comp").alias("own"))
+        postings.select("token", "doc", "n", "at", F.col("comp").alias("own"))
         .join(matrix, "token")
-        .where("own > comp and 100 * n >= 75 * least and 75 * n <= 100 * most")
-        .groupBy("doc", "g")
-        .agg(F.count("*").alias("both"), F.first("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
+        .where("own > comp and 100 * n >= 75 * least and 75 * n <= 100 * most and room >= 3 * n and 4 * n - 7 * at >= 3 * least")
+        .select("doc", "g")
+        .distinct()
     )
-    # a common token is in both prefixes, or behind the prefix that ends first; a prefix leaves ceil(3n/4) - 1 tokens
-    behind = F.expr("(3 * greatest(n, most) + 3) div 4 - 1")
-    met = met.where(7 * (F.col("both") + behind) >= 3 * (F.col("n") + F.col("least"))).select("doc", "g")
     met = checkpointed(met)
     members = group.select("doc", "g").join(met.select("g").distinct(), "g", "left_semi")
     second = checkpointed(verified(docs, met, members, sizes))
