@@ -1,6 +1,6 @@
 """Exact top-k inner products by pivot-table elimination.
 
-Each vector's distances to a few dozen pivots are computed once. By the triangle inequality the
+Each vector's distances to a few dozen pivots are computed once and kept beside it. By the triangle inequality the
 greatest difference of two rows of that table is a lower bound of the vectors' distance, and so, with
 the norms, gives an upper bound of their inner product. A tile of candidates is gone through in the
 order of that bound, and left as soon as the bound falls under the k-th score found: the result is exact.
@@ -9,8 +9,9 @@ The pivots are chosen from ``SAMPLE`` vectors (those with the smallest hashed id
 steer cost only. Queries and candidates meet in tiles of bounded size, each vector in its own block.
 
 Defined cases: vectors that are null or hold a null or non-finite component take no part; only vectors
-of one dimension are compared; a repeated id counts once, with its least vector, and is never its own
-candidate; ties go to the smaller id; fewer than k candidates give them all; an empty table gives no rows.
+of one dimension are compared; every row with a repeated id is a candidate of its own, but not for queries
+of that id, whose rows share one list; ties go to the smaller id; fewer than k candidates give them all; an
+empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -56,17 +57,17 @@ def table_row(v: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0, norms[:, None] + to[None, :] - 2 * (v @ pivots.T)))
 
 
-def search_tile(q_ids, q, c_ids, c, pivots, k: int) -> Iterator[tuple[int, int, int]]:
-    """Best k candidates of each query inside one tile, as (query, candidate, score)."""
+def search_tile(q_ids, q, q_table, c_ids, c, table, k: int) -> Iterator[tuple[int, int, int]]:
+    """Best k candidates of each query inside one tile, as (query, candidate, score); both with their rows of the pivot table."""
     order = np.argsort(c_ids, kind="stable")
-    c_ids, c = c_ids[order], c[order]
+    c_ids, c, table = c_ids[order], c[order], table[order]
     if q.dtype == object or c.dtype == object:
         for i, row in zip(q_ids.tolist(), q, strict=True):
             scores = [(-int(sum(int(a) * int(b) for a, b in zip(row, x, strict=True))), j) for j, x in zip(c_ids.tolist(), c, strict=True) if j != i]
             yield from ((i, j, -s) for s, j in sorted(scores)[:k])
         return
-    norms, table = (c * c).sum(1), table_row(c, pivots)
-    for i, row, to in zip(q_ids.tolist(), q, table_row(q, pivots), strict=True):
+    norms = (c * c).sum(1)
+    for i, row, to in zip(q_ids.tolist(), q, q_table, strict=True):
         apart = np.abs(table - to).max(1)
         own = float((row * row).sum())
         bound = (own + norms - apart * apart) / 2 + 1e-9 * (own + norms) + 1
@@ -90,40 +91,50 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, key: str = "vec_id", vector
     spark = vectors.sparkSession
     v = F.col(vector)
     usable = v.isNotNull() & F.col(key).isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
-    valid = vectors.where(usable).groupBy(F.col(key).alias("vec_id")).agg(F.min(v.cast("array<double>")).alias("v")).withColumn("dim", F.size("v"))
-    valid = checkpointed(valid)
+    valid = vectors.where(usable).select(F.col(key).cast("long").alias("vec_id"), v.cast("array<double>").alias("v")).withColumn("dim", F.size("v"))
+    valid = checkpointed(valid.withColumn("row", F.monotonically_increasing_id()))
     rows = valid.count()
     if not rows:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     block = min(MOST_BLOCK, max(LEAST_BLOCK, rows // (4 * spark.sparkContext.defaultParallelism)))
     c_blocks = -(-rows // block)
-    queries = valid.where(is_query(F.col("vec_id")))
-    q_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    sample = valid.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("dim", "v").collect()
+    sample = valid.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(SAMPLE).select("dim", "v").collect()
     by_dim: dict[int, list] = {}
     for r in sample:
         by_dim.setdefault(r["dim"], []).append(r["v"])
     pivots = {d: choose_pivots(p) for d, vs in by_dim.items() if (p := quantized(vs)).dtype != object}
 
+    def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for dim, part in pdf.groupby("dim"):
+                x, ps = quantized(part.v.tolist()), pivots.get(int(dim))
+                exact = ps is not None and x.dtype != object
+                yield part.assign(d=list(table_row(x, ps)) if exact else [[]] * len(part))
+
+    # the pivot table: every vector's distances, once
+    valid = checkpointed(valid.mapInPandas(measured, "vec_id long, v array<double>, dim int, row long, d array<double>"))
+    queries = valid.where(is_query(F.col("vec_id")))
+    q_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+
     def tile(key_, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(q) and len(c):
-            qv, cv = quantized(q.v.tolist()), quantized(c.v.tolist())
-            ps = pivots.get(int(key_[0]))
-            if ps is None:
-                ps = choose_pivots(cv[: 2 * PIVOTS])
-            big = max(float(np.abs(x).max()) for x in (qv, cv, ps)) ** 2 * qv.shape[1] >= 2**50
-            if big:
-                qv, cv = np.array([[int(x) for x in r] for r in qv], object), np.array([[int(x) for x in r] for r in cv], object)
-            out = list(search_tile(q.vec_id.to_numpy(), qv, c.vec_id.to_numpy(), cv, ps, k))
+            qv, cv, qd, cd = quantized(q.v.tolist()), quantized(c.v.tolist()), q.d.tolist(), c.d.tolist()
+            if any(len(x) == 0 for x in (*qd, *cd)):
+                # too large for exact sums of doubles, or a dimension that the sample lacks
+                big = max(float(np.abs(x).max()) for x in (qv, cv)) ** 2 * qv.shape[1] >= 2**50
+                ps = cv[: 2 * PIVOTS]
+                qv, cv = (np.array([[int(x) for x in r] for r in m], object) for m in (qv, cv)) if big else (qv, cv)
+                qd, cd = ([[]] * len(qv), [[]] * len(cv)) if big else (table_row(qv, ps), table_row(cv, ps))
+            out = list(search_tile(q.vec_id.to_numpy(), qv, np.array([*qd]), c.vec_id.to_numpy(), cv, np.array([*cd]), k))
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
 
     def spread(n: int):
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
-    mine = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-    qs = queries.select("dim", spread(c_blocks).alias("c"), mine(q_blocks).alias("q"), "vec_id", "v")
-    cs = valid.select("dim", mine(c_blocks).alias("c"), spread(q_blocks).alias("q"), "vec_id", "v")
+    mine = lambda n: F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")
+    qs = queries.select("dim", spread(c_blocks).alias("c"), mine(q_blocks).alias("q"), "vec_id", "v", "d")
+    cs = valid.select("dim", mine(c_blocks).alias("c"), spread(q_blocks).alias("q"), "vec_id", "v", "d")
     found = qs.groupBy("dim", "c", "q").cogroup(cs.groupBy("dim", "c", "q")).applyInPandas(tile, "query_id long, vec_id long, score long")
     ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -6,10 +6,10 @@ only lessen it. Words begin and end with marks that count as letters, and runs o
 ("i d i o t") are one word. A sentence, and so a document, scores as its strongest word does.
 
 Training takes a bounded sample of labelled rows (``SAMPLE`` of each class, those with the smallest
-hashed ids). A sentence of a toxic document is a positive example where it holds a word that toxic
-documents share and others lack; sentences of other documents are negative ones. Landmarks are chosen
-from both by farthest-first in the kernel; the machine is trained on the Nyström features, by Newton
-steps on the squared hinge loss, and its scores are set to probabilities by a logistic fit on documents.
+hashed ids). Examples are words: the positive ones are those that toxic documents share and others lack,
+the negative ones words of other documents. Landmarks are chosen from both by farthest-first in the
+kernel; the machine is trained on the Nyström features, by Newton steps on the squared hinge loss, and
+its scores are set to probabilities by a logistic fit on documents.
 As a score is linear in the landmarks' triples, the trained machine is one table of triple weights.
 
 Defined cases: a null or empty text, or one without letters, gets the score of no evidence; texts of any
@@ -19,6 +19,7 @@ share of toxic rows (0 without labels); an empty table gives an empty result; ot
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import product
 
@@ -38,6 +39,8 @@ COVER = 3
 _SPACE, _JOINER, _MARK = 0, 1, 2
 _LETTERS = 64
 _CHUNK = 1 << 18
+#: White space between two words that each have two letters side by side.
+_BETWEEN = re.compile(r"[^\W\d_]{2}\S*(\s)(?=\s*\S*[^\W\d_]{2})")
 #: Rows of a batch that are scored together.
 _ROWS = 256
 GAPS = [(a, b) for a, b in product(range(1, SPAN), repeat=2) if a + b < SPAN]
@@ -172,6 +175,15 @@ def train_words(positive: list[str], weight: np.ndarray, negative: list[str]) ->
     return table, float(theta[-1])
 
 
+def _cut(text: str, at: int) -> int:
+    """A place near ``at`` or behind it, between two words with letters side by side, so that no run of single letters is cut."""
+    places = [m.start(1) for m in _BETWEEN.finditer(text, at - 4096, at)]
+    if places:
+        return places[-1]
+    later = _BETWEEN.search(text, at)
+    return later.start(1) if later else len(text)
+
+
 def document_values(texts: list[str], weights: np.ndarray) -> np.ndarray:
     """Strongest word's decision value per text; -inf without words. Texts are cut between words, so memory is bounded."""
     out = np.full(len(texts), -np.inf)
@@ -185,10 +197,7 @@ def document_values(texts: list[str], weights: np.ndarray) -> np.ndarray:
     for k, t in enumerate(texts):
         lo = 0
         while True:
-            hi = len(t) if len(t) - lo <= _CHUNK else t.rfind(" ", lo, lo + _CHUNK)
-            if hi <= lo:
-                hi = t.find(" ", lo + _CHUNK)
-                hi = len(t) if hi < 0 else hi
+            hi = len(t) if len(t) - lo <= _CHUNK else _cut(t, lo + _CHUNK)
             held.append(t[lo:hi])
             owners.append(k)
             size += hi - lo

@@ -227,8 +227,9 @@ def test_pivot_search(spark):
     got = [(x["query_id"], x["rank"], x["vec_id"], x["score"]) for x in pivot_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), lambda i: i % 100 == 0).collect()]
     q = np.floor(v.astype(float) * 1024).astype(int)
     want = []
+    ids = [*range(200), 100]  # the second row with id 100 is a candidate and a query of its own
     for i in (0, 100):
-        best = sorted((-int(q[i] @ q[j]), j) for j in range(200) if j != i)[:10]
+        best = sorted((-int(q[i] @ q[j]), j) for j in ids for _ in range(ids.count(i)) if j != i)[:10]
         want += [(i, k, j, -s) for k, (s, j) in enumerate(best, 1)]
     assert sorted(got) == sorted(want)
     assert pivot_search.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), lambda i: i % 100 == 0).count() == 0
@@ -262,3 +263,64 @@ def test_components(spark):
             root[a] = root[b] = min(root[a], root[b])
     assert got == {n: x for n, x in root.items() if n in {m for e in edges if e[0] != e[1] for m in e}}
     assert F is not None
+
+
+def test_pivot_search_keeps_rows_with_one_id_like_its_sql(spark, tmp_path):
+    import duckdb
+
+    rows = [(0, [1.0, 0.0]), (1, [0.5, 0.1]), (1, [0.9, 0.2]), (2, [0.3, 0.3]), (100, [0.2, -0.4]), (100, [-0.7, 0.4])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    vectors.write.parquet(str(tmp_path / "v"))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding FLOAT[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", rows)
+    expected = [(int(q), int(s)) for q, _, _, s in con.execute(pivot_search.ORACLE).fetchall()]
+    got = [(r["query_id"], r["score"]) for r in pivot_search.top_k(vectors, lambda i: i % 100 == 0).collect()]
+    assert sorted(got) == sorted(expected)
+    assert (0, 921 * 1024) in got
+
+
+def test_byte_law_of_shards(spark, docs, texts):
+    size = lambda t: len((t or "").encode()) + 1
+    rows = [(i, size(t)) for i, t in enumerate(texts)] + [(8, size(texts[8]))]
+    rows.sort()
+    total, before, expected = sum(s for _, s in rows), 0, []
+    for i, s in rows:
+        expected.append((i, s, min(15, (2 * before + s) * 16 // (2 * total))))
+        before += s
+    got = [(r["doc_id"], r["size"], r["shard"]) for r in sharding.shard_by_bytes(docs, 16).collect()]
+    assert sorted(got) == sorted(expected)
+    few = sharding.shard_by_bytes(docs.where("doc_id < 3"), 16)
+    assert few.count() == 3 and few.where("slot <> 0").count() == 3 - few.select("shard").distinct().count()
+
+
+def test_toxicity_does_not_cut_spaced_letters(monkeypatch):
+    weights = np.random.default_rng(1).normal(size=toxicity._LETTERS**3)
+    monkeypatch.setattr(toxicity, "_CHUNK", 512)
+    for shift in range(0, 24, 3):
+        text = "plain words " * 41 + "x" * shift + " i d i o t " + "plain words " * 60
+        code, word, owner = toxicity.flatten([text])
+        whole = toxicity.word_scores(code, word, len(owner), weights).max()
+        assert toxicity.document_values([text], weights)[0] == pytest.approx(whole)
+
+
+def test_word_scores_against_a_kernel_by_brute_force():
+    from itertools import combinations
+
+    weights = np.random.default_rng(2).normal(size=toxicity._LETTERS**3)
+    for w in ("idiot", "a", "i.d.i.o.t", "abababab"):
+        code, word, _ = toxicity.flatten([w])
+        total = norm = 0.0
+        for i, j, k in combinations(range(len(code)), 3):
+            if k - i < toxicity.SPAN:
+                weight = toxicity.DECAY ** (k - i)
+                total += weight * weights[(int(code[i]) * toxicity._LETTERS + int(code[j])) * toxicity._LETTERS + int(code[k])]
+                norm += weight * weight
+        assert toxicity.word_scores(code, word, 1, weights)[0] == pytest.approx(total / max(norm, 1e-12) ** 0.5)
+
+
+def test_ngram_join_with_null_and_repeated_ids(spark):
+    same, other = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(5, same), (None, same), (None, "only here and nowhere else at all"), (7, other), (7, same), (9, other + " b40"), (None, None)]
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(5, 36, 5), (None, 36, 5), (None, 3, None), (7, 36, 5), (9, 37, 5), (None, 0, None)}
