@@ -33,8 +33,8 @@ from lakequill.llm.common import checkpointed, connected_components, free_name
 
 SHINGLE, BANDS, ROWS = 8, 7, 4
 SIMILAR = 75
-#: 64-bit words of a class's bitmap of shingles.
-WORDS = 32
+#: 64-bit words of a class's bitmap of shingles, in groups of ``GROUP``.
+WORDS, GROUP = 128, 8
 #: Characters of pairs that one task verifies; more tasks are made for more.
 TASK_CHARS = 2_000_000
 #: Rows, and bytes, that are sent to all tasks, when they have been counted; beyond them the texts are shuffled to them.
@@ -98,10 +98,13 @@ def bitmaps(texts: DataFrame) -> DataFrame:
     """``(cid, p, w, bits)``: the bitmap of a class's shingles in words, and how many bits are set. One shuffle, of the lines."""
     spread = texts.select("cid", "p", "line").repartition("cid")
     each = shingled(spread, "cid", "p").select("cid", "p", F.expr(f"cast(shiftrightunsigned(h, 6) & {WORDS - 1} as int)").alias("j"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("w"))
-    word = each.groupBy("cid", "p", "j").agg(F.bit_or("w").alias("w"))
-    flat = word.groupBy("cid", "p").agg(*[F.bit_or(F.when(F.col("j") == i, F.col("w")).otherwise(F.lit(0).cast("long"))).alias(f"w{i}") for i in range(WORDS)])
-    words = F.array(*[f"w{i}" for i in range(WORDS)])
-    return checkpointed(flat.select("cid", "p", words.alias("w")).withColumn("bits", _summed(F.transform("w", F.bit_count))))
+    each = each.select("cid", "p", F.expr(f"j div {GROUP}").cast("int").alias("g"), F.expr(f"j % {GROUP}").alias("r"), "w")
+    none = F.lit(0).cast("long")
+    word = each.groupBy("cid", "p", "g").agg(*[F.bit_or(F.when(F.col("r") == i, F.col("w")).otherwise(none)).alias(f"w{i}") for i in range(GROUP)])
+    groups = word.groupBy("cid", "p").agg(F.map_from_entries(F.collect_list(F.struct("g", F.array(*[f"w{i}" for i in range(GROUP)])))).alias("m"))
+    at = F.sequence(F.lit(0), F.lit(WORDS // GROUP - 1))
+    flat = groups.select("cid", "p", F.flatten(F.transform(at, lambda g: F.coalesce(F.try_element_at("m", g), F.array_repeat(none, GROUP)))).alias("w"))
+    return checkpointed(flat.withColumn("bits", _summed(F.transform("w", F.bit_count))))
 
 
 def _summed(counts):
