@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable, Iterator
+from itertools import groupby, pairwise
 
 import pandas as pd
 from pyspark.sql import Column
@@ -18,7 +20,7 @@ STOPWORDS = (
 LATIN = "[a-zà-öø-ÿß0-9]+"
 # Code ranges of Japanese and Korean letters (kana, ideographs, hangul, the iteration mark).
 CJK = "ぁ-ゖゝ-ゟァ-ヺー-ヿㇰ-ㇿ㐀-䶿一-鿿豈-﫿가-힯々"
-_RUN = re.compile(rf"(?P<n>[0-9]+(?:,[0-9]{{3}})*)|(?P<c>[{CJK}]+)|(?P<w>(?:(?![{CJK}])\w)(?:(?:(?![{CJK}])\w)|['\-])*)")
+_EAST = re.compile(f"[{CJK}]").match
 _STOP = frozenset(STOPWORDS)
 
 
@@ -35,32 +37,63 @@ def mixed_tokens(text: str | None) -> list[str]:
     digits; numbers without separators; of a run of East Asian letters all pairs, then its first and
     last letter; and where a number touches such a run, the number with the letter it touches.
     """
-    folded = unicodedata.normalize("NFKC", text or "").casefold()
     out: list[str] = []
-    pieces: list[tuple[str, str, int, int]] = []
-    for m in _RUN.finditer(folded):
-        kind, (a, b) = m.lastgroup, m.span()
-        body = m[0].replace(",", "") if kind == "n" else m[0]
-        pieces.append((kind, body, a, b))
-        digits = len(body) - len(body.rstrip("0123456789")) if kind == "w" else 0
-        if 0 < digits < len(body):
-            pieces.append(("n", body[-digits:], b - digits, b))
-    for k, (kind, body, a, _) in enumerate(pieces):
-        if k and pieces[k - 1][3] == a:
-            before = pieces[k - 1]
-            if (before[0], kind) == ("n", "c"):
-                out.append(before[1] + body[0])
-            elif (before[0], kind) == ("c", "n"):
-                out.append(before[1][-1] + body)
-        if kind == "n":
-            out.append(body)
-        elif kind == "c":
-            out += [body] if len(body) == 1 else [*(x + y for x, y in zip(body, body[1:], strict=False)), body[0], body[-1]]
-        elif len(body) > 1 and body not in _STOP:
+    last = ("", "")  # class and body of the piece that ends where the next one begins
+    for kind, body in _scan(unicodedata.normalize("NFKC", text or "").casefold()):
+        if kind == "number":
+            out += [last[1][-1] + body] if last[0] == "east" else []
             out.append(body)
+        elif kind == "east":
+            out += [last[1] + body[0]] if last[0] == "number" else []
+            out += [body] if len(body) == 1 else [*map("".join, pairwise(body)), body[0], body[-1]]
+        elif kind == "word":
+            if len(body) > 1 and body not in _STOP:
+                out.append(body)
+            digits = body[len(body.rstrip("0123456789")) :]
+            if digits and digits != body:
+                out.append(digits)
+                kind, body = "number", digits
+        last = (kind, body)
     return out
 
 
+def _class(ch: str) -> str:
+    if ch in "0123456789":
+        return "digit"
+    return "east" if _EAST(ch) else "letter" if ch.isalnum() or ch == "_" else "mark"
+
+
+def _scan(s: str) -> Iterator[tuple[str, str]]:
+    """Pieces of a text in order: numbers (groups of three digits joined), East Asian runs, words, and the marks between them."""
+    runs = [(c, "".join(g)) for c, g in groupby(s, _class)]
+    at = 0
+    while at < len(runs):
+        kind, body = runs[at]
+        at += 1
+        if kind == "digit":
+            while at + 1 < len(runs) and runs[at][1] == "," and runs[at + 1][0] == "digit" and len(runs[at + 1][1]) >= 3:
+                more = runs[at + 1][1]
+                body, at = body + more[:3], at + 2
+                if len(more) > 3:
+                    runs[at - 1] = ("digit", more[3:])
+                    at -= 1
+                    break
+            yield "number", body
+        elif kind == "letter":
+            # a word goes on over digits, apostrophes and hyphens
+            while at < len(runs) and runs[at][0] != "east":
+                inside = runs[at][1]
+                joined = len(inside) if runs[at][0] != "mark" else len(inside) - len(inside.lstrip("'-"))
+                body += inside[:joined]
+                if joined < len(inside):
+                    runs[at] = ("mark", inside[joined:])
+                    break
+                at += 1
+            yield "word", body
+        else:
+            yield kind, body
+
+
 def tokens_udf(text: Column | str) -> Column:
     """:func:`mixed_tokens` in Arrow batches."""
 
@@ -75,13 +108,25 @@ def fold(s: str | None) -> str:
     return re.sub(r"[^0-9a-z぀-ヿ一-鿿]+", "", unicodedata.normalize("NFKC", s or "").casefold())
 
 
-def fold_udf(s: Column | str) -> Column:
-    """:func:`fold` in Arrow batches."""
+def _where_not_ascii(s: Column | str, plain: Callable[[Column], Column], f: Callable[[str | None], str]) -> Column:
+    """``plain`` for texts in ASCII, in the JVM; only the others go through ``f`` in Arrow batches."""
+    s = F.col(s) if isinstance(s, str) else s
+    ascii_only = s.rlike(r"^\p{ASCII}*$")
 
     def run(x: pd.Series) -> pd.Series:
-        return x.map(fold)
+        return x.map(lambda t: f(t) if t is not None else None)
+
+    return F.when(ascii_only, plain(s)).otherwise(F.coalesce(F.pandas_udf(run, StringType())(F.when(~ascii_only, s)), F.lit("")))
+
+
+def fold_udf(s: Column | str) -> Column:
+    """:func:`fold` of a column."""
+    return _where_not_ascii(s, fold_latin, fold)
+
 
-    return F.pandas_udf(run, StringType())(s)
+def compatible(s: Column | str) -> Column:
+    """Compatibility-folded, case-folded and trimmed; a null is empty."""
+    return _where_not_ascii(s, lambda c: F.trim(F.lower(c)), lambda t: unicodedata.normalize("NFKC", t).casefold().strip())
 
 
 def fold_latin(s: Column | str) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from decimal import Decimal
+from itertools import accumulate, groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+#: Fixed value: a link between pages, with its target.
 WIKILINK = r"\[\[([^\]|#]+)(?:#[^\]|]*)?(?:\|[^\]]*)?\]\]"
 _LINK = re.compile(WIKILINK)
 
@@ -103,23 +105,31 @@ CALLOUT = StructType(
 )
 
 
+_QUOTED = re.compile(r"((?:>\s*)+)(?:\[!(\w+)\][+-]?)?\s*(.*)$")
+
+
 def page_callouts(text: str | None, kind: str = "contradiction") -> list[dict]:
-    """Quoted callouts of one kind with the quoted lines under them, at any depth."""
-    out, section, rows = [], "", (text or "").split("\n")
-    for k, line in enumerate(rows):
-        if h := re.match(r"#{2,}\s+(.+?)\s*$", line):
-            section = h[1]
-        m = re.match(rf"((?:>\s*)+)\[!{kind}\][+-]?\s*(.*)$", line)
-        if not m:
+    """Quoted callouts of one kind with the quoted lines under them, at any depth: a fold over the lines with at most one callout open."""
+    out, section, is_open = [], "", False
+    for number, line in enumerate((text or "").split("\n"), 1):
+        quoted = _QUOTED.match(line)
+        if not quoted:
+            heading = re.match(r"#{2,}\s+(.+?)\s*$", line)
+            section, is_open = heading[1] if heading else section, False
             continue
-        depth, body = m[1].count(">"), []
-        for below in rows[k + 1 :]:
-            q = re.match(r"((?:>\s*)+)(.*)$", below)
-            if not q or q[1].count(">") < depth or re.match(r"\[!", q[2]):
-                break
-            body.append(q[2].rstrip())
-        links = list(dict.fromkeys(t.strip().rsplit("/", 1)[-1] for t in _LINK.findall(m[2] + "\n" + "\n".join(body))))
-        out.append({"section": section, "line": k + 1, "depth": depth, "title": m[2].strip(), "body": "\n".join(body).strip(), "pages": [x for x in links if x[:1] != "@"], "sources": [x for x in links if x[:1] == "@"]})
+        depth, named, rest = quoted[1].count(">"), quoted[2], quoted[3].rstrip()
+        if named:
+            is_open = named == kind
+            if is_open:
+                out.append({"section": section, "line": number, "depth": depth, "title": rest.strip(), "body": []})
+        elif is_open and depth >= out[-1]["depth"]:
+            out[-1]["body"].append(rest)
+        else:
+            is_open = False
+    for c in out:
+        c["body"] = "\n".join(c["body"])
+        links = list(dict.fromkeys(t.strip().rsplit("/", 1)[-1] for t in _LINK.findall(c["title"] + "\n" + c["body"])))
+        c |= {"body": c["body"].strip(), "pages": [x for x in links if x[:1] != "@"], "sources": [x for x in links if x[:1] == "@"]}
     return out
 
 
@@ -165,20 +175,22 @@ def numbers_udf(text: Column | str) -> Column:
 
 
 def paragraph_chunks(text: str | None, size: int = 2000, overlap: int = 200) -> list[str]:
-    """Paragraphs gathered to ``size`` characters; each next chunk begins with the last ``overlap`` of the one before."""
-    out, held, n = [], [], 0
-    for p in (x.strip() for x in re.split(r"\n\s*\n", text or "")):
-        if not p:
-            continue
-        held.append(p)
-        n += len(p) + 2
-        if n >= size:
-            out.append("\n\n".join(held))
-            held = [out[-1][-overlap:]]
-            n = len(held[0])
-    if held:
-        out.append("\n\n".join(held))
-    return out
+    """Paragraphs gathered to ``size`` characters; each next chunk begins with the last ``overlap`` of the one before.
+
+    The chunk of each paragraph comes from a running length, which starts anew at the overlap where it has reached the size.
+    """
+    paragraphs = [p for p in map(str.strip, re.split(r"\n\s*\n", text or "")) if p]
+
+    def placed(state: tuple[int, int], p: str) -> tuple[int, int]:
+        chunk, length = (state[0] + 1, overlap) if state[1] >= size else state
+        return chunk, length + len(p) + 2
+
+    states = list(accumulate(paragraphs, placed, initial=(0, 0)))
+    out: list[str] = []
+    for _, of_chunk in groupby(zip(states[1:], paragraphs, strict=True), key=lambda x: x[0][0]):
+        out.append("\n\n".join([*(x[-overlap:] for x in out[-1:]), *(p for _, p in of_chunk)]))
+    # a chunk that the last paragraph has filled leaves its overlap behind
+    return out + [out[-1][-overlap:]] * (states[-1][1] >= size)
 
 
 def byte_pieces(text: str | None, cap: int = 1800) -> list[str]:

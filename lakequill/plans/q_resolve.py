@@ -23,9 +23,16 @@ def _values(cols: str, rows: list[tuple]) -> str:
     return f"SELECT * FROM (VALUES {', '.join(str(r) if len(r) > 1 else f'({r[0]!r})' for r in rows)}) v({cols})".replace("None", "NULL").replace("True", "TRUE").replace("False", "FALSE")
 
 
-@query("h11_entity_keys", SQL(_values("id, entity_key", [(1, "acme"), (2, "acme"), (3, "liyan"), (4, "yanli"), (5, "yli"), (6, "yunli"), (7, "massachusettsinstituteoftechnologymit"), (8, "mit"), (9, "instituteofmassachusettstechnology"), (10, "graphnet"), (11, "graphnet"), (12, "itingchen"), (13, "cheniting"), (14, "transformerxl"), (15, "transformerxxl")])))
+_BEFORE, _AFTER = ["", "The ", "A ", "the "], ["", " Inc.", " Company", " KK", ", Ltd. Co.", " 株式会社", " Co Works"]
+_NAMES = f"SELECT p_partkey AS id, {_BEFORE}[1 + p_partkey % 4] || p_name || {_AFTER}[1 + p_partkey % 7] AS title FROM part"
+_KEYS = f"regexp_replace(regexp_replace(regexp_replace(' ' || regexp_replace(lower(title), '[-,./&()_ ]+', ' ', 'g') || ' ', ' the ', ' ', 'g'), '( ({'|'.join(R.LEGAL)}))+ *$', ''), '[^0-9a-z\u3040-\u30ff\u4e00-\u9fff]+', '', 'g')"
+
+
+@query("h11_entity_keys", SQL(f"WITH n AS ({_NAMES}) SELECT id, {_KEYS} AS entity_key FROM n"))
 def entity_keys(spark, d):
-    return ENT.frame(spark).select("id", R.entity_key_udf("title", "kind").alias("entity_key"))
+    pick = lambda xs, n: F.element_at(F.array(*map(F.lit, xs)), (1 + F.col("p_partkey") % n).cast("int"))
+    names = tbl(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat(pick(_BEFORE, 4), "p_name", pick(_AFTER, 7)).alias("title"))
+    return names.select("id", R.entity_key("title", F.lit("organization")).alias("entity_key"))
 
 
 @query("h10_fold", SQL(_values("id, folded", [(1, "theacmecorp"), (2, "acme"), (3, "liyan"), (4, "yanli"), (5, "yli"), (6, "yunli"), (7, "massachusettsinstituteoftechnologymit"), (8, "mit"), (9, "instituteofmassachusettstechnology"), (10, "graphnet"), (11, "graphnet"), (12, "itingchen"), (13, "cheniting"), (14, "transformerxl"), (15, "transformerxxl")])))
@@ -35,14 +42,14 @@ def folds(spark, d):
 
 @query("c11_exact_key_pairs", SQL(_values("a, b, tier", [(1, 2, "strong"), (10, 11, "strong")])))
 def exact_pairs(spark, d):
-    e = ENT.frame(spark).select("id", R.entity_key_udf("title", "kind").alias("k"))
+    e = ENT.frame(spark).select("id", R.entity_key("title", "kind").alias("k"))
     return R.blocked_pairs(e, "id", "k").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.lit("strong").alias("tier"))
 
 
 @query("c12_person_names", SQL(_values("a, b", [(3, 4), (3, 5), (4, 5), (5, 6)])))
 def person_pairs(spark, d):
-    e = ENT.frame(spark).where("kind = 'person'").select("id", "title", R.surname_udf("title").alias("s"))
-    return R.blocked_pairs(e, "id", "s", 2, 60).where(R.names_agree_udf("a_title", "b_title")).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    e = ENT.frame(spark).where("kind = 'person'").select("id", R.person_name("title").alias("name")).select("id", "name.surname", "name.given")
+    return R.blocked_pairs(e, "id", "surname", 2, 60).where(R.given_names_agree(F.col("a_given"), F.col("b_given"))).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
 
 
 def _word_set(col):
@@ -59,16 +66,16 @@ def set_pairs(spark, d):
     return R.blocked_pairs(e, "id", "words").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "words")
 
 
-@query("c14_acronym_join", SQL(f"WITH {ENT.cte}, a AS (SELECT id, lower(regexp_extract(title, '\\(([A-Z]{{2,}})\\)', 1)) AS k FROM ent), n AS (SELECT id, regexp_replace(lower(title), '[^0-9a-z]+', '', 'g') AS k FROM ent) SELECT a.id AS a, n.id AS b, k AS acronym FROM a JOIN n USING (k) WHERE k <> '' AND a.id <> n.id"))
+@query("c14_acronym_join", SQL(f"WITH {ENT.cte}, a AS (SELECT id, regexp_replace(lower(regexp_extract(title, '[(（]([A-Z0-9&.-]{{2,12}})[)）]\\s*$', 1)), '[^0-9a-z]+', '', 'g') AS k FROM ent), n AS (SELECT id, regexp_replace(lower(title), '[^0-9a-z]+', '', 'g') AS k FROM ent) SELECT a.id AS a, n.id AS b, k AS acronym FROM a JOIN n USING (k) WHERE k <> '' AND a.id <> n.id"))
 def acronyms(spark, d):
     e = ENT.frame(spark)
-    a = e.select(F.col("id").alias("a"), F.lower(F.regexp_extract("title", r"\(([A-Z]{2,})\)", 1)).alias("acronym")).where("acronym <> ''")
+    a = e.select(F.col("id").alias("a"), TX.fold_latin(F.regexp_extract("title", r"[(（]([A-Z0-9&.\-]{2,12})[)）]\s*$", 1)).alias("acronym")).where("acronym <> ''")
     return a.join(e.select(F.col("id").alias("b"), TX.fold_latin("title").alias("acronym")), "acronym").where("a <> b").select("a", "b", "acronym")
 
 
 @query("c15_fuzzy_blocked", SQL(_values("a, b, tier", [(14, 15, "weak")])))
 def fuzzy(spark, d):
-    e = ENT.frame(spark).select("id", R.entity_key_udf("title", "kind").alias("k")).where("length(k) >= 8").withColumn("block", F.substring("k", 1, 2))
+    e = ENT.frame(spark).select("id", R.entity_key("title", "kind").alias("k")).where("length(k) >= 8").withColumn("block", F.substring("k", 1, 2))
     p = R.blocked_pairs(e, "id", "block", 2, 400).where("a_k <> b_k and abs(length(a_k) - length(b_k)) <= 3")
     return p.where(R.ratio_udf("a_k", "b_k") >= 0.92).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.lit("weak").alias("tier"))
 
@@ -134,13 +141,13 @@ def arxiv(spark, d):
 
 @query("h15_dois", SQL(_values("id, doi", [(1, None), (2, None), (3, None), (4, "10.1016/0167-9236(94)90040-4"), (5, "10.1145/3292500.3330701"), (6, None), (7, "10.5281/zenodo.123"), (8, None), (9, None)])))
 def dois(spark, d):
-    return IDS.frame(spark).select("id", R.doi_udf("raw").alias("doi"))
+    return IDS.frame(spark).select("id", R.doi("raw").alias("doi"))
 
 
 @query("h16_reference_kinds", SQL(_values("id, kind", [(1, "arxiv"), (2, "title"), (3, "arxiv"), (4, "doi"), (5, "doi"), (6, "title"), (7, "doi"), (8, "title"), (9, "title")])))
 def kinds(spark, d):
     a = F.col("raw").rlike(r"(?i)arxiv(\.org/|:)\S*\d{4}\.\d{4,5}") | F.col("raw").rlike(r"^\d{4}\.\d{4,5}(v\d+)?$")
-    return IDS.frame(spark).select("id", F.when(a, "arxiv").when(R.doi_udf("raw").isNotNull(), "doi").otherwise("title").alias("kind"))
+    return IDS.frame(spark).select("id", F.when(a, "arxiv").when(R.doi("raw").isNotNull(), "doi").otherwise("title").alias("kind"))
 
 
 DOCS = Fixture("papers", "id int, title string, ident string", [

@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Checkpoint in the folder of ``spark.checkpoint.dir``; in one of our own only where that is unset."""
+    """Checkpoint in the folder of ``spark.checkpoint.dir``. Where that is unset, a local session gets a folder of its own; a cluster gets an error."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or f"{tempfile.gettempdir()}/lakequill-{uuid.uuid4().hex}")
+        where = sc.getConf().get("spark.checkpoint.dir")
+        if not where and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(where or f"{tempfile.gettempdir()}/lakequill-{uuid.uuid4().hex}")
     return df.checkpoint(eager=True)
