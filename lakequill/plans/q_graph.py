@@ -96,10 +96,10 @@ def cocite(spark, d):
 
 
 @query("c5_bipartite_gap", SQL(f"""WITH {CITE}, k AS (SELECT via FROM bip GROUP BY via HAVING count(*) BETWEEN 2 AND 60), near AS (SELECT DISTINCT least(p_partkey, p_size) AS a, greatest(p_partkey, p_size) AS b FROM part)
-SELECT x.node AS a, y.node AS b, count(*) AS common FROM bip x JOIN bip y USING (via) JOIN k USING (via) WHERE x.node < y.node AND NOT EXISTS (SELECT 1 FROM near n WHERE n.a = x.node AND n.b = y.node) GROUP BY 1, 2 HAVING count(*) >= 2"""))
+SELECT x.node AS a, y.node AS b, count(*) AS common FROM bip x JOIN bip y USING (via) JOIN k USING (via) WHERE x.node < y.node AND NOT EXISTS (SELECT 1 FROM near n WHERE n.a = x.node AND n.b = y.node) GROUP BY 1, 2 HAVING count(*) >= 3"""))
 def bipartite_gap(spark, d):
     near = tbl(spark, d, "part").select(F.least("p_partkey", "p_size").alias("a"), F.greatest("p_partkey", "p_size").alias("b")).distinct()
-    p = G.pairs_through(_cites(spark, d), "via", "node", 2, 60, F.lit(1.0)).groupBy("a", "b").agg(F.count("*").alias("common")).where("common >= 2")
+    p = G.pairs_through(_cites(spark, d), "via", "node", 2, 60, F.lit(1.0)).groupBy("a", "b").agg(F.count("*").alias("common")).where("common >= 3")
     return p.join(near, ["a", "b"], "left_anti")
 
 
@@ -240,13 +240,13 @@ def backbone(spark, d):
 
 
 def _bridge_sql() -> str:
-    return f"""WITH {EDGES}, {LABEL}, r AS (SELECT dst AS target, src, cnt FROM e WHERE CAST(substr(dst, 2) AS BIGINT) % 50 = 0)
+    return f"""WITH {EDGES}, {LABEL}, r AS (SELECT dst AS target, src, cnt FROM e)
 SELECT target, CAST(sum(cnt) AS BIGINT) AS refs, count(DISTINCT c) AS clusters, round(count(DISTINCT c) * log2(1 + sum(cnt)), 6) AS score FROM r JOIN lab ON lab.node = src GROUP BY target HAVING count(DISTINCT c) >= 2"""
 
 
 @query("j8_bridge_score", SQL(_bridge_sql()))
 def bridges(spark, d):
-    r = _edges(spark, d).where(F.substring("dst", 2, 20).cast("long") % 50 == 0).join(_labels(spark, d).withColumnRenamed("node", "src"), "src")
+    r = _edges(spark, d).join(_labels(spark, d).withColumnRenamed("node", "src"), "src")
     return r.groupBy(F.col("dst").alias("target")).agg(F.sum("cnt").alias("refs"), F.countDistinct("c").alias("clusters")).where("clusters >= 2").withColumn("score", F.round(F.col("clusters") * F.log2(1 + F.col("refs")), 6))
 
 

@@ -248,10 +248,10 @@ def numbering(spark, d):
     return tbl(spark, d, "lineitem").groupBy("l_orderkey").agg(((F.max("l_linenumber") == n) & (F.min("l_linenumber") == 1)).alias("continuous"), (F.count("*") > n).alias("repeated"))
 
 
-@query("q15_hub_scan", SQL("SELECT doc_id, strlen(text) AS bytes, length(text) - length(replace(text, chr(10), '')) + 1 AS lines FROM documents WHERE strlen(text) >= 10000 OR length(text) - length(replace(text, chr(10), '')) + 1 >= 50"))
+@query("q15_hub_scan", SQL("SELECT doc_id, strlen(text) AS bytes, length(text) - length(replace(text, chr(10), '')) + 1 AS lines FROM documents WHERE strlen(text) >= 50000 OR length(text) - length(replace(text, chr(10), '')) + 1 >= 250"))
 def hubs(spark, d):
     t = tbl(spark, d, "documents").select("doc_id", F.octet_length("text").cast("long").alias("bytes"), F.size(F.split("text", "\n", -1)).cast("long").alias("lines"))
-    return t.where("bytes >= 10000 or lines >= 50")
+    return t.where("bytes >= 50000 or lines >= 250")
 
 
 @query("q17_registry_reconciliation", SQL("SELECT count(*) FILTER (l.doc_id IS NULL) AS unregistered, count(*) FILTER (d.doc_id IS NULL) AS missing, count(*) AS total FROM documents d FULL JOIN labels l ON l.doc_id = d.doc_id"))
