@@ -5,8 +5,8 @@ character shingles: the shingles of a line are generated, hashed and reduced to
 of ``BANDS * ROWS`` bins in one code-generated aggregate. Bands of ``ROWS`` minima are buckets.
 
 Links are found in two rounds. First every class of a bucket meets the bucket's leader, its least key,
-and the links join classes to components. Then each class outside its leader's component meets all
-classes of the bucket that are in another component. So any two classes of a bucket have been compared,
+and the links join classes to components. Then each class outside its leader's component meets the
+classes of the bucket that are in another component: first a few by lot, then all that are left. So any two classes of a bucket have been compared,
 or are in one component.
 
 A comparison has two steps, both exact. Each class has a bitmap of its shingles (``WORDS`` words); bits
@@ -35,6 +35,8 @@ SHINGLE, BANDS, ROWS = 8, 7, 4
 SIMILAR = 75
 #: 64-bit words of a class's bitmap of shingles, in groups of ``GROUP``.
 WORDS, GROUP = 128, 8
+#: Classes of a bucket, about, that its outsiders meet before they meet all.
+ELECTED = 8
 #: Characters of pairs that one task verifies; more tasks are made for more.
 TASK_CHARS = 2_000_000
 #: Rows, and bytes, that are sent to all tasks, when they have been counted; beyond them the texts are shuffled to them.
@@ -144,6 +146,33 @@ def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     return checkpointed(sizes.where(100 * F.col("both") >= SIMILAR * F.col("all")).select("a", "b"))
 
 
+def _outsiders(members: DataFrame, comps: DataFrame, maps: DataFrame, elected: int | None) -> DataFrame:
+    """Pairs that can be similar of a class outside its leader's component and one of the bucket in another component: all, or about ``elected`` of the bucket, by lot."""
+    root = comps.withColumnsRenamed({"node": "cid"})
+    rooted = members.join(root, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    rooted = rooted.join(root.select(F.col("cid").alias("lead"), F.col("root").alias("main")), "lead", "left").withColumn("main", F.coalesce("main", "lead"))
+    rooted = checkpointed(rooted.where("cid <> lead").select("band", "cid", "root", "main"))
+    outside = rooted.where("root <> main")
+    inside = rooted.join(outside.select("band").distinct(), "band", "left_semi")
+    if elected:
+        crowd = rooted.groupBy("band").agg(F.count("*").alias("crowd"))
+        inside = inside.join(crowd, "band").where(F.pmod(F.xxhash64("cid"), "crowd") < elected).drop("crowd")
+    a = outside.join(maps, "cid").select("band", F.col("root").alias("a_root"), *[F.col(c).alias(f"a_{c}") for c in maps.columns])
+    b = inside.join(maps, "cid").select("band", "main", F.col("root").alias("b_root"), *[F.col(c).alias(f"b_{c}") for c in maps.columns])
+    # of two outsiders one order will do where all meet
+    once = F.lit(True) if elected else F.expr("b_root = main or a_cid > b_cid")
+    return a.join(b, "band").where(F.expr("a_root <> b_root") & once).where(_near())
+
+
+def _joined(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """The components ``(node, root)`` with further links between them."""
+    ends = links.join(comps.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(comps.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
+    more = checkpointed(connected_components(ends.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))))
+    joined = comps.join(more.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    # classes that were alone before
+    return checkpointed(joined.unionByName(more.join(joined.select("node"), "node", "left_anti").select("node", "root")))
+
+
 def similar_classes(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """``(cid, root)`` of the classes that are in a component with another."""
     buckets = crowded(banded(rows))
@@ -159,25 +188,11 @@ def similar_classes(rows: DataFrame, classes: DataFrame) -> DataFrame:
     first = verified(texts, checkpointed(near.select(*chosen)))
     comps = checkpointed(connected_components(first))
 
-    # those outside their leader's component with all of the bucket that are in another one
-    root = comps.withColumnsRenamed({"node": "cid"})
-    rooted = members.join(root, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    rooted = rooted.join(root.select(F.col("cid").alias("lead"), F.col("root").alias("main")), "lead", "left").withColumn("main", F.coalesce("main", "lead"))
-    rooted = checkpointed(rooted.where("cid <> lead").select("band", "cid", "root", "main"))
-    outside = rooted.where("root <> main")
-    inside = rooted.join(outside.select("band").distinct(), "band", "left_semi")
-    a = outside.join(maps, "cid").select("band", "root", *maps.columns)
-    b = inside.join(maps, "cid").select(F.col("band"), F.col("main"), F.col("root").alias("b_root"), *[F.col(c).alias(f"b_{c}") for c in maps.columns])
-    a = a.select(F.col("band"), F.col("root").alias("a_root"), *[F.col(c).alias(f"a_{c}") for c in maps.columns])
-    # of two outsiders one order will do
-    met = a.join(b, "band").where("a_root <> b_root and (b_root = main or a_cid > b_cid)").where(_near())
-    second = verified(texts, checkpointed(met.select(*chosen).distinct()))
-    if second.limit(1).count():
-        ends = second.join(comps.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(comps.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
-        more = checkpointed(connected_components(ends.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))))
-        joined = comps.join(more.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-        # classes that were alone before
-        comps = checkpointed(joined.unionByName(more.join(joined.select("node"), "node", "left_anti").select("node", "root")))
+    # a few of each bucket, so that components that are alike in many pairs are joined by one of them; then all that are left
+    for elected in (ELECTED, None):
+        second = verified(texts, checkpointed(_outsiders(members, comps, maps, elected).select(*chosen).distinct()))
+        if second.limit(1).count():
+            comps = _joined(comps, second)
     return comps.select(F.col("node").alias("cid"), "root")
 
 
