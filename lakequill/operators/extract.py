@@ -190,7 +190,7 @@ def paragraph_chunks(text: str | None, size: int = 2000, overlap: int = 200) ->
     for _, of_chunk in groupby(zip(states[1:], paragraphs, strict=True), key=lambda x: x[0][0]):
         out.append("\n\n".join([*(x[-overlap:] for x in out[-1:]), *(p for _, p in of_chunk)]))
     # a chunk that the last paragraph has filled leaves its overlap behind
-    return out + [out[-1][-overlap:]] * (states[-1][1] >= size)
+    return [*out, out[-1][-overlap:]] if states[-1][1] >= size else out
 
 
 def byte_pieces(text: str | None, cap: int = 1800) -> list[str]:
