@@ -6,8 +6,12 @@ only lessen it. Words begin and end with marks that count as letters, and runs o
 ("i d i o t") are one word. A sentence, and so a document, scores as its strongest word does.
 
 Training takes a bounded sample of labelled rows (``SAMPLE`` of each class, those with the smallest
-hashed ids). Examples are words: the positive ones are those that toxic documents share and others lack,
-the negative ones words of other documents. Landmarks are chosen from both by farthest-first in the
+hashed ids), cut into sentences, each with its document's label. Few sentences of a toxic document are
+toxic, so the machine is trained as a multiple-instance one, in ``ROUNDS`` rounds: the sentences that the
+machine so far finds strongest are each toxic document's positive examples (one at least, and up to
+``COVER`` that it calls toxic; in the first round ``COVER``), the strongest sentences of each clean document and some by lot are the
+negative ones, and a machine is trained on them, a sentence standing as its strongest word. The first
+round ranks sentences by the log odds of their triples. Landmarks are chosen by farthest-first in the
 kernel; the machine is trained on the Nyström features, by Newton steps on the squared hinge loss, and
 its scores are set to probabilities by a logistic fit on documents.
 As a score is linear in the landmarks' triples, the trained machine is one table of triple weights.
@@ -20,6 +24,7 @@ share of toxic rows (0 without labels); an empty table gives an empty result; ot
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from itertools import product
 
@@ -28,17 +33,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakequill.llm.common import checkpointed
+
 DECAY, SPAN = 0.6, 6
 #: Labelled documents of each class that training takes at most.
 SAMPLE = 3000
-LANDMARKS, WORDS_EACH = 192, 4000
-#: Kernel value from which a word that toxic documents share is taken for a form of a chosen one.
-ALIKE = 0.45
-#: Chosen words that each toxic document of the sample should have, if it has so many.
-COVER = 3
+#: Landmarks; distinct examples of each class in a round at most, the most frequent ones.
+LANDMARKS, EXAMPLES = 320, 1000
+#: Sentences of each document that are examples, and rounds of choosing them.
+COVER, ROUNDS = 3, 5
+#: How much more frequent in toxic documents a toxic example must be; and what is added to the counts of the first round.
+PURER, SMOOTH = 10, 8
+#: Most frequent toxic examples that are also trained on with a letter inserted; together such forms weigh about as much as the example.
+VARIED = 40
+#: Words of more letters are no examples.
+LONGEST = 64
 _SPACE, _JOINER, _MARK = 0, 1, 2
 _LETTERS = 64
 _CHUNK = 1 << 18
+#: What stands between two sentences.
+_SENTENCE = re.compile(r"(?<=[.!?。！？])\s+|\n+")
 #: White space between two words that each have two letters side by side.
 _BETWEEN = re.compile(r"[^\W\d_]{2}\S*(\s)(?=\s*\S*[^\W\d_]{2})")
 #: Rows of a batch that are scored together.
@@ -225,56 +239,112 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * value + self.shift, -40, 40)))
 
 
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, toxic, document) once per document; words of single letters are joined as in :func:`flatten`."""
+def sentences(text: str) -> list[list[str]]:
+    """The words of each sentence that may be examples; words of single letters are joined as in :func:`flatten`."""
+    out = []
+    for part in _SENTENCE.split(text.lower()):
+        words, run = [], ""
+        for w in [*part.split(), ""]:
+            w = w if w.isalpha() else "".join(filter(str.isalpha, w))
+            if len(w) == 1:
+                run += w
+                continue
+            words += [x for x in (run, w) if 1 < len(x) <= LONGEST]
+            run = ""
+        if words:
+            out.append(sorted(set(words)))
+    return out
+
+
+def _cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(sentences, toxic) of each labelled text."""
     for b in batches:
-        words, marks, docs = [], [], []
-        for text, toxic, doc in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-            seen, run = set(), ""
-            for w in [*(text or "").lower().split(), ""]:
-                w = "".join(filter(str.isalpha, w))
-                if len(w) == 1:
-                    run += w
-                    continue
-                if len(run) > 1:
-                    seen.add(run)
-                run = ""
-                if len(w) > 2:
-                    seen.add(w)
-            words += seen
-            marks += [toxic] * len(seen)
-            docs += [doc] * len(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(marks, pa.int32()), pa.array(docs, pa.int64())], names=["word", "toxic", "doc"])
-
-
-def witnesses(holders: dict[str, set[int]], least: int) -> list[str]:
-    """Greedily, words so that every toxic document has up to ``COVER`` of them, each adding ``least`` documents or more; then the words that are like two of them or more in the kernel.
-
-    A word that copies of a toxic document share by chance adds nothing once the words that make them toxic are there.
+        for lo in range(0, b.num_rows, _ROWS):
+            part = b.slice(lo, _ROWS)
+            yield pa.RecordBatch.from_arrays([pa.array([sentences(t) for t in part.column(0).to_pylist()], pa.list_(pa.list_(pa.string()))), part.column(1)], names=["sentences", "toxic"])
+
+
+def inserted(word: str) -> list[str]:
+    """The word with a letter more between any two of its letters."""
+    return [f"{word[:k]}x{word[k:]}" for k in range(1, len(word))]
+
+
+def _odds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(triple, times in clean and in toxic sentences): each word once per sentence."""
+    times = np.zeros((2, _LETTERS**3), np.int64)
+    held: tuple[list[str], list[str]] = ([], [])
+    size = [0, 0]
+
+    def flush(k: int) -> None:
+        code, word, _ = flatten(["\n".join(held[k])])
+        for _, t, _ in triples(code, word):
+            times[k] += np.bincount(t, minlength=_LETTERS**3)
+        held[k].clear()
+        size[k] = 0
+
+    for b in batches:
+        for cut, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for s in cut:
+                held[toxic].extend(s)
+                size[toxic] += sum(map(len, s))
+                if size[toxic] >= _CHUNK:
+                    flush(toxic)
+    flush(0)
+    flush(1)
+    some = np.flatnonzero(times.any(0))
+    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(times[0, some]), pa.array(times[1, some])], names=["t", "neg", "pos"])
+
+
+def examples(cut: list[list[str]], toxic: int, weights: np.ndarray, bias: float | None) -> list[tuple[str, float]]:
+    """The strongest words, with values, of a document's ``COVER`` strongest sentences; of a clean one ``COVER`` words by lot too. Equal words count once.
+
+    Of a toxic document those above zero, and the strongest in any case; all of them without a bias.
     """
-    times: dict[int, int] = {}
-    left, chosen = dict(holders), []
-    while left:
-        gain = {w: g for w, d in left.items() if (g := sum(times.get(x, 0) < COVER for x in d)) >= least}
-        if not gain:
-            break
-        word = max(gain, key=lambda w: (gain[w], len(left[w]), w))
-        for x in left[word]:
-            times[x] = times.get(x, 0) + 1
-        chosen.append(word)
-        left = {w: d for w, d in left.items() if w in gain and w != word}
-    others = sorted(w for w, d in holders.items() if w not in set(chosen) and len(d) >= least)
-    near = vectors(chosen)
-    alike = [w for w, v in zip(others, vectors(others), strict=True) if sum(sum(x * u.get(k, 0.0) for k, x in v.items()) >= ALIKE for u in near) >= 2]
-    return [*chosen, *alike]
+    words = sorted({w for s in cut for w in s})
+    if not words:
+        return []
+    code, word, owner = flatten(words)
+    value = np.full(len(words), -np.inf)
+    np.maximum.at(value, owner, word_scores(code, word, len(owner), weights) + (bias or 0.0))
+    of = dict(zip(words, value.tolist(), strict=True))
+    strongest = sorted({max(s, key=lambda w: (of[w], w)) for s in cut}, key=lambda w: (-of[w], w))[:COVER]
+    if toxic:
+        return [(w, of[w]) for k, w in enumerate(strongest) if not k or bias is None or of[w] > 0]
+    lot = sorted(words, key=lambda w: zlib.crc32(w.encode()))[:COVER]
+    return [(w, of[w]) for w in dict.fromkeys([*strongest, *lot])]
 
 
 def held_out(key: str = "doc_id"):
     return F.crc32(F.encode(F.col(key).cast("string"), "UTF-8")) % 5 == 0
 
 
+def _examples(rows: DataFrame, purer: DataFrame, weights: np.ndarray, bias: float | None) -> tuple[dict[str, int], list[str]]:
+    """Toxic examples with the number of documents that gave them, and clean ones, the strongest first.
+
+    What stands as often in clean documents is no toxic example, though the strongest of a toxic document.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast((weights, bias))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [(w, t, v) for cut, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for w, v in examples(cut, t, *shared.value)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.string(), pa.int32(), pa.float64()))], names=["word", "toxic", "value"])
+
+    found = checkpointed(rows.mapInArrow(run, "word string, toxic int, value double").groupBy("word", "toxic").agg(F.count("*").alias("n"), F.max("value").alias("value")))
+    toxic = found.where("toxic = 1").join(purer.withColumn("pure", F.lit(True)), "word", "left").orderBy(F.desc_nulls_last("pure"), F.desc("n"), F.desc("value"), "word").limit(EXAMPLES).collect()
+    toxic = [r for r in toxic if r["pure"]] or toxic
+    clean = found.where("toxic = 0")
+    strong = clean.orderBy(F.desc("value"), "word").limit(EXAMPLES // 2).collect()
+    usual = clean.orderBy(F.desc("n"), "word").limit(EXAMPLES // 2).collect()
+    return {r["word"]: r["n"] for r in toxic}, [r["word"] for r in [*strong, *usual]]
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Learns from the labelled rows outside the held-out fifth. What reaches the driver is bounded: ids and scores of the sample, and 2 x ``WORDS_EACH`` words."""
+    """Learns from the labelled rows outside the held-out fifth.
+
+    What reaches the driver is bounded: ids and scores of the sample, a row for each triple, and
+    ``2 * EXAMPLES`` words a round.
+    """
     spark = docs.sparkSession
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = [r for t in (0, 1) for r in usable.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).collect()]
@@ -283,52 +353,41 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         return Model(None, 0, 0, float(bool(toxic)))
     sample = spark.createDataFrame([(r["doc_id"], r["toxic"]) for r in chosen], "doc_id long, toxic int").coalesce(1)
     # at most 2 x SAMPLE ids are broadcast; equal texts count once
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").where("text is not null").groupBy("text").agg(F.max("toxic").alias("toxic"), F.min("doc_id").alias("doc"))
-    rows = rows.persist()
-    try:
-        n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
-        n1, n0 = n.get(1, 0), n.get(0, 0)
-        if not n1 or not n0:
-            return Model(None, 0, 0, float(bool(n1)))
-        words = rows.select("text", "toxic", "doc").mapInArrow(_words, "word string, toxic int, doc long")
-        counts = words.groupBy("word").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg"))
-        counts = counts.persist()
-        found = counts.where(f"pos >= {max(2, n1 // 80)} and neg * {n1} * 20 <= pos * {n0}").orderBy(F.desc("pos"), "word").limit(WORDS_EACH // 2).collect()
-        held: dict[str, set[int]] = {r["word"]: set() for r in found}
-        candidates = spark.createDataFrame([(w,) for w in held], "word string").coalesce(1)
-        for r in words.where("toxic = 1").join(F.broadcast(candidates), "word").select("word", "doc").collect() if held else []:
-            held[r["word"]].add(r["doc"])
-        kept = set(witnesses(held, max(2, n1 // 80)))
-        shared = [r for r in found if r["word"] in kept]
-        clean = counts.where("neg > 0").orderBy(F.xxhash64("word"), "word").limit(WORDS_EACH).collect()
-        rated = counts.where(f"neg > 0 and neg * {n1} * 20 > pos * {n0}").select("word")
-        usual = counts.where(f"neg >= {max(2, n0 // 100)}").orderBy(F.desc("neg"), "word").limit(WORDS_EACH // 4).collect()
-        if not shared:
-            counts.unpersist()
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").where("text is not null").groupBy("text").agg(F.max("toxic").alias("toxic"))
+    rows = checkpointed(rows)
+    n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    n1, n0 = n.get(1, 0), n.get(0, 0)
+    if not n1 or not n0:
+        return Model(None, 0, 0, float(bool(n1)))
+    cut = checkpointed(rows.select("text", "toxic").mapInArrow(_cut_up, "sentences array<array<string>>, toxic int"))
+    words = cut.select("toxic", F.explode(F.array_distinct(F.flatten("sentences"))).alias("word")).groupBy("word").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg"))
+    purer = checkpointed(words.where(f"pos * {n0} > {PURER} * neg * {n1}").select("word"))
+    odds = cut.mapInArrow(_odds, "t int, neg long, pos long").groupBy("t").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos")).toPandas()
+    pos, neg = odds["pos"].to_numpy(), odds["neg"].to_numpy()
+    weights, bias = np.zeros(_LETTERS**3), None
+    share = pos.sum() / (pos.sum() + neg.sum())
+    # what is added is shared out as the classes are, so that a triple never seen says nothing
+    weights[odds["t"].to_numpy()] = np.log((pos + SMOOTH * share) / share) - np.log((neg + SMOOTH * (1 - share)) / (1 - share))
+    negative: dict[str, None] = {}
+    for _ in range(ROUNDS):
+        positive, clean = _examples(cut, purer, weights, bias)
+        if not positive:
             return Model(None, 0, 0, n1 / (n1 + n0))
-        negative = list({r["word"] for r in [*usual, *clean]} - set(held))
-        positive, count = [r["word"] for r in shared], np.array([float(r["pos"]) for r in shared])
-        weights, bias = train_words(positive, count, sorted(negative))
-        # once more, with the clean words that the first machine finds hardest
-        first = spark.sparkContext.broadcast(weights)
-
-        def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(document_values(b.column(0).to_pylist(), first.value))], names=["word", "value"])
-
-        hard = rated.mapInArrow(rate, "word string, value double").orderBy(F.desc("value"), "word").limit(WORDS_EACH // 8).collect()
-        counts.unpersist()
-        weights, bias = train_words(positive, count, [*(r["word"] for r in hard if r["word"] not in held), *sorted(negative)])
-        table = spark.sparkContext.broadcast(weights)
-
-        def value(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                v = document_values([t or "" for t in b.column(0).to_pylist()], table.value) + bias
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(v, -3.0)), b.column(1)], names=["value", "toxic"])
-
-        fitted = rows.select("text", "toxic").mapInArrow(value, "value double, toxic int").toPandas()
-    finally:
-        rows.unpersist()
+        negative |= dict.fromkeys(clean)
+        words = [w for w in positive if w not in negative] or list(positive)
+        forms = {w: float(positive[w]) for w in words}
+        for w in words[:VARIED]:
+            for v in inserted(w):
+                forms.setdefault(v, positive[w] / len(w))
+        weights, bias = train_words(list(forms), np.array(list(forms.values())), list(negative))
+    table = spark.sparkContext.broadcast(weights)
+
+    def value(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v = document_values([t or "" for t in b.column(0).to_pylist()], table.value) + bias
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(v, -3.0)), b.column(1)], names=["value", "toxic"])
+
+    fitted = rows.select("text", "toxic").mapInArrow(value, "value double, toxic int").toPandas()
     x, y = fitted["value"].to_numpy(), fitted["toxic"].to_numpy(float)
     w = np.ones(len(y))
     a, b = 1.0, 0.0

@@ -324,3 +324,26 @@ def test_ngram_join_with_null_and_repeated_ids(spark):
     rows = [(5, same), (None, same), (None, "only here and nowhere else at all"), (7, other), (7, same), (9, other + " b40"), (None, None)]
     got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {(5, 36, 5), (None, 36, 5), (None, 3, None), (7, 36, 5), (9, 37, 5), (None, 0, None)}
+
+
+def test_toxicity_learns_from_sentences(spark):
+    assert toxicity.sentences("Bad one here. Good\nv i l e X") == [["bad", "here", "one"], ["good"], ["vilex"]]
+    assert toxicity.sentences("Bad one. x. " + "y" * (toxicity.LONGEST + 1)) == [["bad", "one"]] and toxicity.sentences("") == []
+    r = random.Random(8)
+    words = ["".join(r.choices("abcdefgh", k=r.randint(2, 8))) for _ in range(600)]
+    rows, labels = [], []
+    for i in range(600):
+        cut = [r.choices(words, k=6) for _ in range(12)]
+        if i % 4 == 0:
+            # each insult in few of the toxic documents
+            cut[r.randrange(12)][2] = ["scoundrel", "villain", "rascal", "knucklehead", "poltroon"][i // 4 % 5]
+        rows.append((i, ". ".join(map(" ".join, cut))))
+        labels.append((i, int(i % 4 == 0)))
+    rows += [(1000, "the poltxroon is here. aa bb"), (1001, "the rasical. aa bb"), (1002, ". ".join(words[:5]))]
+    docs, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    twice = docs.unionByName(docs.where("doc_id < 40"))
+    model = toxicity.train(twice, lab)
+    out = {x["doc_id"]: x for x in toxicity.score(docs, model).collect()}
+    held = [i for i in range(600) if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert sum(out[i]["predicted"] == (i % 4 == 0) for i in held) >= 0.97 * len(held)
+    assert out[1000]["predicted"] == out[1001]["predicted"] == 1 and out[1002]["predicted"] == 0
