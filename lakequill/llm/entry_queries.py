@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakequill.llm import bpe_codec, line_dedup, media, ngram_join, packing, perspectives, pivot_search, sharding, token_counts, toxicity
+from lakequill.llm import bpe_codec, line_dedup, media, ngram_join, packing, perspectives, pivot_search, sharding, tiered_bpe, token_alignment, token_counts, toxicity
 from lakequill.llm.common import table
 
 
@@ -66,6 +66,17 @@ def op9_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivot_search.top_k(table(spark, sf_dir, "embeddings"), lambda i: i % 100 == 0, 10)
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's alignment of the byte-level and the piece vocabulary, with corpus-wide counts of linked ids."""
+    return token_alignment.align_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_tiered_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document by the rank file, and the bytes they decode to."""
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return tiered_bpe.map_codec(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, tiered_bpe.digest, schema)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media,
     "op2_line_dedup": op2_line_dedup,
@@ -77,5 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_pivot_topk": op9_pivot_topk,
     "op10_bpe": op10_bpe,
+    "op11_token_alignment": op11_token_alignment,
+    "op13_tiered_bpe": op13_tiered_bpe,
 }
 ORACLE_SQL: dict[str, str] = {"op5_chat_perspectives": perspectives.ORACLE, "op9_pivot_topk": pivot_search.ORACLE}
