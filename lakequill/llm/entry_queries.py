@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakequill.llm import bpe_codec, line_dedup, media, ngram_join, packing, perspectives, pivot_search, sharding, tiered_bpe, token_alignment, token_counts, toxicity
+from lakequill.llm import bpe_codec, click_windows, line_dedup, media, ngram_join, packing, perspectives, pivot_search, sharding, tiered_bpe, token_alignment, token_counts, toxicity
 from lakequill.llm.common import table
 
 
@@ -71,6 +71,11 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.align_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_click_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of repeated clicks, from ten batches of arrivals fed to a stateful stream."""
+    return click_windows.windows(table(spark, sf_dir, "clicks"))
+
+
 def op13_tiered_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document by the rank file, and the bytes they decode to."""
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -89,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pivot_topk": op9_pivot_topk,
     "op10_bpe": op10_bpe,
     "op11_token_alignment": op11_token_alignment,
+    "op12_click_windows": op12_click_windows,
     "op13_tiered_bpe": op13_tiered_bpe,
 }
 ORACLE_SQL: dict[str, str] = {"op5_chat_perspectives": perspectives.ORACLE, "op9_pivot_topk": pivot_search.ORACLE}
