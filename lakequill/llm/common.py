@@ -31,6 +31,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as a compressed table to the folder of ``spark.checkpoint.dir`` and read back: a checkpoint for wide rows and arrays."""
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores behind it as long as ``df`` has such a column."""
     taken = {c.lower() for c in df.columns}

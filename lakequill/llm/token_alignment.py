@@ -35,10 +35,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakequill.llm.common import checkpointed
+from lakequill.llm.common import stored
 
 #: Characters of text in a block. With its list of segments a block takes a few times as many bytes.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 16_000_000
 #: Pairs held by at least this share of all distinct segments' pairs are joined apart from the others: at most 1 / share of them.
 HOT_SHARE = 1 / 1000
 _CUTS = " \t\n"
@@ -181,7 +181,10 @@ def blocks(docs: DataFrame, byte_path: str, piece_path: str, chars: int = BLOCK_
 
 
 def aligned(blocks: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
-    """``(segment, occurs, n_a, n_b, n_groups, n_links, groups, pairs)`` of every distinct segment; ``pairs`` is an array of ``(a, b, times)``."""
+    """``(number, segment, occurs, n_a, n_b, n_groups, n_links, groups, pairs)`` of every distinct segment; ``pairs`` is an array of ``(a, b, times)``.
+
+    ``number`` is fixed only once the rows are stored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         two = pair(byte_path, piece_path)
@@ -196,7 +199,7 @@ def aligned(blocks: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
 
     distinct = blocks.select(F.explode(F.arrays_zip("segments", "times")).alias("s")).groupBy(F.col("s.segments").alias("segment")).agg(F.sum("s.times").alias("occurs"))
     out = distinct.mapInArrow(run, "segment string, occurs long, n_a long, n_b long, n_groups long, n_links long, groups string, a array<int>, b array<int>, times array<int>")
-    return out.withColumn("pairs", F.arrays_zip("a", "b", "times")).drop("a", "b", "times")
+    return out.withColumn("pairs", F.arrays_zip("a", "b", "times")).drop("a", "b", "times").withColumn("number", F.monotonically_increasing_id())
 
 
 def pair_counts(segments: DataFrame) -> DataFrame:
@@ -205,7 +208,7 @@ def pair_counts(segments: DataFrame) -> DataFrame:
     The most of each second id has at most one row per entry of that vocabulary, so it is broadcast.
     """
     counts = segments.select("occurs", F.explode("pairs").alias("p")).groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.sum(F.col("occurs") * F.col("p.times")).alias("linked"), F.count("*").alias("held_by"))
-    counts = checkpointed(counts)
+    counts = stored(counts)
     most = counts.groupBy("b").agg(F.max("linked").alias("most"))
     return counts.join(F.broadcast(most), "b").select("a", "b", "linked", (F.col("linked") == F.col("most")).cast("long").alias("best"), "held_by")
 
@@ -219,17 +222,17 @@ def alignments(segments: DataFrame, counts: DataFrame) -> DataFrame:
     total = counts.agg(F.coalesce(F.sum("held_by"), F.lit(0)).alias("n")).first()["n"]
     most = max(1.0, total * HOT_SHARE)
     hot = counts.where(F.col("held_by") > most).select(F.col("a").alias("ha"), F.col("b").alias("hb"), F.col("linked").alias("h_linked"), F.col("best").alias("h_best"))
-    rows = segments.select("segment", F.explode("pairs").alias("p")).select("segment", F.col("p.a").alias("a"), F.col("p.b").alias("b"), F.col("p.times").alias("times"))
+    rows = segments.select("number", F.explode("pairs").alias("p")).select("number", F.col("p.a").alias("a"), F.col("p.b").alias("b"), F.col("p.times").alias("times"))
     tried = rows.join(F.broadcast(hot), (F.col("a") == F.col("ha")) & (F.col("b") == F.col("hb")), "left")
 
     def sums(linked: str, best: str) -> list:
-        return [F.sum(F.col("times") * F.col(best)).alias("n_best"), F.sum(F.col("times") * F.col(linked)).alias("count_sum")]
+        return ["number", (F.col("times") * F.col(best)).alias("n_best"), (F.col("times") * F.col(linked)).alias("count_sum")]
 
+    often = tried.where("ha is not null").select(*sums("h_linked", "h_best"))
     cold = counts.where(F.col("held_by") <= most).select("a", "b", "linked", "best")
-    often = tried.where("ha is not null").groupBy("segment").agg(*sums("h_linked", "h_best"))
-    seldom = tried.where("ha is null").select("segment", "a", "b", "times").join(cold, ["a", "b"]).groupBy("segment").agg(*sums("linked", "best"))
-    both = often.unionByName(seldom).groupBy("segment").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
-    return segments.select("segment", "n_a", "n_b", "n_groups", "n_links", "groups").join(both, "segment")
+    seldom = tried.where("ha is null").select("number", "a", "b", "times").join(cold, ["a", "b"]).select(*sums("linked", "best"))
+    both = often.unionByName(seldom).groupBy("number").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
+    return segments.select("number", "segment", "n_a", "n_b", "n_groups", "n_links", "groups").join(both, "number").drop("number")
 
 
 _SUMS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
@@ -263,7 +266,7 @@ def compose(blocks: DataFrame, alignments: DataFrame, digest: bool = True) -> Da
 
 def align_documents(docs: DataFrame, byte_path: str, piece_path: str, digest: bool = True, chars: int = BLOCK_CHARS) -> DataFrame:
     """Both tokenizers' alignment of every document of ``docs(doc_id, text)``; see the module."""
-    cut = checkpointed(blocks(docs, byte_path, piece_path, chars))
-    segments = checkpointed(aligned(cut, byte_path, piece_path))
+    cut = stored(blocks(docs, byte_path, piece_path, chars))
+    segments = stored(aligned(cut, byte_path, piece_path))
     counts = pair_counts(segments)
     return compose(cut, alignments(segments, counts), digest)
