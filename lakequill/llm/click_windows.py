@@ -49,6 +49,8 @@ _SETTINGS = {
     "spark.sql.streaming.statefulOperator.allowMultiple": "false",  # with one stateful operator, late rows are told by the latest watermark
     "spark.sql.streaming.stateStore.providerClass": _ROCKS,
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else each store takes megabytes of disk before it holds a row
+    "spark.sql.streaming.stateStore.maintenanceInterval": "10s",  # stores of the starts before are closed, and their folders deleted
 }
 
 
