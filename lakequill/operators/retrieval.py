@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 K1, B, RRF = 1.5, 0.75, 60
+#: Distinct query terms that are broadcast at most.
+SENT_TERMS = 200_000
 
 
 def token_rows(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
@@ -29,9 +31,26 @@ def bm25(index: DataFrame, stats: DataFrame, queries: DataFrame, key: str, query
 
     Only postings of query terms are kept, by a join on the term; the collection's row is the one broadcast.
     """
-    df = index.groupBy("term").agg(F.count("*").alias("df"))
+    return bm25_parts(index.join(queries.select("term").distinct(), "term", "left_semi"), stats, queries, key, query)
+
+
+def asked_postings(docs: DataFrame, key: str, tokens: Column, queries: DataFrame) -> DataFrame:
+    """``(term, key, tf, dl)`` of the query terms alone, so that other words are left out before the first shuffle.
+
+    Query terms are counted first; up to ``SENT_TERMS`` they are broadcast, beyond that the words are joined by shuffling.
+    """
+    wanted = queries.select("term").distinct()
+    small = wanted.limit(SENT_TERMS + 1).count() <= SENT_TERMS
+    words = docs.select(key, tokens.alias("ts")).select(key, F.size("ts").alias("dl"), F.explode("ts").alias("term"))
+    kept = words.join(F.broadcast(wanted) if small else wanted, "term", "left_semi")
+    return kept.groupBy("term", key, "dl").agg(F.count("*").alias("tf"))
+
+
+def bm25_parts(hits: DataFrame, stats: DataFrame, queries: DataFrame, key: str, query: str) -> DataFrame:
+    """:func:`bm25` over ``hits(term, key, tf, dl)``, the postings of all query terms."""
+    df = hits.groupBy("term").agg(F.count("*").alias("df"))
     asked = queries.groupBy(query, "term").agg(F.count("*").alias("times"))
-    hit = index.join(df, "term").join(asked, "term").crossJoin(F.broadcast(stats))
+    hit = hits.join(df, "term").join(asked, "term").crossJoin(F.broadcast(stats))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return hit.groupBy(query, key).agg(F.round(F.sum(part * F.col("times")), 6).alias("score"))

@@ -5,15 +5,26 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Checkpoint in the folder of ``spark.checkpoint.dir``. Where that is unset, a local session gets a folder of its own; a cluster gets an error."""
-    sc = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``. Where that is unset, a local session gets a folder of its own; a cluster gets an error."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         where = sc.getConf().get("spark.checkpoint.dir")
-        if not where and not sc.master.startswith("local["):
+        if not where and not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(where or f"{tempfile.gettempdir()}/lakequill-{uuid.uuid4().hex}")
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder not used before, below :func:`checkpoint_folder`."""
+    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Checkpoint in the folder of ``spark.checkpoint.dir``, see :func:`checkpoint_folder`."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
