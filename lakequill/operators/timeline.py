@@ -38,3 +38,10 @@ def replay_class(born: Column, at: Column, window: int) -> Column:
 def diff_class(born: Column, updated: Column, a: Column, b: Column) -> Column:
     """new if born in (a, b], updated if changed in it, else unchanged; hidden if born later."""
     return F.when(born > b, "hidden").when(born > a, "new").when((updated > a) & (updated <= b), "updated").otherwise("unchanged")
+
+
+def iso_timestamp(raw: Column | str) -> Column:
+    """An ISO date and time, with ``Z``, an offset with or without a colon, or without a zone (then in the session's); else null."""
+    r = F.trim(raw)
+    whole = r.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(Z|[+-]\d{2}:?\d{2})?$")
+    return F.when(whole, F.try_to_timestamp(F.regexp_replace(r, r"([+-]\d{2})(\d{2})$", "$1:$2")))

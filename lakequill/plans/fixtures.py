@@ -1,9 +1,13 @@
-"""Small typed inputs, given alike to Spark (``frame``) and to the SQL side (``cte``)."""
+"""Inputs given alike to Spark (``frame``) and to the SQL side (``cte``): small typed ones, and those made from whole tables."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
+from lakequill.plans.registry import tbl
+
 _SQL = {"string": "VARCHAR", "long": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN"}
 
 
@@ -38,3 +42,17 @@ class Fixture:
         casts = ", ".join(f"CAST({n} AS {_type(t)}) AS {n}" for n, t in cols)
         rows = ",\n ".join("(" + ", ".join(map(_literal, r)) + ")" for r in self.rows)
         return f"{self.name} AS (SELECT {casts} FROM (VALUES {rows}) v({', '.join(n for n, _ in cols)}))"
+
+
+class Derived:
+    """A relation made from supplied tables by SQL that both engines read alike; ``{table}`` names a table, ``ARR(...)`` makes an array."""
+
+    def __init__(self, name: str, sql: str) -> None:
+        self.name, self.sql, self.tables = name, sql, sorted(set(re.findall(r"{(\w+)}", sql)))
+
+    def frame(self, spark: SparkSession, d: str) -> DataFrame:
+        return spark.sql(self.sql.replace("ARR(", "array("), **{t: tbl(spark, d, t) for t in self.tables})
+
+    @property
+    def cte(self) -> str:
+        return f"{self.name} AS ({self.sql.replace('ARR(', 'list_value(').format(**{t: t for t in self.tables})})"

@@ -6,41 +6,51 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lakequill.operators import extract as X
-from lakequill.plans.fixtures import Fixture
+from lakequill.plans.fixtures import Derived, Fixture
 from lakequill.plans.registry import SQL, query, tbl
-
-MD = Fixture("md", "page string, body string", [
-    ("concepts/A.md", "---\ntitle: \"Alpha page\"\nstatus: seed\nsources:\n  - \"[[@S1]]\"\n  - \"[[raw/@S2.md|two]]\"\nrelated: [ [[B]], [[C#h|see]] ]\nempty:\n---\n# Alpha\n\n## 定義\n- **not a claim** [[@S1]]\n\n## Results (続き)\n- **Latency halves** with [[B]] [[@S1]]\n  - 根拠: [[@S2]] table\n  - 反証: [[@S1]] none\n- plain bullet [[C]]\n- **Cost is flat** [1, 3-5] at 12.5% and 3K runs\n\n> [!contradiction] With [[B]]\n> [[@S2]] says 10,000 not 20%\n\nafter"),
-    ("concepts/B.md", "---\ntitle: 'Beta'\n---\n# Beta\n\n## Notes\n```\n[[Hidden]]\n## not a heading\n```\n[[A]] and [[Missing]]\n## Log\n## [2024-01-02] ingest | one\n- created [[A]]\n## [2024-02-03] lint | two\n- updated [[B]]"),
-    ("concepts/C.md", None),
-])
+from lakequill.sources.tables import checkpointed
+
+# every part is a page of one layout, with links to other parts (some of which there are not), sources and files; large ones have no text
+_N = "chr(10)"
+_C, _E, _A, _B = "'P' || (p_partkey * 7 % 3000)", "'P' || (p_partkey * 3 % 1000)", "'@S' || (p_partkey % 50)", "'@S' || (p_partkey % 50 + 100)"
+_LINES = [
+    "'---'", "'title: \"' || p_name || '\"'", "'status: ' || CASE WHEN p_size < 10 THEN 'seed' ELSE 'grown' END", "'sources:'",
+    f"'  - \"[[' || {_A} || ']]\"'", f"'  - \"[[raw/' || {_B} || '.md|two]]\"'", f"'related: [ [[' || {_C} || ']], [[' || {_E} || '#h|see]] ]'", "'empty:'", "'---'", "'# ' || p_name", "''",
+    "'## 定義'", f"'- **not a claim** [[' || {_A} || ']]'", "''", "'## Results (続き)'", f"'- **Latency of ' || p_name || ' halves** with [[' || {_C} || ']] [[' || {_A} || ']]'",
+    f"'  - 根拠: [[' || {_B} || ']] table'", f"'  - 反証: [[' || {_A} || ']] none'", f"'- plain bullet [[' || {_E} || ']]'", "'- **Cost is ' || p_size || '** [1, 3-5] at 12.5% and 3K runs'", "''",
+    f"'> [!contradiction] With [[' || {_C} || ']]'", f"'> [[' || {_B} || ']] says 10,000 not 20%'", "''", "'```'", "'[[Hidden' || p_size || ']]'", "'## not a heading'", "'```'",
+    "'## Log'", "'## [2024-01-02] ingest | one'", f"'- created [[' || {_C} || ']]'", "'## [2024-02-03] lint | two ' || p_name", f"'- updated [[' || {_E} || ']]'",
+]
+_PAGE = "'concepts/P' || p_partkey || '.md'"
+MD = Derived("md", f"SELECT {_PAGE} AS page, CASE WHEN p_size <= 48 THEN {f' || {_N} || '.join(_LINES)} END AS body FROM {{part}}")
+WRITTEN = "part WHERE p_size <= 48"
 LINK = X.WIKILINK
 
 
 @query("b1_front_matter_scalar", SQL(f"WITH {MD.cte} SELECT page, nullif(trim(regexp_extract(body, '(?m)^title:[ \\t]*(.+?)[ \\t]*$', 1), '\"'''), '') AS title, nullif(regexp_extract(body, '(?m)^status:[ \\t]*(.+?)[ \\t]*$', 1), '') AS status, nullif(regexp_extract(body, '(?m)^empty:[ \\t]*(.+?)[ \\t]*$', 1), '') AS empty FROM md"))
 def scalars(spark, d):
-    return MD.frame(spark).select("page", *[X.scalar("body", k).alias(k) for k in ("title", "status", "empty")])
+    return MD.frame(spark, d).select("page", *[X.scalar("body", k).alias(k) for k in ("title", "status", "empty")])
 
 
-@query("b2_front_matter_links", SQL("SELECT * FROM (VALUES ('concepts/A.md', ['@S1', 'raw/@S2.md'], ['B', 'C']), ('concepts/B.md', [], []), ('concepts/C.md', NULL, NULL)) v(page, sources, related)"))
+@query("b2_front_matter_links", SQL(f"SELECT {_PAGE} AS page, CASE WHEN p_size <= 48 THEN [{_A}, 'raw/' || {_B} || '.md'] END AS sources, CASE WHEN p_size <= 48 THEN [{_C}, {_E}] END AS related FROM part"))
 def front_links(spark, d):
-    return MD.frame(spark).select("page", *[X.front_links("body", k).alias(k) for k in ("sources", "related")])
+    return MD.frame(spark, d).select("page", *[X.front_links("body", k).alias(k) for k in ("sources", "related")])
 
 
 @query("h7_wikilinks", SQL(f"WITH {MD.cte} SELECT page, regexp_extract_all(body, '{LINK}', 1) AS links FROM md"))
 def wikilinks(spark, d):
-    return MD.frame(spark).select("page", X.wikilinks("body").alias("links"))
+    return MD.frame(spark, d).select("page", X.wikilinks("body").alias("links"))
 
 
 @query("h8_link_names", SQL(f"WITH {MD.cte}, l AS (SELECT page, unnest(regexp_extract_all(body, '{LINK}', 1)) AS t FROM md) SELECT page, regexp_replace(string_split(trim(t), '/')[-1], '\\.md$', '') AS name, count(*) AS n FROM l GROUP BY ALL"))
 def link_names(spark, d):
-    return MD.frame(spark).select("page", F.explode(X.wikilinks("body")).alias("t")).select("page", X.link_name(F.col("t")).alias("name")).groupBy("page", "name").agg(F.count("*").alias("n"))
+    return MD.frame(spark, d).select("page", F.explode(X.wikilinks("body")).alias("t")).select("page", X.link_name(F.col("t")).alias("name")).groupBy("page", "name").agg(F.count("*").alias("n"))
 
 
 @query("c1_first_wins_link_resolution", SQL(f"""WITH {MD.cte}, stems AS (SELECT regexp_extract(page, '([^/]+)\\.md$', 1) AS name, min(page) AS target FROM md GROUP BY 1), l AS (SELECT page, unnest(regexp_extract_all(body, '{LINK}', 1)) AS name FROM md)
 SELECT DISTINCT l.page AS src, target AS dst FROM l JOIN stems USING (name) WHERE l.page <> target"""))
 def resolution(spark, d):
-    md = MD.frame(spark)
+    md = MD.frame(spark, d)
     stems = md.groupBy(F.regexp_extract("page", r"([^/]+)\.md$", 1).alias("name")).agg(F.min("page").alias("dst"))
     return md.select(F.col("page").alias("src"), F.explode(X.wikilinks("body")).alias("name")).join(stems, "name").where("src <> dst").select("src", "dst").distinct()
 
@@ -48,7 +58,7 @@ def resolution(spark, d):
 @query("c2_dead_links", SQL(f"""WITH {MD.cte}, stems AS (SELECT regexp_extract(page, '([^/]+)\\.md$', 1) AS name FROM md), l AS (SELECT page, unnest(regexp_extract_all(body, '{LINK}', 1)) AS name FROM md)
 SELECT name AS target, count(*) AS refs, list_sort(list(DISTINCT page)) AS referrers FROM l WHERE name NOT IN (SELECT name FROM stems) GROUP BY name"""))
 def dead(spark, d):
-    md = MD.frame(spark)
+    md = MD.frame(spark, d)
     stems = md.select(F.regexp_extract("page", r"([^/]+)\.md$", 1).alias("target"))
     gone = md.select("page", F.explode(X.wikilinks("body")).alias("target")).join(stems, "target", "left_anti")
     return gone.groupBy("target").agg(F.count("*").alias("refs"), F.sort_array(F.collect_set("page")).alias("referrers"))
@@ -57,81 +67,95 @@ def dead(spark, d):
 @query("b7_dead_target_causes", SQL(f"""WITH {MD.cte}, t AS (SELECT DISTINCT unnest(regexp_extract_all(body, '{LINK}', 1)) AS t FROM md)
 SELECT t AS target, CASE WHEN t LIKE 'raw/%' OR t LIKE '_attachments/%' THEN 'file-ref' WHEN regexp_matches(t, '\\.[A-Za-z0-9]{{1,5}}$') THEN 'file-ref' WHEN t LIKE '@%' THEN 'missing-source' ELSE 'missing-page' END AS cause FROM t"""))
 def causes(spark, d):
-    t = MD.frame(spark).select(F.explode(X.wikilinks("body")).alias("target")).distinct()
+    t = MD.frame(spark, d).select(F.explode(X.wikilinks("body")).alias("target")).distinct()
     cause = F.when(F.col("target").rlike("^(raw|_attachments)/") | F.col("target").rlike(r"\.[A-Za-z0-9]{1,5}$"), "file-ref").when(F.startswith("target", F.lit("@")), "missing-source").otherwise("missing-page")
     return t.select("target", cause.alias("cause"))
 
 
-@query("h9_links_outside_fences", SQL("SELECT * FROM (VALUES ('concepts/B.md', 'A', 11), ('concepts/B.md', 'Missing', 11), ('concepts/B.md', 'A', 14), ('concepts/B.md', 'B', 16)) v(page, link, no)"))
+@query("h9_links_outside_fences", SQL(f"SELECT {_PAGE} AS page, unnest([{_A}, 'raw/' || {_B} || '.md', {_C}, {_E}, {_A}, {_C}, {_A}, {_B}, {_A}, {_E}, {_C}, {_B}, {_C}, {_E}]) AS link, unnest([5, 6, 7, 7, 13, 16, 16, 17, 18, 19, 22, 23, 31, 33]) AS no FROM {WRITTEN}"))
 def outside(spark, d):
-    rows = X.fenced(X.lines(MD.frame(spark).where("page like '%B.md'"), "page", "body"), "page").where("not fence")
+    rows = X.fenced(X.lines(MD.frame(spark, d).where("body is not null"), "page", "body"), "page").where("not fence")
     return rows.select("page", F.explode(X.wikilinks("line")).alias("link"), "no")
 
 
-@query("h28_sections", SQL("SELECT * FROM (VALUES ('concepts/A.md', '定義', 2), ('concepts/A.md', 'Results (続き)', 10), ('concepts/B.md', 'Notes', 2), ('concepts/B.md', 'not a heading', 2), ('concepts/B.md', 'Log', 0), ('concepts/B.md', '[2024-01-02] ingest | one', 1), ('concepts/B.md', '[2024-02-03] lint | two', 1)) v(page, section, n)"))
+@query("h28_sections", SQL(f"""SELECT {_PAGE} AS page, section, CAST(n AS BIGINT) AS n FROM {WRITTEN.replace(' WHERE', ", (VALUES ('定義', 2), ('Results (続き)', 11), ('not a heading', 1), ('Log', 0), ('[2024-01-02] ingest | one', 1)) v(section, n) WHERE")}
+UNION ALL SELECT {_PAGE}, '[2024-02-03] lint | two ' || p_name, 1 FROM {WRITTEN}"""))
 def sections(spark, d):
-    rows = X.sections(X.lines(MD.frame(spark).where("body is not null"), "page", "body"), "page").where("section is not null")
+    rows = X.sections(X.lines(MD.frame(spark, d).where("body is not null"), "page", "body"), "page").where("section is not null")
     return rows.groupBy("page", "section").agg(F.count_if(~F.col("is_heading")).alias("n"))
 
 
-@query("b13_section_kinds", SQL("SELECT * FROM (VALUES ('定義', 'definition'), ('Results (続き)', 'topic'), ('Notes', 'topic'), ('not a heading', 'topic'), ('Log', 'topic'), ('[2024-01-02] ingest | one', 'topic'), ('[2024-02-03] lint | two', 'topic')) v(section, kind)"))
+@query("b13_section_kinds", SQL(f"""SELECT * FROM (VALUES ('定義', 'definition'), ('Results (続き)', 'topic'), ('not a heading', 'topic'), ('Log', 'topic'), ('[2024-01-02] ingest | one', 'topic')) v(section, kind)
+UNION ALL SELECT DISTINCT '[2024-02-03] lint | two ' || p_name, 'topic' FROM {WRITTEN}"""))
 def section_kinds(spark, d):
-    s = X.sections(X.lines(MD.frame(spark).where("body is not null"), "page", "body"), "page").where("is_heading").select("section").distinct()
+    s = X.sections(X.lines(MD.frame(spark, d).where("body is not null"), "page", "body"), "page").where("is_heading").select("section").distinct()
     base = F.trim(F.regexp_replace("section", r"[(（][^()（）]*[)）]\s*$", ""))
     return s.select("section", F.when(base == "定義", "definition").when(base == "子概念", "children").when(base.isin("関連", "出典", "参照"), "reference").otherwise("topic").alias("kind"))
 
 
-@query("n1_claims", SQL("SELECT * FROM (VALUES ('concepts/A.md', 'Results (続き)', 16, 'Latency halves', ['@S1', '@S2'], ['B'], 2), ('concepts/A.md', 'Results (続き)', 20, 'Cost is flat', [], [], 0)) v(page, section, line, claim, sources, targets, evidence)"))
+@query("n1_claims", SQL(f"""SELECT {_PAGE} AS page, 'Results (続き)' AS section, 16 AS line, 'Latency of ' || p_name || ' halves' AS claim, [{_A}, {_B}] AS sources, [{_C}] AS targets, 2 AS evidence FROM {WRITTEN}
+UNION ALL SELECT {_PAGE}, 'Results (続き)', 20, 'Cost is ' || p_size, [], [], 0 FROM {WRITTEN}"""))
 def claims(spark, d):
-    c = MD.frame(spark).where("page like '%A.md'").select("page", F.explode(X.claims_udf("body")).alias("c"))
+    c = MD.frame(spark, d).select("page", F.explode(X.claims_udf("body")).alias("c"))
     return c.select("page", "c.section", "c.line", "c.claim", "c.sources", "c.targets", F.size("c.evidence").alias("evidence"))
 
 
-@query("n2_evidence_roles", SQL("SELECT * FROM (VALUES ('Latency halves', '根拠', 1), ('Latency halves', '反証', 1)) v(claim, role, n)"))
+@query("n2_evidence_roles", SQL(f"SELECT 'Latency of ' || p_name || ' halves' AS claim, role, count(*) AS n FROM {WRITTEN.replace(' WHERE', ", (VALUES ('根拠'), ('反証')) v(role) WHERE")} GROUP BY ALL"))
 def evidence(spark, d):
-    c = MD.frame(spark).select(F.explode(X.claims_udf("body")).alias("c")).select("c.claim", F.explode("c.evidence").alias("e"))
+    c = MD.frame(spark, d).select(F.explode(X.claims_udf("body")).alias("c")).select("c.claim", F.explode("c.evidence").alias("e"))
     return c.groupBy("claim", F.regexp_extract("e", "^([^:：]+)[:：]", 1).alias("role")).agg(F.count("*").alias("n"))
 
 
-@query("n3_callouts", SQL("SELECT * FROM (VALUES ('concepts/A.md', 'Results (続き)', 22, 1, 'With [[B]]', '[[@S2]] says 10,000 not 20%', ['B'], ['@S2'])) v(page, section, line, depth, title, body, pages, sources)"))
+@query("n3_callouts", SQL(f"SELECT {_PAGE} AS page, 'Results (続き)' AS section, 22 AS line, 1 AS depth, 'With [[' || {_C} || ']]' AS title, '[[' || {_B} || ']] says 10,000 not 20%' AS body, [{_C}] AS pages, [{_B}] AS sources FROM {WRITTEN}"))
 def callouts(spark, d):
-    return MD.frame(spark).select("page", F.explode(X.callouts_udf("body")).alias("c")).select("page", "c.*")
+    return MD.frame(spark, d).select("page", F.explode(X.callouts_udf("body")).alias("c")).select("page", "c.*")
 
 
-@query("q19_callout_ids", SQL("SELECT 'x-0001' AS id, 'concepts/A.md' AS page, 'open' AS status"))
+@query("q19_callout_ids", SQL(f"SELECT 'x-' || lpad(CAST(row_number() OVER (ORDER BY {_PAGE}) AS VARCHAR), CAST(greatest(4, length(CAST(row_number() OVER (ORDER BY {_PAGE}) AS VARCHAR))) AS INTEGER), '0') AS id, {_PAGE} AS page, 'open' AS status FROM {WRITTEN}"))
 def callout_ids(spark, d):
-    c = callouts(spark, d)
-    n = F.row_number().over(W.partitionBy(F.lit(0)).orderBy("page", "line"))
+    """Numbers run over all pages in order: counted within ranges of pages, behind the sum of the ranges before."""
+    c = checkpointed(callouts(spark, d).select("page", "line", "body").repartitionByRange("page", "line").withColumn("part", F.spark_partition_id()))
+    before = c.groupBy("part").agg(F.count("*").alias("k"))  # a row a partition
+    before = before.withColumn("before", F.coalesce(F.sum("k").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    n = (F.row_number().over(W.partitionBy("part").orderBy("page", "line")) + F.col("before")).cast("string")
     explained = F.col("body").rlike("(?i)resolved|explained|解消")
-    return c.select(F.concat(F.lit("x-"), F.lpad(n.cast("string"), 4, "0")).alias("id"), "page", F.when(explained, "explained").otherwise("open").alias("status"))
+    c = c.join(F.broadcast(before), "part").withColumn("n", n)
+    return c.select(F.concat(F.lit("x-"), F.when(F.length("n") < 4, F.lpad("n", 4, "0")).otherwise(F.col("n"))).alias("id"), "page", F.when(explained, "explained").otherwise("open").alias("status"))
 
 
-@query("n4_log_entries", SQL("SELECT * FROM (VALUES ('2024-01-02', 'ingest', 'one', ['A']), ('2024-02-03', 'lint', 'two', ['B'])) v(date, op, title, links)"))
+@query("n4_log_entries", SQL(f"SELECT {_PAGE} AS page, '2024-01-02' AS date, 'ingest' AS op, 'one' AS title, [{_C}] AS links FROM {WRITTEN} UNION ALL SELECT {_PAGE}, '2024-02-03', 'lint', 'two ' || p_name, [{_E}] FROM {WRITTEN}"))
 def log_entries(spark, d):
-    rows = X.lines(MD.frame(spark).where("page like '%B.md'"), "page", "body")
+    rows = X.lines(MD.frame(spark, d).where("body is not null"), "page", "body")
     head = r"^## \[(\d{4}-\d{2}-\d{2})\] (\S+) \| (.*)$"
     w = W.partitionBy("page").orderBy("no").rowsBetween(W.unboundedPreceding, 0)
     rows = rows.withColumn("entry", F.sum(F.col("line").rlike(head).cast("int")).over(w)).where("entry > 0")
     first = F.min_by("line", "no")
-    return rows.groupBy("entry").agg(first.alias("h"), F.flatten(F.collect_list(X.wikilinks("line"))).alias("links")).select(F.regexp_extract("h", head, 1).alias("date"), F.regexp_extract("h", head, 2).alias("op"), F.regexp_extract("h", head, 3).alias("title"), "links")
+    return rows.groupBy("page", "entry").agg(first.alias("h"), F.flatten(F.collect_list(X.wikilinks("line"))).alias("links")).select("page", F.regexp_extract("h", head, 1).alias("date"), F.regexp_extract("h", head, 2).alias("op"), F.regexp_extract("h", head, 3).alias("title"), "links")
+
+
+BRACKETS = Derived("brackets", "SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN p_size || ', ' || (p_size + 2) || '-' || (p_size + 4) WHEN 1 THEN '' || p_size WHEN 2 THEN '1-90' ELSE p_size || '–' || (p_size + 1) END AS inside FROM {part}")
+NUMBERS = Derived("numbers", """SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN 'at ' || p_size || '.5% and ' || p_size || 'K runs [4]' WHEN 1 THEN p_size || ',000 not 20%' WHEN 2 THEN p_size || '.5億 in 2024, Figure 3' WHEN 3 THEN NULL
+ ELSE p_size || ',000,000 = ' || p_size || 'M' END AS text FROM {part}""")
 
 
-@query("h23_citation_brackets", SQL("SELECT * FROM (VALUES (1, [1, 3, 4, 5]), (2, [7]), (3, []), (4, [2, 3])) v(id, numbers)"))
+@query("h23_citation_brackets", SQL("SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN [p_size, p_size + 2, p_size + 3, p_size + 4] WHEN 1 THEN [p_size] WHEN 2 THEN [] ELSE [p_size, p_size + 1] END AS numbers FROM part"))
 def brackets(spark, d):
-    f = spark.createDataFrame([(1, "1, 3-5"), (2, "7"), (3, "1-90"), (4, "2–3")], "id int, inside string")
-    return f.select("id", X.bracket_numbers(F.col("inside")).alias("numbers"))
+    return BRACKETS.frame(spark, d).select("id", X.bracket_numbers(F.col("inside")).alias("numbers"))
 
 
-@query("h25_number_keys", SQL("SELECT * FROM (VALUES (1, ['12.5%', '3000']), (2, ['10000', '20%']), (3, ['350000000', '2024']), (4, []), (5, ['1000000'])) v(id, keys)"))
+@query("h25_number_keys", SQL("SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN [p_size || '.5%', p_size || '000'] WHEN 1 THEN [p_size || '000', '20%'] WHEN 2 THEN [p_size || '50000000', '2024'] WHEN 3 THEN [] ELSE [p_size || '000000'] END AS keys FROM part"))
 def numbers(spark, d):
-    f = spark.createDataFrame([(1, "at 12.5% and 3K runs [4]"), (2, "10,000 not 20%"), (3, "3.5億 in 2024, Figure 3"), (4, None), (5, "1,000,000 = 1M")], "id int, text string")
-    return f.select("id", X.numbers_udf("text").alias("keys"))
+    return NUMBERS.frame(spark, d).select("id", X.numbers_udf("text").alias("keys"))
 
 
-@query("o8_number_verification", SQL("SELECT * FROM (VALUES (1, '12.5%', 'ok'), (1, '3000', 'missing'), (2, '7', 'raw_only')) v(claim, key, state)"))
+@query("o8_number_verification", SQL("""SELECT p_partkey AS claim, p_size || '.5%' AS key, CASE WHEN p_size % 3 = 0 THEN 'ok' WHEN p_size % 3 = 1 THEN 'raw_only' ELSE 'missing' END AS state FROM part
+UNION ALL SELECT p_partkey, p_size || '000', CASE WHEN p_size % 2 = 0 THEN 'ok' ELSE 'missing' END FROM part"""))
 def verification(spark, d):
-    claims_ = spark.createDataFrame([(1, "12.5% of 3K"), (2, "7 nodes")], "claim int, text string")
-    held = spark.createDataFrame([(1, "page", "12.5 % here: 12.5%"), (2, "raw", "7 nodes")], "claim int, side string, text string")
+    part = tbl(spark, d, "part").select(F.col("p_partkey").alias("claim"), F.col("p_size").alias("n"))
+    claims_ = part.select("claim", F.concat("n", F.lit(".5% of "), "n", F.lit("K")).alias("text"))
+    share, whole = F.concat("n", F.lit(".5 % here: "), "n", F.lit(".5%")), F.concat("n", F.lit(",000 nodes"))
+    held = part.select("claim", F.lit("page").alias("side"), F.concat_ws(" and ", F.when(F.col("n") % 3 == 0, share), F.when(F.col("n") % 2 == 0, whole)).alias("text"))
+    held = held.unionByName(part.where("n % 3 < 2").select("claim", F.lit("raw").alias("side"), share.alias("text")))
     c = claims_.select("claim", F.explode(X.numbers_udf("text")).alias("key"))
     h = held.select("claim", "side", F.explode(X.numbers_udf("text")).alias("key")).groupBy("claim", "key").agg(F.max(F.col("side") == "page").alias("page"))
     return c.join(h, ["claim", "key"], "left").select("claim", "key", F.when(F.col("page"), "ok").when(F.col("page").isNotNull(), "raw_only").otherwise("missing").alias("state"))

@@ -6,14 +6,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lakequill.operators import graph as G
-from lakequill.plans.fixtures import Fixture
+from lakequill.plans.fixtures import Derived
 from lakequill.plans.registry import SQL, query, tbl
 
-LINKS = Fixture("links", "src string, dst string, kind string, source string, pos int", [
-    ("A", "B", "link", None, 1), ("B", "A", "link", None, 1), ("A", "C", "link", None, 2), ("A", "S1", "fm-source", None, 3), ("B", "S1", "fm-source", None, 2),
-    ("C", "S2", "fm-source", None, 1), ("D", "S2", "fm-source", None, 1), ("P", "H", "claim-link", "S1", 1), ("P", "I", "claim-link", "S1", 2), ("P", "I", "claim-link", "S2", 3),
-    ("P", "S3", "claim-cite", "S1", 4), ("Q", "H", "link", None, 1), ("H", "P", "fm-related", None, 1), ("G", "A", "fm-related", None, 1), ("I", "I", "link", None, 1),
-])
+# the parts of an order's first two lines link to each other, by a claim that cites the supplier where the line came back; a part returned has its supplier as a source
+LINKS = Derived("links", """SELECT 'P' || x.l_partkey AS src, 'P' || y.l_partkey AS dst, CASE x.l_returnflag WHEN 'R' THEN 'claim-link' WHEN 'A' THEN 'link' ELSE 'fm-related' END AS kind, CASE WHEN x.l_returnflag = 'R' THEN 'S' || x.l_suppkey END AS source, x.l_orderkey AS pos
+FROM {lineitem} x JOIN {lineitem} y ON x.l_orderkey = y.l_orderkey WHERE x.l_linenumber = 1 AND y.l_linenumber = 2
+UNION ALL SELECT 'P' || l_partkey, 'S' || l_suppkey, 'fm-source', NULL, l_orderkey FROM {lineitem} WHERE l_linenumber = 1 AND l_returnflag = 'R' AND l_linestatus = 'F'""")
 RANK = "CASE kind WHEN 'claim-link' THEN 5 WHEN 'claim-cite' THEN 4 WHEN 'link' THEN 3 WHEN 'fm-source' THEN 2 ELSE 1 END"
 WEIGHT = "CASE kind WHEN 'claim-link' THEN 1.5 WHEN 'claim-cite' THEN 1.0 WHEN 'link' THEN 1.0 WHEN 'fm-source' THEN 0.6 ELSE 0.4 END"
 COLLAPSED = f"""{LINKS.cte}, c AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, arg_max(kind, {RANK}) AS kind, count(DISTINCT src < dst) AS ways FROM links WHERE src <> dst GROUP BY 1, 2),
@@ -23,60 +22,68 @@ co AS (SELECT x.node AS a, y.node AS b, 1.0 / log2(2 + k) AS w FROM cb x JOIN cb
 FULL = f"""{COLLAPSED}, {COCITED}, g AS (SELECT a, b, sum(w) AS w FROM (SELECT a, b, w FROM typed UNION ALL SELECT * FROM co) GROUP BY ALL), adj AS (SELECT a, b, w FROM g UNION ALL SELECT b, a, w FROM g)"""
 
 
-def _full(spark):
-    links = LINKS.frame(spark)
+def _full(spark, d):
+    links = LINKS.frame(spark, d)
     co = G.cocitation(links.where("dst like 'S%'"), "dst", "src")
     return G.collapse(links).select("a", "b", "w").unionByName(co.select("a", "b", "w")).groupBy("a", "b").agg(F.sum("w").alias("w"))
 
 
+def _seeds(spark, d, n):
+    """The n pages of least name, as the pages that a search found first."""
+    first = LINKS.frame(spark, d).select(F.col("src").alias("seed")).distinct().orderBy("seed").limit(n)
+    pos = F.row_number().over(W.orderBy("seed"))
+    return first.select("seed", (1.0 / pos).alias("weight"), (pos - 1).alias("pos"))
+
+
 @query("d3_edge_kind_collapse", SQL(f"WITH {COLLAPSED} SELECT * FROM typed"))
 def collapse(spark, d):
-    return G.collapse(LINKS.frame(spark))
+    return G.collapse(LINKS.frame(spark, d))
 
 
 @query("m1_page_graph", SQL(f"WITH {FULL} SELECT a, b, round(w, 6) AS w FROM g"))
 def page_graph(spark, d):
-    return _full(spark).select("a", "b", F.round("w", 6).alias("w"))
+    return _full(spark, d).select("a", "b", F.round("w", 6).alias("w"))
 
 
 @query("d4_edge_provenance", SQL(f"""WITH {LINKS.cte}, x AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, source, pos FROM links WHERE kind = 'claim-link' AND source IS NOT NULL AND src <> dst),
 y AS (SELECT a, b, source, min(pos) AS pos FROM x GROUP BY ALL) SELECT a, b, list(source ORDER BY pos)[1:8] AS sources, count(*) AS n_sources FROM y GROUP BY ALL"""))
 def provenance(spark, d):
-    x = LINKS.frame(spark).where("kind = 'claim-link' and source is not null and src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "source", "pos")
+    x = LINKS.frame(spark, d).where("kind = 'claim-link' and source is not null and src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "source", "pos")
     y = x.groupBy("a", "b", "source").agg(F.min("pos").alias("pos")).groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("pos", "source"))).alias("s"), F.count("*").alias("n_sources"))
     return y.select("a", "b", F.slice("s.source", 1, G.SOURCES_CAP).alias("sources"), "n_sources")
 
 
-@query("m2_seeded_expansion_1hop", SQL(f"""WITH {FULL}, seeds AS (SELECT * FROM (VALUES ('A', 1.0, 0), ('P', 0.5, 1)) v(seed, weight, pos)),
+@query("m2_seeded_expansion_1hop", SQL(f"""WITH {FULL}, s0 AS (SELECT DISTINCT src FROM links ORDER BY src LIMIT 5), seeds AS (SELECT src AS seed, 1.0 / row_number() OVER (ORDER BY src) AS weight, row_number() OVER (ORDER BY src) - 1 AS pos FROM s0),
 dg AS (SELECT a, count(*) AS deg FROM adj GROUP BY a), s AS (SELECT adj.b AS node, seed, pos, weight * adj.w / log2(2 + deg) AS c FROM seeds JOIN adj ON adj.a = seed JOIN dg ON dg.a = adj.b WHERE adj.b NOT IN (SELECT seed FROM seeds)),
 t AS (SELECT node, seed, pos, sum(c) AS c FROM s GROUP BY ALL)
 SELECT node, round(sum(c), 6) AS score, arg_min(seed, (-round(c, 9), pos)) AS best_seed FROM t GROUP BY node"""))
 def expansion(spark, d):
-    seeds = spark.createDataFrame([("A", 1.0, 0), ("P", 0.5, 1)], "seed string, weight double, pos int")
-    return G.expand(G.symmetric(_full(spark)), seeds, 1).withColumn("score", F.round("score", 6))
+    seeds = _seeds(spark, d, 5)
+    return G.expand(G.symmetric(_full(spark, d)), seeds, 1).withColumn("score", F.round("score", 6))
 
 
 @query("m2_seeded_expansion_2hops", SQL(f"""WITH {FULL}, dg AS (SELECT a, count(*) AS deg FROM adj GROUP BY a),
-h1 AS (SELECT adj.b AS node, adj.w AS s, deg FROM adj JOIN dg ON dg.a = adj.b WHERE adj.a = 'A'),
-h2 AS (SELECT adj.b AS node, h1.s * adj.w * 0.5 AS s, dg.deg FROM h1 JOIN adj ON adj.a = h1.node JOIN dg ON dg.a = adj.b WHERE adj.b <> 'A' AND adj.b NOT IN (SELECT node FROM h1))
-SELECT node, round(sum(s / log2(2 + deg)), 6) AS score, 'A' AS best_seed FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2) GROUP BY node"""))
+h1 AS (SELECT adj.b AS node, adj.w AS s, deg FROM adj JOIN dg ON dg.a = adj.b WHERE adj.a = (SELECT min(src) FROM links)),
+h2 AS (SELECT adj.b AS node, h1.s * adj.w * 0.5 AS s, dg.deg FROM h1 JOIN adj ON adj.a = h1.node JOIN dg ON dg.a = adj.b WHERE adj.b <> (SELECT min(src) FROM links) AND adj.b NOT IN (SELECT node FROM h1))
+SELECT node, round(sum(s / log2(2 + deg)), 6) AS score, (SELECT min(src) FROM links) AS best_seed FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2) GROUP BY node"""))
 def expansion2(spark, d):
-    seeds = spark.createDataFrame([("A", 1.0, 0)], "seed string, weight double, pos int")
-    return G.expand(G.symmetric(_full(spark)), seeds, 2).withColumn("score", F.round("score", 6))
+    seeds = _seeds(spark, d, 1)
+    return G.expand(G.symmetric(_full(spark, d)), seeds, 2).withColumn("score", F.round("score", 6))
 
 
 @query("m3_edge_explanation", SQL(f"WITH {FULL} SELECT g.a, g.b, coalesce(typed.kind, 'cocite') AS kind, round(g.w, 6) AS w FROM g LEFT JOIN typed USING (a, b)"))
 def explanation(spark, d):
-    return _full(spark).join(G.collapse(LINKS.frame(spark)).select("a", "b", "kind"), ["a", "b"], "left").select("a", "b", F.coalesce("kind", F.lit("cocite")).alias("kind"), F.round("w", 6).alias("w"))
+    return _full(spark, d).join(G.collapse(LINKS.frame(spark, d)).select("a", "b", "kind"), ["a", "b"], "left").select("a", "b", F.coalesce("kind", F.lit("cocite")).alias("kind"), F.round("w", 6).alias("w"))
 
 
-@query("m4_two_hop_neighbourhood", SQL(f"""WITH {FULL}, d1 AS (SELECT b AS node FROM adj WHERE a = 'A'),
-d2 AS (SELECT y.b AS node, arg_min(y.a, (-round(x.w * y.w, 9), y.a)) AS mid FROM adj x JOIN adj y ON x.b = y.a WHERE x.a = 'A' AND y.b <> 'A' AND y.b NOT IN (SELECT node FROM d1) GROUP BY 1)
+@query("m4_two_hop_neighbourhood", SQL(f"""WITH {FULL}, d1 AS (SELECT b AS node FROM adj WHERE a = (SELECT min(src) FROM links)),
+d2 AS (SELECT y.b AS node, arg_min(y.a, (-round(x.w * y.w, 9), y.a)) AS mid FROM adj x JOIN adj y ON x.b = y.a WHERE x.a = (SELECT min(src) FROM links) AND y.b <> (SELECT min(src) FROM links) AND y.b NOT IN (SELECT node FROM d1) GROUP BY 1)
 SELECT node, 1 AS dist, NULL AS mid FROM d1 UNION ALL SELECT node, 2, mid FROM d2"""))
 def two_hops(spark, d):
-    adj = G.symmetric(_full(spark))
-    d1 = adj.where("a = 'A'").select(F.col("b").alias("mid"), F.col("w").alias("w1"))
-    d2 = d1.join(adj.withColumnRenamed("a", "mid"), "mid").where("b <> 'A'").join(d1.select(F.col("mid").alias("b")), "b", "left_anti")
+    adj = G.symmetric(_full(spark, d))
+    seed = F.broadcast(_seeds(spark, d, 1).select("seed"))
+    d1 = adj.join(seed, F.col("a") == F.col("seed")).select(F.col("b").alias("mid"), F.col("w").alias("w1"))
+    d2 = d1.join(adj.withColumnRenamed("a", "mid"), "mid").join(seed, F.col("b") == F.col("seed"), "left_anti").join(d1.select(F.col("mid").alias("b")), "b", "left_anti")
     d2 = d2.withColumn("r", F.row_number().over(W.partitionBy("b").orderBy(F.desc(F.round(F.col("w1") * F.col("w"), 9)), "mid"))).where("r = 1")
     return d1.select(F.col("mid").alias("node"), F.lit(1).alias("dist"), F.lit(None).cast("string").alias("mid")).unionByName(d2.select(F.col("b").alias("node"), F.lit(2).alias("dist"), "mid"))
 
@@ -225,10 +232,15 @@ def node_size(spark, d):
     return _edges(spark, d).groupBy(F.col("dst").alias("node")).agg(F.round(2 + 2.2 * F.log2(1 + F.sum("cnt")), 6).alias("size"))
 
 
-@query("d30_topology_hash", SQL(f"WITH {FULL} SELECT sha256(string_agg(a || chr(9) || b || chr(9) || CAST(CAST(round(w * 1000) AS BIGINT) AS VARCHAR), chr(10) ORDER BY a, b)) AS topology FROM g"))
+@query("d30_topology_hash", SQL(f"""WITH {FULL}, n AS (SELECT a AS node, sha256(string_agg(b || chr(9) || CAST(CAST(round(w * 1000) AS BIGINT) AS VARCHAR), chr(10) ORDER BY b)) AS h FROM adj GROUP BY a),
+k AS (SELECT left(h, 2) AS k, sha256(string_agg(node || chr(9) || h, chr(10) ORDER BY node)) AS h FROM n GROUP BY 1) SELECT k AS slice, h AS topology FROM k"""))
 def topology(spark, d):
-    line = F.concat_ws("\t", "a", "b", F.round(F.col("w") * 1000).cast("long").cast("string"))
-    return _full(spark).agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("a", "b", line.alias("l")))), lambda x: x["l"]), "\n"), 256).alias("topology"))
+    """A hash of each node's sorted edges, and of the nodes in each of 256 slices: equal graphs, and no others, have equal rows."""
+    adj = G.symmetric(_full(spark, d))
+    line = F.concat_ws("\t", "b", F.round(F.col("w") * 1000).cast("long").cast("string"))
+    node = adj.groupBy(F.col("a").alias("node")).agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", line.alias("l")))), lambda x: x["l"]), "\n"), 256).alias("h"))
+    listed = F.sort_array(F.collect_list(F.struct("node", F.concat_ws("\t", "node", "h").alias("l"))))
+    return node.groupBy(F.substring("h", 1, 2).alias("slice")).agg(F.sha2(F.array_join(F.transform(listed, lambda x: x["l"]), "\n"), 256).alias("topology"))
 
 
 @query("b10_backbone_with_reasons", SQL(f"""WITH {EDGES}, n AS (SELECT 'p' || p_partkey AS node, CASE WHEN p_size < 5 THEN 'seed' ELSE 'ok' END AS status FROM part), k AS (SELECT * FROM n WHERE status <> 'seed')

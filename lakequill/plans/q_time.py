@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lakequill.operators import sessions as S
 from lakequill.operators import timeline as T
-from lakequill.plans.fixtures import Fixture
+from lakequill.plans.fixtures import Derived, Fixture
 from lakequill.plans.registry import SQL, query, tbl
 
 BORN = "o AS (SELECT o_orderkey AS id, o_orderpriority AS kind, o_orderstatus AS status, CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS INTEGER) AS day FROM orders)"
@@ -72,18 +72,19 @@ def recent(spark, d):
     return _born(spark, d).where(f"day > {AT - 30} and day <= {AT}").groupBy("kind").agg(F.count("*").alias("recent"))
 
 
-DATES = Fixture("dates", "id int, raw string", [(1, "2024-02-29"), (2, "2024-02-30"), (3, "2023-05-01T10:00:00Z"), (4, None), (5, ""), (6, "soon"), (7, "1969-12-31")])
+DATES = Derived("dates", "SELECT stamp_id AS id, raw FROM {stamps}")
+_DAY = r"CASE WHEN regexp_matches(left(raw, 10), '^\d{4}-\d{2}-\d{2}$') THEN TRY_CAST(left(raw, 10) AS DATE) END"
 
 
-@query("i1_day_parse", SQL(f"WITH {DATES.cte} SELECT id, CAST(date_diff('day', DATE '1970-01-01', TRY_CAST(left(raw, 10) AS DATE)) AS INTEGER) AS day FROM dates"))
+@query("i1_day_parse", SQL(f"WITH {DATES.cte} SELECT id, CAST(date_diff('day', DATE '1970-01-01', {_DAY}) AS INTEGER) AS day FROM dates"))
 def day_parse(spark, d):
-    return DATES.frame(spark).select("id", T.day("raw").alias("day"))
+    return DATES.frame(spark, d).select("id", T.day("raw").alias("day"))
 
 
-@query("i2_days_since", SQL(f"WITH {DATES.cte} SELECT id, CAST(coalesce(greatest(0, date_diff('day', TRY_CAST(left(raw, 10) AS DATE), DATE '2024-03-10')), 10000) AS INTEGER) AS days, round(exp(-coalesce(greatest(0, date_diff('day', TRY_CAST(left(raw, 10) AS DATE), DATE '2024-03-10')), 10000) / 30.0), 6) AS recency FROM dates"))
+@query("i2_days_since", SQL(f"WITH {DATES.cte} SELECT id, CAST(coalesce(greatest(0, date_diff('day', {_DAY}, DATE '2024-03-10')), 10000) AS INTEGER) AS days, round(exp(-coalesce(greatest(0, date_diff('day', {_DAY}, DATE '2024-03-10')), 10000) / 30.0), 6) AS recency FROM dates"))
 def since(spark, d):
     days = T.days_since(F.try_to_date(F.substring("raw", 1, 10), "yyyy-MM-dd"), F.lit("2024-03-10").cast("date"))
-    return DATES.frame(spark).select("id", days.alias("days"), F.round(F.exp(-days / 30.0), 6).alias("recency"))
+    return DATES.frame(spark, d).select("id", days.alias("days"), F.round(F.exp(-days / 30.0), 6).alias("recency"))
 
 
 @query("i5_month_extraction", SQL("SELECT strftime(ts, '%Y-%m') AS month, event_type, count(*) AS n FROM events GROUP BY ALL"))
@@ -91,12 +92,13 @@ def month(spark, d):
     return tbl(spark, d, "events").groupBy(F.date_format("ts", "yyyy-MM").alias("month"), "event_type").agg(F.count("*").alias("n"))
 
 
-STAMPS = Fixture("stamps", "id int, raw string", [(1, "2024-01-01T10:00:00Z"), (2, "2024-01-01T10:00:00+09:00"), (3, "2024-01-01T10:00:00"), (4, "never"), (5, None)])
+_ISO = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(Z|[+-]\d{2}:?\d{2})?$"
 
 
-@query("i6_timestamp_parse", SQL(f"WITH {STAMPS.cte} SELECT id, CASE WHEN raw LIKE '%+09:00' THEN epoch_us(TRY_CAST(left(raw, 19) AS TIMESTAMP)) - 32400000000 ELSE epoch_us(TRY_CAST(replace(raw, 'Z', '') AS TIMESTAMP)) END AS micros FROM stamps"))
+@query("i6_timestamp_parse", SQL(f"""WITH {DATES.cte}, t AS (SELECT id, trim(raw) AS r FROM dates), z AS (SELECT id, r, regexp_extract(r, '([+-])(\\d{{2}}):?(\\d{{2}})$', ['s', 'h', 'm']) AS z FROM t WHERE regexp_matches(r, '{_ISO}'))
+SELECT dates.id, CAST(epoch_us(TRY_CAST(replace(left(r, 19), 'T', ' ') AS TIMESTAMP)) - CASE WHEN z.z.s = '' OR length(r) = 19 THEN 0 ELSE (CASE z.z.s WHEN '-' THEN -1 ELSE 1 END) * (60 * CAST(z.z.h AS BIGINT) + CAST(z.z.m AS BIGINT)) * 60000000 END AS BIGINT) AS micros FROM dates LEFT JOIN z USING (id)"""))
 def stamp(spark, d):
-    return STAMPS.frame(spark).select("id", F.unix_micros(F.try_to_timestamp("raw")).alias("micros"))
+    return DATES.frame(spark, d).select("id", F.unix_micros(T.iso_timestamp("raw")).alias("micros"))
 
 
 # sessions: events of a user in time order
