@@ -129,6 +129,11 @@ def compatible(s: Column | str) -> Column:
     return _where_not_ascii(s, lambda c: F.trim(F.lower(c)), lambda t: unicodedata.normalize("NFKC", t).casefold().strip())
 
 
+def compatible_lower(s: Column | str) -> Column:
+    """Compatibility-folded and lower-cased; unlike case folding this keeps a sharp s. A null is empty."""
+    return _where_not_ascii(s, F.lower, lambda t: unicodedata.normalize("NFKC", t).lower())
+
+
 def fold_latin(s: Column | str) -> Column:
     """``fold`` for text without compatibility characters, in the JVM."""
     return F.regexp_replace(F.lower(s), "[^0-9a-z]+", "")

@@ -54,10 +54,11 @@ def roles(spark, d):
     return tbl(spark, d, "conversations").groupBy((F.col("conv_id") % 10).alias("ident"), "role").agg(F.count("*").alias("n"))
 
 
-@query("d23_stamp_suppression", SQL("WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), s AS (SELECT doc_id, line FROM l WHERE line <> '' GROUP BY ALL HAVING count(*) >= 2) SELECT doc_id, count(*) AS kept FROM l WHERE line <> '' AND NOT EXISTS (SELECT 1 FROM s WHERE s.doc_id = l.doc_id AND s.line = l.line) GROUP BY doc_id"))
+@query("d23_stamp_suppression", SQL("WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), n AS (SELECT doc_id, line, count(*) AS n FROM l WHERE line <> '' GROUP BY ALL) SELECT doc_id, CAST(sum(n) AS BIGINT) AS kept FROM n WHERE n < 3 GROUP BY doc_id"))
 def stamps(spark, d):
+    """A line that stands three times or more in a document is a stamp and counts no more."""
     l = tbl(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line")).where("line <> ''").groupBy("doc_id", "line").agg(F.count("*").alias("n"))  # noqa: E741
-    return l.where("n < 2").groupBy("doc_id").agg(F.sum("n").alias("kept"))
+    return l.where("n < 3").groupBy("doc_id").agg(F.sum("n").alias("kept"))
 
 
 @query("d24_verdict_summary", SQL("SELECT toxic AS verdict, count(*) AS n, round(count(*) * 1.0 / sum(count(*)) OVER (), 6) AS rate FROM labels GROUP BY toxic"))
@@ -100,10 +101,14 @@ def ready_refs(spark, d):
     return tbl(spark, d, "lineitem").where("l_returnflag = 'N'").groupBy(F.col("l_partkey").alias("key")).agg(F.count("*").alias("demand")).where("demand >= 2").join(done, "key", "left_anti")
 
 
-@query("b16_compile_debt", SQL("WITH c AS (SELECT o_custkey AS page, count(*) FILTER (o_orderstatus = 'O') AS inbox, count(*) FILTER (o_orderstatus = 'F') AS topics FROM orders GROUP BY 1) SELECT page, inbox, topics FROM c WHERE inbox >= 5 OR (topics = 0 AND inbox >= 3)"))
+@query("b16_compile_debt", SQL("WITH c AS (SELECT l_partkey AS page, count(*) FILTER (l_returnflag = 'A' AND l_quantity > 30) AS inbox, count(*) FILTER (l_returnflag = 'N') AS waiting, count(*) FILTER (l_returnflag = 'R' AND l_quantity > 40) AS topics FROM lineitem GROUP BY 1) SELECT page, inbox, waiting, topics FROM c WHERE inbox >= 5 OR (topics = 0 AND waiting >= 15)"))
 def debt(spark, d):
-    c = tbl(spark, d, "orders").groupBy(F.col("o_custkey").alias("page")).agg(F.count_if(F.col("o_orderstatus") == "O").alias("inbox"), F.count_if(F.col("o_orderstatus") == "F").alias("topics"))
-    return c.where("inbox >= 5 or (topics = 0 and inbox >= 3)")
+    c = tbl(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("page")).agg(
+        F.count_if((F.col("l_returnflag") == "A") & (F.col("l_quantity") > 30)).alias("inbox"),
+        F.count_if(F.col("l_returnflag") == "N").alias("waiting"),
+        F.count_if((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 40)).alias("topics"),
+    )
+    return c.where("inbox >= 5 or (topics = 0 and waiting >= 15)")
 
 
 @query("c19_reverse_index", SQL("SELECT l_partkey AS feature, list_sort(list(DISTINCT l_suppkey)) AS sources FROM lineitem GROUP BY 1"))
@@ -130,11 +135,12 @@ def difference(spark, d):
     return L.missing_both_ways(tbl(spark, d, "lineitem").where("l_quantity > 49").select(F.col("l_suppkey").alias("k")), tbl(spark, d, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("k")), "k")
 
 
-@query("o2_referential_integrity", SQL("SELECT l_partkey AS k, 'left' AS side FROM (SELECT DISTINCT l_partkey FROM lineitem) WHERE l_partkey NOT IN (SELECT p_partkey FROM part) UNION ALL SELECT p_partkey, 'right' FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_discount > 0.05)"))
+@query("o2_referential_integrity", SQL("SELECT DISTINCT sale_id AS k, 'left' AS side FROM sale_lines l WHERE NOT EXISTS (SELECT 1 FROM sales s WHERE s.sale_id = l.sale_id) UNION ALL SELECT DISTINCT sale_id, 'right' FROM sales s WHERE NOT EXISTS (SELECT 1 FROM sale_lines l WHERE l.sale_id = s.sale_id)"))
 def integrity(spark, d):
-    li, p = tbl(spark, d, "lineitem"), tbl(spark, d, "part").select(F.col("p_partkey").alias("k"))
-    a = li.select(F.col("l_partkey").alias("k")).distinct().join(p, "k", "left_anti").withColumn("side", F.lit("left"))
-    return a.unionByName(p.join(li.where("l_discount > 0.05").select(F.col("l_partkey").alias("k")), "k", "left_anti").withColumn("side", F.lit("right")))
+    """Lines of sales that there are not, and sales without a line."""
+    li, s = tbl(spark, d, "sale_lines").select(F.col("sale_id").alias("k")), tbl(spark, d, "sales").select(F.col("sale_id").alias("k"))
+    a = li.join(s, "k", "left_anti").distinct().withColumn("side", F.lit("left"))
+    return a.unionByName(s.join(li, "k", "left_anti").distinct().withColumn("side", F.lit("right")))
 
 
 @query("o3_key_uniqueness", SQL("SELECT l_orderkey, l_partkey, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1"))
@@ -230,9 +236,10 @@ def greedy(spark, d):
     return c.groupBy("conv_id").applyInPandas(take, "conv_id long, turn long, cost long, taken boolean")
 
 
-@query("g3_set_difference", SQL("SELECT DISTINCT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey FROM supplier"))
+@query("g3_set_difference", SQL("SELECT l_partkey AS k FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45 EXCEPT SELECT p_partkey FROM part WHERE p_size > 10"))
 def set_difference(spark, d):
-    return tbl(spark, d, "customer").select(F.col("c_nationkey").alias("k")).distinct().subtract(tbl(spark, d, "supplier").select(F.col("s_nationkey").alias("k")))
+    cited = tbl(spark, d, "lineitem").where("l_returnflag = 'R' and l_quantity > 45").select(F.col("l_partkey").alias("k"))
+    return cited.subtract(tbl(spark, d, "part").where("p_size > 10").select(F.col("p_partkey").alias("k")))
 
 
 @query("g4_token_intersection", SQL("WITH b AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS bs FROM benchmark), p AS (SELECT i.item_id, j.item_id AS other, len(list_intersect(i.bs, j.bs)) AS n FROM b i JOIN b j ON i.item_id < j.item_id) SELECT item_id, other, n FROM p WHERE n >= 5"))
@@ -248,10 +255,11 @@ def numbering(spark, d):
     return tbl(spark, d, "lineitem").groupBy("l_orderkey").agg(((F.max("l_linenumber") == n) & (F.min("l_linenumber") == 1)).alias("continuous"), (F.count("*") > n).alias("repeated"))
 
 
-@query("q15_hub_scan", SQL("SELECT doc_id, strlen(text) AS bytes, length(text) - length(replace(text, chr(10), '')) + 1 AS lines FROM documents WHERE strlen(text) >= 50000 OR length(text) - length(replace(text, chr(10), '')) + 1 >= 250"))
+@query("q15_hub_scan", SQL("SELECT source AS page, CAST(sum(strlen(text)) AS BIGINT) AS bytes, CAST(sum(length(text) - length(replace(text, chr(10), '')) + 1) AS BIGINT) AS lines FROM documents GROUP BY source HAVING sum(strlen(text)) >= 50000 OR sum(length(text) - length(replace(text, chr(10), '')) + 1) >= 250"))
 def hubs(spark, d):
-    t = tbl(spark, d, "documents").select("doc_id", F.octet_length("text").cast("long").alias("bytes"), F.size(F.split("text", "\n", -1)).cast("long").alias("lines"))
-    return t.where("bytes >= 50000 or lines >= 250")
+    """A source's documents make up one page; large pages are hubs."""
+    t = tbl(spark, d, "documents").select(F.col("source").alias("page"), F.octet_length("text").cast("long").alias("b"), F.size(F.split("text", "\n", -1)).cast("long").alias("l")).where("b is not null")
+    return t.groupBy("page").agg(F.sum("b").alias("bytes"), F.sum("l").alias("lines")).where("bytes >= 50000 or lines >= 250")
 
 
 @query("q17_registry_reconciliation", SQL("SELECT count(*) FILTER (l.doc_id IS NULL) AS unregistered, count(*) FILTER (d.doc_id IS NULL) AS missing, count(*) AS total FROM documents d FULL JOIN labels l ON l.doc_id = d.doc_id"))
@@ -277,11 +285,20 @@ def category(spark, d):
     return tbl(spark, d, "pages").select("page_id", F.when(u.endswith(".pdf"), "pdf").when(u.contains("/blog"), "blog").when(u.contains("/a"), "a").otherwise("other").alias("category"))
 
 
-@query("l5_map_merge", SQL("SELECT 'a' AS k, '9' AS v UNION ALL SELECT 'b', '2' UNION ALL SELECT 'c', '3'"))
+@query("l5_map_merge", SQL("""WITH n AS (SELECT client_id, segment, city, balance FROM client_changes WHERE op <> 'D' QUALIFY row_number() OVER (PARTITION BY client_id ORDER BY seq DESC, change_id DESC) = 1),
+m AS (SELECT c.client_id, unnest(['name', 'city', 'segment', 'balance']) AS k, unnest([c.name, coalesce(n.city, c.city), coalesce(n.segment, c.segment), CAST(CAST(round(n.balance * 100) AS BIGINT) AS VARCHAR)]) AS v FROM clients c JOIN n USING (client_id)) SELECT client_id, k, v FROM m WHERE v IS NOT NULL"""))
 def map_merge(spark, d):
-    m = spark.createDataFrame([({"a": "1", "b": "2"}, {"a": "9", "c": "3"})], "old map<string,string>, new map<string,string>")
+    """What a client's last change gives goes over what was there; other fields stay."""
+    pair = lambda k, c: F.struct(F.lit(k).alias("k"), c.alias("v"))
+    fields = lambda *ps: F.map_from_entries(F.filter(F.array(*ps), lambda p: p["v"].isNotNull()))
+    change = tbl(spark, d, "client_changes").where("op <> 'D'").groupBy("client_id").agg(F.max_by(F.struct("segment", "city", "balance"), F.struct("seq", "change_id")).alias("n"))
+    both = tbl(spark, d, "clients").join(change, "client_id").select(
+        "client_id",
+        fields(pair("name", F.col("name")), pair("city", F.col("city")), pair("segment", F.col("segment"))).alias("old"),
+        fields(pair("city", F.col("n.city")), pair("segment", F.col("n.segment")), pair("balance", F.round(F.col("n.balance") * 100).cast("long").cast("string"))).alias("new"),
+    )
     kept = F.map_filter("old", lambda k, v: ~F.map_contains_key("new", k))
-    return m.select(F.explode(F.map_concat(kept, "new")).alias("k", "v"))
+    return both.select("client_id", F.explode(F.map_concat(kept, "new")).alias("k", "v"))
 
 
 @query("l1_json_tolerant", SQL("SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lakequill.plans.fixtures import Fixture
+from lakequill.plans.fixtures import Derived
 from lakequill.plans.q_graph import EDGES, LABEL, _edges, _labels
 from lakequill.plans.registry import SQL, query, tbl
 
@@ -27,32 +27,36 @@ def visible(spark, d):
     return v.agg(F.count("*").alias("nodes"), F.countDistinct("c").alias("clusters")).crossJoin(shown.agg(F.count("*").alias("edges")))
 
 
-BLOCKS = Fixture("blocks", "id int, x0 double, y0 double, x1 double", [(1, 0.0, 0.0, 100.0), (2, 55.0, 10.0, 95.0), (3, 5.0, 12.0, 45.0), (4, 5.0, 30.0, 45.0), (5, 0.0, 50.0, 100.0), (6, 60.0, 60.0, 90.0), (7, 5.0, 70.0, 45.0)])
+# an order is a page of blocks: every fourth line goes over the whole width, returned ones stand in the left column
+BLOCKS = Derived("blocks", """SELECT l_orderkey AS page, l_linenumber * 100000000 + l_partkey AS id, CASE WHEN l_linenumber % 4 = 1 THEN 0 WHEN l_returnflag = 'R' THEN 5 ELSE 55 END AS x0, l_linenumber * 10 AS y0,
+CASE WHEN l_linenumber % 4 = 1 THEN 100 WHEN l_returnflag = 'R' THEN 45 ELSE 95 END AS x1 FROM {lineitem}""")
 
 
-@query("f12_reading_order", SQL("SELECT * FROM (VALUES (1, 1), (3, 2), (4, 3), (2, 4), (5, 5), (7, 6), (6, 7)) v(id, pos)"))
+@query("f12_reading_order", SQL(f"""WITH {BLOCKS.cte}, b AS (SELECT *, x1 - x0 > 60 AS whole FROM blocks), n AS (SELECT *, sum(CASE WHEN whole THEN 1 ELSE 0 END) OVER (PARTITION BY page ORDER BY y0, x0, id ROWS UNBOUNDED PRECEDING) AS band, x0 >= 50 AND NOT whole AS r FROM b)
+SELECT page, id, CAST(row_number() OVER (PARTITION BY page ORDER BY band, whole DESC, r, y0, x0, id) AS INTEGER) AS pos FROM n"""))
 def reading_order(spark, d):
-    """Full-width blocks split bands; inside a band the left column comes first."""
-    w = W.partitionBy(F.lit(0)).orderBy("y0", "x0")
-    b = BLOCKS.frame(spark).withColumn("full", F.col("x1") - F.col("x0") > 60).withColumn("band", F.sum(F.col("full").cast("int")).over(w)).withColumn("right", (F.col("x0") >= 50) & ~F.col("full"))
-    return b.select("id", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("band", F.desc("full"), "right", "y0", "x0")).alias("pos"))
+    """Full-width blocks split a page into bands; inside a band the left column comes first. A page's blocks are few."""
+    w = W.partitionBy("page").orderBy("y0", "x0", "id")
+    b = BLOCKS.frame(spark, d).withColumn("full", F.col("x1") - F.col("x0") > 60).withColumn("band", F.sum(F.col("full").cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("right", (F.col("x0") >= 50) & ~F.col("full"))
+    return b.select("page", "id", F.row_number().over(W.partitionBy("page").orderBy("band", F.desc("full"), "right", "y0", "x0", "id")).alias("pos"))
 
 
-@query("q5_length_bounds", SQL("SELECT doc_id, CASE WHEN n > 30 THEN 'long' WHEN n < 3 THEN 'short' END AS warning FROM (SELECT doc_id, len(string_split(text, chr(10))) AS n FROM documents) WHERE n > 30 OR n < 3"))
+@query("q5_length_bounds", SQL("SELECT doc_id, CASE WHEN n > 300 THEN 'long' ELSE 'short' END AS warning FROM (SELECT doc_id, len(string_split(text, chr(10))) AS n, CASE WHEN lang = 'de' THEN 30 ELSE 100 END AS least FROM documents) WHERE n > 300 OR n < least"))
 def bounds(spark, d):
-    n = tbl(spark, d, "documents").select("doc_id", F.size(F.split("text", "\n", -1)).alias("n"))
-    return n.where("n > 30 or n < 3").select("doc_id", F.when(F.col("n") > 30, "long").otherwise("short").alias("warning"))
+    """Over 300 lines, or under 100; texts in German stand for books, for which 30 will do."""
+    n = tbl(spark, d, "documents").select("doc_id", F.size(F.split("text", "\n", -1)).alias("n"), F.when(F.col("lang") == "de", 30).otherwise(100).alias("least")).where("n >= 0")
+    return n.where("n > 300 or n < least").select("doc_id", F.when(F.col("n") > 300, "long").otherwise("short").alias("warning"))
 
 
-FIGS = Fixture("figs", "id int, text string", [(1, "Figure 3 and Figures 5-7"), (2, "figure 2, Figure 2"), (3, "none"), (4, None)])
+FIGS = Derived("figs", "SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN 'Figure ' || p_size || ' and Figures ' || (p_size + 5) || '-' || (p_size + 7) WHEN 1 THEN 'figure ' || p_size || ', Figure ' || p_size WHEN 2 THEN 'none' WHEN 3 THEN NULL ELSE 'Figures ' || p_size || '-' || (p_size + 90) END AS text FROM {part}")
 
 
-@query("h38_figure_ids", SQL("SELECT * FROM (VALUES (1, [3, 5, 6, 7]), (2, [2]), (3, []), (4, NULL)) v(id, figures)"))
+@query("h38_figure_ids", SQL("SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN [p_size, p_size + 5, p_size + 6, p_size + 7] WHEN 1 THEN [p_size] WHEN 2 THEN [] WHEN 3 THEN NULL ELSE [p_size] END AS figures FROM part"))
 def figures(spark, d):
     found = F.regexp_extract_all("text", F.lit(r"(?i)figures?\s+(\d+(?:\s*[-–]\s*\d+)?)"), F.lit(1))
     parts = F.transform(found, lambda x: F.transform(F.split(x, r"\s*[-–]\s*"), lambda y: y.cast("int")))
     spans = F.transform(parts, lambda p: F.when(F.abs(F.element_at(p, -1) - F.element_at(p, 1)) <= 20, F.sequence(F.element_at(p, 1), F.element_at(p, -1))).otherwise(F.array(F.element_at(p, 1))))
-    return FIGS.frame(spark).select("id", F.array_sort(F.array_distinct(F.flatten(spans))).alias("figures"))
+    return FIGS.frame(spark, d).select("id", F.array_sort(F.array_distinct(F.flatten(spans))).alias("figures"))
 
 
 @query("q45_stale_pruning", SQL("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lakequill.functions import text as TX
+from lakequill.plans.q_graph import LINKS
 from lakequill.plans.registry import SQL, query, tbl
 
 # The types that count as such, the default type of a folder, and the words by which a state is guessed.
@@ -26,14 +28,17 @@ def status(spark, d):
     return tbl(spark, d, "orders").select(F.col("o_orderkey").alias("page"), F.when(s.isin("F", "O"), s).otherwise("unknown").alias("status"))
 
 
-@query("b8_type_visibility", SQL("SELECT l_partkey AS src, l_suppkey AS dst, count(*) AS cnt FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey WHERE p_brand IN (SELECT min(p_brand) FROM part UNION ALL SELECT max(p_brand) FROM part) AND s_nationkey < 12 GROUP BY 1, 2"))
+@query("b8_type_visibility", SQL("""WITH o AS (SELECT * FROM (VALUES (FALSE), (TRUE)) v(all_types)), s AS (SELECT p_partkey AS k, p_brand IN (SELECT min(p_brand) FROM part UNION ALL SELECT max(p_brand) FROM part) AS shown FROM part)
+SELECT all_types, l_partkey AS src, l_suppkey AS dst, count(*) AS cnt FROM lineitem JOIN s ON s.k = l_partkey JOIN supplier ON s_suppkey = l_suppkey, o WHERE all_types OR (shown AND s_nationkey < 12) GROUP BY ALL"""))
 def visible(spark, d):
-    part, shown = tbl(spark, d, "part"), F.col("p_brand").isin
-    ends = part.agg(F.min("p_brand").alias("lo"), F.max("p_brand").alias("hi")).first()
-    src = part.where(shown(ends["lo"], ends["hi"])).select(F.col("p_partkey").alias("src"))
-    dst = tbl(spark, d, "supplier").where("s_nationkey < 12").select(F.col("s_suppkey").alias("dst"))
-    edges = tbl(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"))
-    return edges.join(src, "src", "left_semi").join(dst, "dst", "left_semi").groupBy("src", "dst").agg(F.count("*").alias("cnt"))
+    """With a set of visible types an edge is hidden if either end is; without a set (``all_types``) nothing is."""
+    part = tbl(spark, d, "part")
+    ends = part.agg(F.min("p_brand").alias("lo"), F.max("p_brand").alias("hi"))
+    src = part.crossJoin(F.broadcast(ends)).select(F.col("p_partkey").alias("src"), F.col("p_brand").isin(F.col("lo"), F.col("hi")).alias("s_on"))
+    dst = tbl(spark, d, "supplier").select(F.col("s_suppkey").alias("dst"), (F.col("s_nationkey") < 12).alias("d_on"))
+    edges = tbl(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).agg(F.count("*").alias("cnt"))
+    both = edges.join(src, "src").join(dst, "dst").withColumn("all_types", F.explode(F.array(F.lit(True), F.lit(False))))
+    return both.where("all_types or (s_on and d_on)").select("all_types", "src", "dst", "cnt")
 
 
 @query("b9_all_terms_filter", SQL("SELECT doc_id FROM documents WHERE contains(lower(text || ' ' || source), 'the') AND contains(lower(text || ' ' || source), 'end') AND contains(lower(text || ' ' || source), 'ing')"))
@@ -43,12 +48,20 @@ def all_terms(spark, d):
     return tbl(spark, d, "documents").withColumn("body", body).where(F.forall(terms, lambda t: F.col("body").contains(t))).select("doc_id")
 
 
-@query("b11_screen_backbone", SQL("WITH e AS (SELECT DISTINCT l_partkey AS n FROM lineitem), b AS (SELECT o.seeds, o.isolated, p_partkey AS node FROM part LEFT JOIN e ON n = p_partkey CROSS JOIN (VALUES (TRUE, TRUE), (TRUE, FALSE), (FALSE, TRUE), (FALSE, FALSE)) o(seeds, isolated) WHERE (o.seeds OR p_size >= 5) AND (o.isolated OR n IS NOT NULL)) SELECT * FROM b"))
+@query("b11_screen_backbone", SQL(f"""WITH {LINKS.cte}, e AS (SELECT DISTINCT CAST(substr(src, 2) AS BIGINT) AS a, CAST(substr(dst, 2) AS BIGINT) AS b FROM links WHERE dst LIKE 'P%' AND src <> dst),
+o AS (SELECT * FROM (VALUES (TRUE, TRUE), (TRUE, FALSE), (FALSE, TRUE), (FALSE, FALSE)) o(seeds, isolated)), k AS (SELECT seeds, isolated, p_partkey AS node FROM part, o WHERE seeds OR p_size >= 5),
+ends AS (SELECT x.seeds, x.isolated, e.a, e.b FROM e JOIN k x ON x.node = a JOIN k y ON y.node = b AND y.seeds = x.seeds AND y.isolated = x.isolated)
+SELECT * FROM k WHERE isolated OR EXISTS (SELECT 1 FROM ends WHERE ends.seeds = k.seeds AND ends.isolated = k.isolated AND (ends.a = k.node OR ends.b = k.node))"""))
 def screen_backbone(spark, d):
-    linked = tbl(spark, d, "lineitem").select(F.col("l_partkey").alias("node")).distinct().withColumn("on", F.lit(True))
-    n = tbl(spark, d, "part").select(F.col("p_partkey").alias("node"), "p_size").join(linked, "node", "left")
+    """Seeds go first, then edges without both ends, then nodes without an edge that is left."""
+    e = LINKS.frame(spark, d).where("dst like 'P%' and src <> dst").select(F.substring("src", 2, 20).cast("long").alias("node"), F.substring("dst", 2, 20).cast("long").alias("other")).distinct()
+    both = e.unionByName(e.select(F.col("other").alias("node"), F.col("node").alias("other")))
+    grown = tbl(spark, d, "part").select(F.col("p_partkey").alias("other"), (F.col("p_size") >= 5).alias("grown"))
+    degree = both.join(grown, "other").groupBy("node").agg(F.count("*").alias("deg"), F.count_if("grown").alias("grown_deg"))
+    n = tbl(spark, d, "part").select(F.col("p_partkey").alias("node"), "p_size").join(degree, "node", "left")
     options = F.array(*[F.struct(F.lit(s).alias("seeds"), F.lit(i).alias("isolated")) for s in (True, False) for i in (True, False)])
-    return n.select("*", F.inline(options)).where("(seeds or p_size >= 5) and (isolated or on)").select("seeds", "isolated", "node")
+    left = F.coalesce(F.when(F.col("seeds"), F.col("deg")).otherwise(F.col("grown_deg")), F.lit(0))
+    return n.select("*", F.inline(options)).where("seeds or p_size >= 5").where(F.col("isolated") | (left > 0)).select("seeds", "isolated", "node")
 
 
 @query("d11_screen_cluster_summary", SQL("WITH i AS (SELECT l_partkey AS k, count(*) AS n FROM lineitem GROUP BY 1), r AS (SELECT p_brand AS cluster, p_partkey AS top, coalesce(n, 0) AS inbound, count(*) OVER (PARTITION BY p_brand) AS size, row_number() OVER (PARTITION BY p_brand ORDER BY coalesce(n, 0) DESC, p_size % 4, p_partkey) AS r FROM part LEFT JOIN i ON k = p_partkey) SELECT cluster, size, top, inbound FROM r WHERE r = 1"))
@@ -73,12 +86,12 @@ def relevance(spark, d):
     return f.join(w, "feature").groupBy(F.col("k").alias("page")).agg(F.round(F.sum(F.col("idf") * F.col("share")) / F.sum("idf"), 6).alias("ratio"))
 
 
-_CELLS = "c AS (SELECT vec_id // 3 AS page, vec_id % 5 + 1 AS w, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings), m AS (SELECT page, i, sum(w * x) / sum(w) AS x, count(*) AS chunks FROM c GROUP BY 1, 2)"
-
-
-@query("d28_weighted_mean_vector", SQL(f"WITH {_CELLS} SELECT page, i, round(CASE WHEN chunks = 1 THEN x ELSE x / sqrt(sum(x * x) OVER (PARTITION BY page)) END, 5) AS x FROM m"))
+@query("d28_weighted_mean_vector", SQL("""WITH c AS (SELECT vec_id // 3 AS page, greatest(1, strlen(coalesce(text, ''))) AS w, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings LEFT JOIN documents ON doc_id = vec_id),
+m AS (SELECT page, i, sum(w * x) / sum(w) AS x, count(*) AS chunks FROM c GROUP BY 1, 2) SELECT page, i, round(CASE WHEN chunks = 1 THEN x ELSE x / sqrt(sum(x * x) OVER (PARTITION BY page)) END, 5) AS x FROM m"""))
 def mean_vectors(spark, d):
-    c = tbl(spark, d, "embeddings").select(F.expr("vec_id div 3").alias("page"), (F.col("vec_id") % 5 + 1).alias("w"), F.posexplode("embedding").alias("i", "x"))
+    """Three chunks make a page; a chunk weighs as many bytes as its text has."""
+    size = tbl(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), F.octet_length("text").alias("bytes"))
+    c = tbl(spark, d, "embeddings").join(size, "vec_id", "left").select(F.expr("vec_id div 3").alias("page"), F.greatest(F.lit(1), F.coalesce("bytes", F.lit(0))).alias("w"), F.posexplode("embedding").alias("i", "x"))
     x = F.col("x").cast("double")
     m = c.groupBy("page", (F.col("i") + 1).cast("long").alias("i")).agg((F.sum(F.col("w") * x) / F.sum("w")).alias("x"), F.count("*").alias("chunks"))
     norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(W.partitionBy("page")))
@@ -136,10 +149,14 @@ def staged(spark, d):
     return x.join(s, "page", "full").where("x is null or s is null").select("page", F.when(F.col("s").isNull(), "missing").otherwise("extra").alias("how"))
 
 
-@query("h27_loose_claim_key", SQL("SELECT doc_id, md5(trim(regexp_replace(regexp_replace(lower(text), '[.,;:!?*_`\"()\\[\\]-]+', '', 'g'), '[ \\t\\n\\r]+', ' ', 'g'))) AS loose FROM documents"))
+# What a claim's key leaves out: white space, punctuation of both scripts, brackets, quotes, markup, dashes.
+LOOSE = r"[ \t\n\r\f\v\x{3000}。、，,．.・:：;；!！?？「」『』()（）\[\]【】\"''`*_~\-–—]"
+
+
+@query("h27_loose_claim_key", SQL(f"SELECT doc_id, md5(regexp_replace(lower(text), '{LOOSE}', '', 'g')) AS loose FROM documents"))
 def loose(spark, d):
-    bare = F.regexp_replace(F.lower("text"), r"[.,;:!?*_`\"()\[\]-]+", "")
-    return tbl(spark, d, "documents").select("doc_id", F.md5(F.trim(F.regexp_replace(bare, r"[ \t\n\r]+", " "))).alias("loose"))
+    """Without white space, punctuation of both scripts and markup, folded for compatibility."""
+    return tbl(spark, d, "documents").select("doc_id", F.when(F.col("text").isNotNull(), F.md5(F.regexp_replace(TX.compatible_lower("text"), LOOSE.replace("''", "'"), ""))).alias("loose"))
 
 
 @query("h33_compact_title", SQL("SELECT doc_id, CASE WHEN length(text) > 16 THEN left(text, 16) || '…' ELSE text END AS title FROM documents"))
@@ -171,12 +188,13 @@ def targets(spark, d):
 _RAW = "CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN lang ELSE '[' || lang || ', \"' || source || ', ' || lang || '\", ' || source || ']' END"
 
 
-@query("k3_list_coercion", SQL(f"SELECT doc_id, CASE WHEN raw IS NULL OR raw = '' THEN 0 WHEN raw[1] = '[' THEN len(regexp_extract_all(raw, '\"[^\"]*\"|[^,\\[\\]\" ]+')) ELSE 1 END AS n FROM (SELECT doc_id, {_RAW} AS raw FROM documents)"))
+@query("k3_list_coercion", SQL(f"SELECT doc_id, CASE WHEN raw IS NULL OR raw = '' THEN [] WHEN raw[1] = '[' THEN list_transform(regexp_extract_all(raw, '\"[^\"]*\"|[^,\\[\\]\" ]+'), lambda x: trim(x, '\"')) ELSE [raw] END AS items FROM (SELECT doc_id, {_RAW} AS raw FROM documents)"))
 def coerced(spark, d):
+    """A null or an empty text is no item, a bare text one, a list its items."""
     raw = tbl(spark, d, "documents").selectExpr("doc_id", f"{_RAW} AS raw")
-    items = F.regexp_extract_all("raw", F.lit(r'"[^"]*"|[^,\[\]" ]+'), F.lit(0))
+    items = F.transform(F.regexp_extract_all("raw", F.lit(r'"[^"]*"|[^,\[\]" ]+'), F.lit(0)), lambda x: F.btrim(x, F.lit('"')))
     several = F.when(F.col("raw").startswith("["), items).otherwise(F.array("raw"))
-    return raw.select("doc_id", F.size(F.when(F.coalesce("raw", F.lit("")) == "", F.array().cast("array<string>")).otherwise(several)).alias("n"))
+    return raw.select("doc_id", F.when(F.coalesce("raw", F.lit("")) == "", F.array().cast("array<string>")).otherwise(several).alias("items"))
 
 
 @query("k4_inline_list", SQL(f"SELECT doc_id, array_to_string(list_transform(regexp_extract_all(raw, '\"[^\"]*\"|[^,\\[\\]\" ]+'), lambda x: trim(x, '\"')), '|') AS items FROM (SELECT doc_id, {_RAW} AS raw FROM documents) WHERE raw LIKE '[%'"))

@@ -113,18 +113,37 @@ def by_rule(spark, d):
     return strong.unionByName(near).groupBy("a", "b").agg(F.max("tier").alias("tier"))
 
 
-@query("c17_tiling_pairs", SQL("""WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), n AS (SELECT *, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM v),
+def _tiling_sql(error: float, review: float) -> str:
+    return f"""WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), n AS (SELECT *, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM v),
 c AS (SELECT x.vec_id AS a, y.vec_id AS b, list_sum(list_transform(list_zip(x.e, y.e), lambda z: z[1] * z[2])) / (x.n * y.n) AS cos FROM n x JOIN n y ON x.vec_id < y.vec_id WHERE x.n > 0 AND y.n > 0)
-SELECT a, b, CASE WHEN cos >= 0.90 THEN 'error' ELSE 'review' END AS band FROM c WHERE cos >= 0.80"""))
-def tiling(spark, d):
-    """All pairs at or over the threshold, exactly: blocks of vectors meet once each, with their row and column kept to bounded tiles."""
-    blocks = 16
-    v = tbl(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e")).withColumn("n", RT.norm("e")).where("n > 0").withColumn("k", F.pmod(F.hash("vec_id"), F.lit(blocks)))
-    tiles = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = v.select(F.col("vec_id").alias("a"), F.col("e").alias("x"), F.col("n").alias("xn"), F.col("k").alias("i"), tiles.alias("j"))
-    right = v.select(F.col("vec_id").alias("b"), F.col("e").alias("y"), F.col("n").alias("yn"), F.col("k").alias("j"), tiles.alias("i"))
+SELECT a, b, CASE WHEN cos >= {error} THEN 'error' ELSE 'review' END AS band FROM c WHERE cos >= {review}"""
+
+
+#: Vectors of a block at most; pairs of blocks are worked on each for itself.
+BLOCK = 4096
+
+
+def _tiling(spark, d, error: float, review: float):
+    """All pairs at or over the threshold, exactly. The number of blocks follows the number of vectors; two blocks meet once, so that half of the tiles is left out."""
+    v = tbl(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e")).withColumn("n", RT.norm("e")).where("n > 0")
+    blocks = max(6, -(-v.count() // BLOCK))
+    v = v.withColumn("k", F.pmod(F.hash("vec_id"), F.lit(blocks)))
+    left = v.select(F.col("vec_id").alias("a"), F.col("e").alias("x"), F.col("n").alias("xn"), F.col("k").alias("i"), F.explode(F.sequence("k", F.lit(blocks - 1))).alias("j"))
+    right = v.select(F.col("vec_id").alias("b"), F.col("e").alias("y"), F.col("n").alias("yn"), F.explode(F.sequence(F.lit(0), F.col("k"))).alias("i"), F.col("k").alias("j"))
     cos = RT.dot("x", "y") / (F.col("xn") * F.col("yn"))
-    return left.join(right, ["i", "j"]).where("a < b").select("a", "b", cos.alias("cos")).where("cos >= 0.80").select("a", "b", F.when(F.col("cos") >= 0.90, "error").otherwise("review").alias("band"))
+    met = left.join(right, ["i", "j"]).where("i < j and a <> b or a < b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), cos.alias("cos"))
+    return met.where(F.col("cos") >= review).select("a", "b", F.when(F.col("cos") >= error, "error").otherwise("review").alias("band"))
+
+
+@query("c17_tiling_pairs", SQL(_tiling_sql(0.90, 0.80)))
+def tiling(spark, d):
+    return _tiling(spark, d, 0.90, 0.80)
+
+
+@query("c17_tiling_pairs_lower_bands", SQL(_tiling_sql(0.42, 0.36)))
+def tiling_lower(spark, d):
+    """The same with thresholds that the supplied vectors reach."""
+    return _tiling(spark, d, 0.42, 0.36)
 
 
 _NUM = "lpad(CAST(p_partkey % 100000 AS STRING), 5, '0')"

@@ -123,12 +123,19 @@ c AS (SELECT q.vec_id AS query_id, q.label AS q_label, v.vec_id, v.label,
   FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0)"""
 
 
+#: Vectors of a block at most, on either side of the tiles of :func:`_cos`.
+BLOCK = 16_384
+
+
 def _cos(spark, d):
-    """Cosines of the stated queries with all vectors. Each side's blocks meet on a block pair, so neither is broadcast."""
+    """Cosines of the stated queries with all vectors, in tiles: as many blocks a side as its number of rows asks for, each sent once to every block of the other."""
     v = tbl(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("e")).withColumn("n", R.norm("e"))
-    blocks = 8
-    q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("q_label"), F.col("e").alias("qe"), F.col("n").alias("qn"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("blk"))
-    pairs = v.withColumn("blk", F.pmod(F.hash("vec_id"), F.lit(blocks))).join(q, "blk").where("vec_id <> query_id")
+    n = v.count()
+    many, few = max(8, -(-n // BLOCK)), max(1, -(-n // (100 * BLOCK)))
+    of = lambda k: F.pmod(F.hash("vec_id"), F.lit(k))
+    each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("q_label"), F.col("e").alias("qe"), F.col("n").alias("qn"), of(few).alias("j"), each(many).alias("i"))
+    pairs = v.select("*", of(many).alias("i"), each(few).alias("j")).join(q, ["i", "j"]).where("vec_id <> query_id")
     return pairs.select("query_id", "q_label", "vec_id", "label", F.when(F.col("n") * F.col("qn") == 0, 0.0).otherwise(R.dot("e", "qe") / (F.col("qn") * F.col("n"))).alias("cos"))
 
 
@@ -148,20 +155,32 @@ def l2_normalize(spark, d):
     return v.withColumn("unit", F.transform("unit", lambda x: F.round(x, 6)))
 
 
-@query("j3_page_score_or_minus_one", SQL(f"WITH {BASE}, v AS (SELECT vec_id, label FROM embeddings WHERE label < 5) SELECT s.item_id, s.doc_id, CAST(coalesce(v.label, -1) AS DOUBLE) AS page_score FROM s LEFT JOIN v ON v.vec_id = s.doc_id"))
+# a passage's vector is the one of its number, a document's the one of its id
+PAGE_COS = """pc AS (SELECT q.vec_id AS item_id, v.vec_id AS doc_id, list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda z: CAST(z[1] AS DOUBLE) * z[2])) / (sqrt(list_sum(list_transform(q.embedding, lambda x: CAST(x AS DOUBLE) * x))) * sqrt(list_sum(list_transform(v.embedding, lambda x: CAST(x AS DOUBLE) * x)))) AS c,
+ list_sum(list_transform(list_zip(q.embedding[1:16], v.embedding[1:16]), lambda z: CAST(z[1] AS DOUBLE) * z[2])) AS lead FROM embeddings q, embeddings v WHERE q.vec_id IN (SELECT item_id FROM benchmark))"""
+
+
+def _with_vectors(spark, d, scored):
+    """``scored`` with the cosine of passage and document, and the product of the first sixteen components; null where there is no vector."""
+    v = tbl(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    both = scored.join(v.select(F.col("vec_id").alias("item_id"), F.col("e").alias("qe")), "item_id", "left").join(v.select(F.col("vec_id").alias("doc_id"), "e"), "doc_id", "left")
+    lead = R.dot(F.slice("qe", 1, 16), F.slice("e", 1, 16))
+    return both.withColumn("c", R.cosine(F.col("qe"), F.col("e"))).withColumn("c", F.when(F.col("qe").isNotNull() & F.col("e").isNotNull(), F.col("c"))).withColumn("lead", lead).drop("qe", "e")
+
+
+@query("j3_page_score_or_minus_one", SQL(f"WITH {BASE}, {PAGE_COS} SELECT s.item_id, s.doc_id, round(coalesce(c, -1), 6) AS page_score FROM s LEFT JOIN pc USING (item_id, doc_id)"))
 def page_score(spark, d):
-    v = tbl(spark, d, "embeddings").where("label < 5").select(F.col("vec_id").alias("doc_id"), F.col("label").cast("double").alias("page_score"))
-    return _scores(spark, d).select("item_id", "doc_id").join(v, "doc_id", "left").select("item_id", "doc_id", F.coalesce("page_score", F.lit(-1.0)).alias("page_score"))
+    return _with_vectors(spark, d, _scores(spark, d).select("item_id", "doc_id")).select("item_id", "doc_id", F.round(F.coalesce("c", F.lit(-1.0)), 6).alias("page_score"))
 
 
-@query("e3_rrf_three_channels", SQL(f"""WITH {BASE}, b AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS i FROM s QUALIFY i <= 50),
-x AS (SELECT item_id, doc_id, i, score, coalesce(CAST(e.label AS DOUBLE), -1) AS dense, CAST(length(text) % 7 AS DOUBLE) AS rerank FROM b JOIN documents USING (doc_id) LEFT JOIN embeddings e ON e.vec_id = doc_id),
+@query("e3_rrf_three_channels", SQL(f"""WITH {BASE}, {PAGE_COS}, b AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS i FROM s QUALIFY i <= 50),
+x AS (SELECT item_id, doc_id, i, score, round(coalesce(c, -1), 9) AS dense, round(coalesce(lead, 0), 9) AS rerank FROM b LEFT JOIN pc USING (item_id, doc_id)),
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, i) AS rb, row_number() OVER (PARTITION BY item_id ORDER BY dense DESC, i) AS rd, row_number() OVER (PARTITION BY item_id ORDER BY rerank DESC, i) AS rr FROM x)
 SELECT item_id, doc_id, round(1.0 / (60 + rb) + 1.0 / (60 + rd) + 1.0 / (60 + rr), 6) AS fused FROM r"""))
 def rrf_three(spark, d):
+    """BM25, the documents' vectors, and the vectors' leading components as the reranker."""
     b = R.ranked(_scores(spark, d), ["item_id"], _bm(), "i").where("i <= 50")
-    e = tbl(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").cast("double").alias("dense"))
-    x = b.join(_docs(spark, d).select("doc_id", (F.length("text") % 7).cast("double").alias("rerank")), "doc_id").join(e, "doc_id", "left").withColumn("dense", F.coalesce("dense", F.lit(-1.0)))
+    x = _with_vectors(spark, d, b).withColumn("dense", F.round(F.coalesce("c", F.lit(-1.0)), 9)).withColumn("rerank", F.round(F.coalesce("lead", F.lit(0.0)), 9))
     for name, by in (("rb", "score"), ("rd", "dense"), ("rr", "rerank")):
         x = R.ranked(x, ["item_id"], [F.desc(by), "i"], name)
     return x.select("item_id", "doc_id", F.round(R.rrf(F.col("rb"), F.col("rd"), F.col("rr")), 6).alias("fused"))
