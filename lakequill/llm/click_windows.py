@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from zlib import crc32
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,13 +40,14 @@ from lakequill.llm.common import checkpoint_folder
 SPAN, LATE, BATCHES = 48, 24, 10
 IDS_PER_KEY = 256
 HOUR_MS = 3_600_000
-FED = "click_id long, hour long, seen timestamp, hash binary, crc long, n long, page long"
+FED = "click_id long, seen timestamp, hash binary, n long, page long"
 STATE = "click_id array<long>, start_hour array<long>, hash array<binary>, n_repeats array<long>, n_conflicts array<long>, conflict_crc array<long>, timer long"
 OUT = "click_id long, start_hour long, closed_batch long, n_repeats long, n_conflicts long, conflict_crc long, hash string"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _NO_DATA = "spark.sql.streaming.noDataMicroBatches.enabled"
 _SETTINGS = {
     _NO_DATA: "false",
+    "spark.sql.session.timeZone": "UTC",  # hours are read off timestamps that Python gets in the session's zone
     "spark.sql.streaming.statefulOperator.allowMultiple": "false",  # with one stateful operator, late rows are told by the latest watermark
     "spark.sql.streaming.stateStore.providerClass": _ROCKS,
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
@@ -64,7 +66,7 @@ def epoch_micros(df: DataFrame, name: str) -> Column:
 
 
 def copies(clicks: DataFrame, batches: int = BATCHES) -> DataFrame:
-    """``(click_id, hour, hash binary, crc, n, batch)``: the arrivals of all clicks, equal ones of a batch counted."""
+    """``(click_id, hour, hash binary, n, batch)``: the arrivals of all clicks, equal ones of a batch counted."""
     micros = epoch_micros(clicks, "arrived_at")
     cents = F.when(F.abs("value") < 1e300, F.floor(F.col("value") * 100 + 0.5).cast("string"))
     row = clicks.where("click_id is not null and arrived_at is not null").select(
@@ -81,8 +83,8 @@ def copies(clicks: DataFrame, batches: int = BATCHES) -> DataFrame:
         lo = hi = 0
     digest = F.sha2(F.concat_ws("|", "c1", "c2", "c3", "c4", "c5", (F.col("c") % 3).cast("string")), 256)
     out = each.select("click_id", "hour", digest.alias("hex"), ((F.col("l") - lo) * batches).alias("over"))
-    out = out.select("click_id", "hour", F.unhex("hex").alias("hash"), F.crc32(F.col("hex").cast("binary")).alias("crc"), F.expr(f"over div {hi - lo + 1}").cast("int").alias("batch"))
-    return out.groupBy("batch", "click_id", "hour", "hash", "crc").agg(F.count("*").alias("n"))
+    out = out.select("click_id", "hour", F.unhex("hex").alias("hash"), F.expr(f"over div {hi - lo + 1}").cast("int").alias("batch"))
+    return out.groupBy("batch", "click_id", "hour", "hash").agg(F.count("*").alias("n"))
 
 
 class ClickWindows(StatefulProcessor):
@@ -136,13 +138,13 @@ class ClickWindows(StatefulProcessor):
             yield pd.DataFrame([(k, w[0], b, w[2], w[3], w[4], bytes(w[1]).hex()) for k, b, w in closed], columns=[c.split()[0] for c in OUT.split(", ")])
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        come = [t for part in rows for t in zip(part.click_id.tolist(), part.hour.tolist(), map(bytes, part.hash.tolist()), part.crc.tolist(), part.n.tolist(), strict=True) if t[4]]
+        come = [t for part in rows for t in zip(part.click_id.tolist(), (part.seen.astype("datetime64[ms]").astype("int64") // HOUR_MS).tolist(), map(bytes, part.hash.tolist()), part.n.tolist(), strict=True) if t[3]]
         if not come:  # only the row that flushes
             return
         come.sort()
         windows, timer = self._load()
         closed = self._due(windows, timerValues.getCurrentWatermarkInMs())
-        for click, hour, digest, crc, n in come:
+        for click, hour, digest, n in come:
             w = windows.get(click)
             if w is None or hour > w[0] + self.span:
                 if w is not None:
@@ -152,7 +154,7 @@ class ClickWindows(StatefulProcessor):
                 w[2] += n
                 if w[1] != digest:
                     w[3] += n
-                    w[4] += n * crc
+                    w[4] += n * crc32(digest.hex().encode())
         self._save(windows, timer)
         yield from self._rows(closed)
 
@@ -180,7 +182,7 @@ def windows(clicks: DataFrame, batches: int = BATCHES, ids_per_key: int = IDS_PE
     spark = clicks.sparkSession
     folder = f"{checkpoint_folder(spark)}/clicks-{uuid.uuid4().hex}"
     fed = copies(clicks, batches).select(
-        "click_id", "hour", F.timestamp_seconds(F.col("hour") * 3600).alias("seen"), "hash", "crc", "n", F.floor(F.col("click_id") / ids_per_key).alias("page"), "batch"
+        "click_id", F.timestamp_seconds(F.col("hour") * 3600).alias("seen"), "hash", "n", F.floor(F.col("click_id") / ids_per_key).alias("page"), "batch"
     )
     fed.write.partitionBy("batch").parquet(f"{folder}/cut")
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
@@ -197,16 +199,17 @@ def windows(clicks: DataFrame, batches: int = BATCHES, ids_per_key: int = IDS_PE
                 fs.rename(path(f"{folder}/cut/batch={b}"), path(f"{folder}/in/part-{b}"))
                 feed(spark, folder, b, before)
                 before = b
-        last = spark.read.schema(FED).option("recursiveFileLookup", "true").parquet(f"{folder}/in").agg(F.max("hour")).first()[0]
-        if last is not None:
-            ahead = spark.range(1).select(F.lit(-1).cast("long").alias("click_id"), F.lit(last + SPAN + 2 * LATE).cast("long").alias("hour"))
-            ahead = ahead.select("*", F.timestamp_seconds(F.col("hour") * 3600).alias("seen"), F.lit(b"").alias("hash"), F.lit(0).cast("long").alias("crc"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("page"))
+        last = spark.read.schema(FED).option("recursiveFileLookup", "true").parquet(f"{folder}/in").agg(F.max("seen").alias("seen")).where("seen is not null")
+        flush = last.count() > 0
+        if flush:
+            far = F.col("seen") + F.expr(f"INTERVAL {SPAN + 2 * LATE} HOURS")
+            ahead = last.select(F.lit(-1).cast("long").alias("click_id"), far.alias("seen"), F.lit(b"").alias("hash"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("page"))
             ahead.coalesce(1).write.parquet(f"{folder}/in/part-{batches}")
             spark.conf.set(_NO_DATA, "true")
             feed(spark, folder, batches, batches - 1)
     finally:
         for k, v in was.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    if last is None:
+    if not flush:
         return spark.createDataFrame([], OUT)
     return spark.read.schema(OUT).parquet(f"{folder}/out")
