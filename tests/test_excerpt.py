@@ -66,3 +66,23 @@ def test_null_lines_and_empty_tables(spark):
     (r,) = E.shrink(spark.createDataFrame([(1, 0, None, 0, None)], schema), [5]).collect()
     assert (r.excerpt, r.truncated) == ("\n", False)
     assert E.shrink(spark.createDataFrame([], schema), [5]).collect() == []
+
+
+def test_outline_and_last_bullets(spark):
+    rows = [
+        (1, 0, "definition", 0, "## D"), (1, 0, "definition", 1, "what it is"),
+        (1, 1, "tail", 0, "## T"), (1, 1, "tail", 1, "- **Bold  claim** and more"), (1, 1, "tail", 2, "  - nested"), (1, 1, "tail", 3, ""), (1, 1, "tail", 4, "### sub"),
+        (1, 1, "tail", 5, "* " + "y" * 100), (1, 1, "tail", 6, "- z"), (1, 1, "tail", 7, ""), (1, 1, "tail", 8, ""),
+        (1, 2, "prose", 0, "## P"), (1, 2, "prose", 1, "- not a claim"),
+    ]
+    df = spark.createDataFrame(rows, "doc long, section int, kind string, place int, line string")
+    (full,) = E.outline(df, 1000).collect()
+    assert (full.total, full.truncated) == (3, False)
+    assert full.outline.split("\n") == ["total: 3", "## D", "## T  (3)", "- Bold claim", "### sub", "- " + "y" * 90 + "…", "- z", "## P  (1)", ""]
+    (cut,) = E.outline(df, 45).collect()
+    assert cut.truncated and cut.outline.split("\n") == ["total: 3", "## D", "## T  (3)", "- Bold claim", "### sub", "## P  (1)", E.NOTE, ""]
+    (bare,) = E.outline(df, 2).collect()
+    assert bare.outline == "total: 3\n## D\n## T  (3)\n## P  (1)\n" + E.NOTE + "\n"
+    kept = {(r.section, r.place) for r in E.last_bullets(df, 2).collect()}
+    assert {p for s, p in kept if s == 1} == {0, 3, 4, 5, 6, 7} and (2, 1) in kept
+    assert E.outline(df.where("false"), 5).collect() == []
