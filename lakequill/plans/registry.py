@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-MODULES = ["q_retrieval", "q_graph", "q_time", "q_resolve", "q_extract", "q_ledger", "q_more", "q_pages", "q_incremental", "q_claims", "q_related", "q_lens", "q_merges", "q_excerpt", "q_references", "q_candidates", "q_health"]
+MODULES = ["q_retrieval", "q_graph", "q_time", "q_resolve", "q_extract", "q_ledger", "q_more", "q_pages", "q_incremental", "q_claims", "q_related", "q_lens", "q_merges", "q_excerpt", "q_references", "q_candidates", "q_health", "q_lint"]
 
 
 def SQL(text: str) -> str:  # noqa: N802
