@@ -78,12 +78,12 @@ def identifier_checks(spark, d):
 PROFILE = {"out_of_scope": ["Bolt", "ring-"], "core": ["large widget", "small-plate and more"], "adjacent": ["widget", "pin"]}
 
 
-# items are the concepts, vendors the documents, swapped lines lie in the inbox
-@query("o16_survey_signals", SQL("""WITH i AS (SELECT DISTINCT item_id, name FROM items WHERE item_id IS NOT NULL), l AS (SELECT item_id, count(DISTINCT vendor_id) AS v, count(*) FILTER (flag = 'swapped') AS s FROM sale_lines GROUP BY 1),
+# items are the concepts, sales the documents, swapped lines lie in the inbox
+@query("o16_survey_signals", SQL("""WITH i AS (SELECT DISTINCT item_id, name FROM items WHERE item_id IS NOT NULL), l AS (SELECT item_id, count(DISTINCT sale_id) AS v, count(*) FILTER (flag = 'swapped') AS s FROM sale_lines GROUP BY 1),
 f AS (SELECT *, regexp_replace(lower(coalesce(name, '')), '[\\s—・/-]+', '', 'g') AS k FROM i) SELECT item_id, name, coalesce(v, 0) AS n_documents, coalesce(s, 0) AS n_inbox, CASE WHEN v >= 13 THEN 'dense' WHEN v >= 8 THEN 'near' END AS gate, coalesce(s, 0) >= 5 AS in_debt,
 CASE WHEN k = '' THEN 'unknown' WHEN length(k) > 3 AND (contains(k, 'bolt') OR contains('bolt', k) OR contains(k, 'ring') OR contains('ring', k)) THEN 'out_of_scope'
 WHEN length(k) > 3 AND (contains(k, 'largewidget') OR contains('largewidget', k) OR contains(k, 'smallplateandmore') OR contains('smallplateandmore', k)) THEN 'core' WHEN k = 'pin' OR length(k) > 3 AND (contains(k, 'widget') OR contains('widget', k)) THEN 'adjacent' ELSE 'unknown' END AS fit FROM f LEFT JOIN l USING (item_id)"""))
 def survey_signals(spark, d):
     concepts = tbl(spark, d, "items").where("item_id is not null").select("item_id", "name").distinct()
-    cites = tbl(spark, d, "sale_lines").select("item_id", F.col("vendor_id").alias("document"), (F.coalesce("flag", F.lit("")) == "swapped").alias("inbox"))
+    cites = tbl(spark, d, "sale_lines").select("item_id", F.col("sale_id").alias("document"), (F.coalesce("flag", F.lit("")) == "swapped").alias("inbox"))
     return L.survey_signals(concepts, cites, "item_id", PROFILE)
