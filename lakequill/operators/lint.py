@@ -32,6 +32,16 @@ ARXIV_SLUG = r"(?i)arxiv-(\d{4}\.\d{4,5})"
 DOI_URL = r"(?i)(doi\.org/10\.\d{4,9}/[\x21-\x7e&&[^\"'<>\]`]]+)"
 DATA_SET = r"^(10\.5281/zenodo\.|10\.48550/arxiv\.)"
 
+# The field that tells the subtype of a page of each type, and of all others.
+SUBTYPE, OTHERS = {"source": "source_type", "entity": "entity_type", "concept": "complexity"}, "answer_quality"
+
+
+def subtype(kind: Column, fields: Column, keys: dict[str, str] = SUBTYPE, others: str = OTHERS) -> Column:
+    """The field of the map ``fields`` that goes with a page's type; empty where the map or the field is null or missing. A null type counts as another one."""
+    names = F.create_map(*[F.lit(x) for pair in keys.items() for x in pair])
+    key = F.coalesce(F.try_element_at(names, F.coalesce(kind, F.lit(""))), F.lit(others))
+    return F.coalesce(F.try_element_at(fields, key), F.lit(""))
+
 
 def _lines(text: Column | str) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)

@@ -87,3 +87,14 @@ def survey_signals(spark, d):
     concepts = tbl(spark, d, "items").where("item_id is not null").select("item_id", "name").distinct()
     cites = tbl(spark, d, "sale_lines").select("item_id", F.col("sale_id").alias("document"), (F.coalesce("flag", F.lit("")) == "swapped").alias("inbox"))
     return L.survey_signals(concepts, cites, "item_id", PROFILE)
+
+
+# a type by the id; a field is left out now and then
+FIELDS = Derived("fi", """SELECT item_id, CASE item_id % 6 WHEN 0 THEN 'source' WHEN 1 THEN 'entity' WHEN 2 THEN 'concept' WHEN 3 THEN 'question' WHEN 4 THEN 'survey' END AS type,
+CASE WHEN item_id % 7 = 0 THEN '' ELSE kind END AS source_type, brand AS entity_type, CAST(size AS VARCHAR(9)) AS complexity, CASE WHEN item_id % 9 > 3 THEN name END AS answer_quality FROM {items} WHERE item_id IS NOT NULL""")
+
+
+@query("b6_subtype", SQL(f"""WITH {FIELDS.cte} SELECT item_id, type, coalesce(CASE type WHEN 'source' THEN source_type WHEN 'entity' THEN entity_type WHEN 'concept' THEN complexity ELSE answer_quality END, '') AS subtype FROM fi"""))
+def subtypes(spark, d):
+    fields = F.create_map(*[x for k in [*L.SUBTYPE.values(), L.OTHERS] for x in (F.lit(k), F.col(k))])
+    return FIELDS.frame(spark, d).select("item_id", "type", L.subtype(F.col("type"), fields).alias("subtype"))

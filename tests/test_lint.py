@@ -59,3 +59,9 @@ def test_survey_signals(spark):
     profile = {"out_of_scope": ["Bolt"], "core": ["pin", "widget"]}
     rows = L.survey_signals(concepts, spark.createDataFrame(cites, "id int, document string, inbox boolean"), "id", profile).collect()
     assert {r.id: tuple(r)[2:] for r in rows} == {0: (13, 5, "dense", True, "out_of_scope"), 1: (8, 8, "near", True, "core"), 2: (0, 6, None, True, "unknown"), 3: (1, 0, None, False, "unknown"), 4: (0, 0, None, False, "core")}
+
+
+def test_subtype(spark):
+    rows = [("source", {"source_type": "paper", "complexity": "x"}), ("concept", {"source_type": "paper"}), ("entity", {"entity_type": ""}), ("survey", {"answer_quality": "good"}), (None, {"answer_quality": "good"}), ("source", None)]
+    got = spark.createDataFrame(rows, "type string, fields map<string,string>").select(L.subtype(F.col("type"), F.col("fields"))).collect()
+    assert [r[0] for r in got] == ["paper", "", "", "good", "good", ""]
