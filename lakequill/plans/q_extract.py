@@ -51,7 +51,7 @@ def link_names(spark, d):
 SELECT DISTINCT l.page AS src, target AS dst FROM l JOIN stems USING (name) WHERE l.page <> target"""))
 def resolution(spark, d):
     md = MD.frame(spark, d)
-    stems = md.groupBy(F.regexp_extract("page", r"([^/]+)\.md$", 1).alias("name")).agg(F.min("page").alias("dst"))
+    stems = md.groupBy(F.regexp_extract("page", r"([^/]+)\.md$", 1).alias("name")).agg(F.min("page").alias("dst")).hint("merge")  # as many as pages, so never broadcast
     return md.select(F.col("page").alias("src"), F.explode(X.wikilinks("body")).alias("name")).join(stems, "name").where("src <> dst").select("src", "dst").distinct()
 
 
@@ -59,7 +59,7 @@ def resolution(spark, d):
 SELECT name AS target, count(*) AS refs, list_sort(list(DISTINCT page)) AS referrers FROM l WHERE name NOT IN (SELECT name FROM stems) GROUP BY name"""))
 def dead(spark, d):
     md = MD.frame(spark, d)
-    stems = md.select(F.regexp_extract("page", r"([^/]+)\.md$", 1).alias("target"))
+    stems = md.select(F.regexp_extract("page", r"([^/]+)\.md$", 1).alias("target")).hint("merge")
     gone = md.select("page", F.explode(X.wikilinks("body")).alias("target")).join(stems, "target", "left_anti")
     return gone.groupBy("target").agg(F.count("*").alias("refs"), F.sort_array(F.collect_set("page")).alias("referrers"))
 
