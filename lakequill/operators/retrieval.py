@@ -88,6 +88,11 @@ def l2_normalized(a: str) -> Column:
     return F.when(n == 0, F.transform(a, lambda x: x.cast("double"))).otherwise(F.transform(a, lambda x: x.cast("double") / n))
 
 
+def rounded(x: Column, places: int) -> Column:
+    """Rounded half away from nought on the scaled value, as SQL does it on doubles; what comes to nought keeps its sign."""
+    return F.signum(x) * (F.round(F.abs(x) * float(10**places)) / float(10**places))
+
+
 def rrf(*ranks: Column) -> Column:
     """Reciprocal rank fusion; a missing rank gives nothing."""
     out = F.lit(0.0)

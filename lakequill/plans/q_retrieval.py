@@ -151,8 +151,11 @@ def cosine(spark, d):
 
 @query("j2_l2_normalize", SQL("WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), n AS (SELECT *, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM v) SELECT vec_id, round(n, 6) AS norm, list_transform(e, lambda x: round(CASE WHEN n = 0 THEN x ELSE x / n END, 6)) AS unit FROM n"))
 def l2_normalize(spark, d):
-    v = tbl(spark, d, "embeddings").select("vec_id", F.round(R.norm("embedding"), 6).alias("norm"), R.l2_normalized("embedding").alias("unit"))
-    return v.withColumn("unit", F.transform("unit", lambda x: F.round(x, 6)))
+    """Missing components do not count for the norm; a vector without components has none."""
+    held = F.filter("embedding", lambda x: x.isNotNull())
+    v = tbl(spark, d, "embeddings").select("vec_id", "embedding", F.when(F.size(held) > 0, R.norm(held)).alias("n"))
+    unit = F.transform("embedding", lambda x: R.rounded(F.when(F.col("n") == 0, x.cast("double")).otherwise(x.cast("double") / F.col("n")), 6))
+    return v.select("vec_id", R.rounded(F.col("n"), 6).alias("norm"), unit.alias("unit"))
 
 
 # a passage's vector is the one of its number, a document's the one of its id
