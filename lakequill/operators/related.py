@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 # Roles in the order they are filled, pages a role takes, decay of the second hop, shortest title that is looked for.
 ROLES = ["contradiction", "evidence", "definition", "cluster"]
@@ -14,6 +18,15 @@ REASONS = {"contradiction": "no-callout", "evidence": "no-source", "definition":
 DEEP = CAP * len(ROLES) + 1
 
 
+def log2_udf(n: Column) -> Column:
+    """Binary logarithm of the C library. Spark's is a quotient of two logarithms, so that scores which are equal (1 / log2(3), 2 / log2(9)) come apart."""
+
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(math.log2)
+
+    return F.pandas_udf(run, DoubleType())(n)
+
+
 def neighbourhood(adj: DataFrame) -> DataFrame:
     """``(seed, page, dist, score, pred, via)`` of all pages within two hops of every page, over ``adj(a, b, w, sources)`` both ways.
 
@@ -21,16 +34,15 @@ def neighbourhood(adj: DataFrame) -> DataFrame:
     sources of the edges on the way, in order. The second hop costs the sum of squared degrees, so the caller
     gives a graph whose hubs have been left out or bounded.
     """
-    deg = adj.groupBy(F.col("a").alias("b")).agg(F.count("*").alias("deg"))
-    edges = adj.join(deg, "b")
-    damp = F.log2(2 + F.col("deg"))
+    deg = adj.groupBy(F.col("a").alias("b")).agg(F.count("*").alias("deg")).select("b", log2_udf(F.col("deg") + 2).alias("damp"))
+    edges, damp = adj.join(deg, "b"), F.col("damp")
     one = edges.select(F.col("a").alias("seed"), F.col("b").alias("page"), F.lit(1).alias("dist"), (F.col("w") / damp).alias("score"), F.col("a").alias("pred"), F.array_distinct("sources").alias("via"))
     first = adj.select(F.col("a").alias("seed"), F.col("b").alias("mid"), F.col("w").alias("w1"), F.col("sources").alias("v1"))
-    second = edges.select(F.col("a").alias("mid"), F.col("b").alias("page"), "w", "deg", "sources")
-    step = first.join(second, "mid").where("seed <> page").select("seed", "page", "mid", (F.col("w1") * F.col("w") * DECAY).alias("strength"), "deg", F.array_distinct(F.concat("v1", "sources")).alias("via"))
+    second = edges.select(F.col("a").alias("mid"), F.col("b").alias("page"), "w", "damp", "sources")
+    step = first.join(second, "mid").where("seed <> page").select("seed", "page", "mid", (F.col("w1") * F.col("w") * DECAY).alias("strength"), "damp", F.array_distinct(F.concat("v1", "sources")).alias("via"))
     step = step.join(one.select("seed", "page"), ["seed", "page"], "left_anti")
-    best = step.groupBy("seed", "page").agg(F.min_by(F.struct("mid", "strength", "deg", "via"), F.struct(-F.col("strength"), "mid")).alias("m"))
-    two = best.select("seed", "page", F.lit(2).alias("dist"), (F.col("m.strength") / F.log2(2 + F.col("m.deg"))).alias("score"), F.col("m.mid").alias("pred"), F.col("m.via").alias("via"))
+    best = step.groupBy("seed", "page").agg(F.min_by(F.struct("mid", "strength", "damp", "via"), F.struct(-F.col("strength"), "mid")).alias("m"))
+    two = best.select("seed", "page", F.lit(2).alias("dist"), (F.col("m.strength") / F.col("m.damp")).alias("score"), F.col("m.mid").alias("pred"), F.col("m.via").alias("via"))
     return one.unionByName(two)
 
 
