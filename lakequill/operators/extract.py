@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 #: Fixed value: a link between pages, with its target.
 WIKILINK = r"\[\[([^\]|#]+)(?:#[^\]|]*)?(?:\|[^\]]*)?\]\]"
@@ -42,21 +42,34 @@ def lines(pages: DataFrame, key: str, text: str) -> DataFrame:
     return pages.select(key, F.posexplode(F.split(text, "\n", -1)).alias("no", "line")).withColumn("no", F.col("no") + 1)
 
 
-def fenced(rows: DataFrame, key: str) -> DataFrame:
-    """Lines with ``fence``: inside a code block, which a fence of the same sign and at least its length closes. State is carried by a count of fence lines that matter."""
-    mark = F.regexp_extract("line", r"^ {0,3}(`{3,}|~{3,})", 1)
+_FENCE = re.compile(r" {0,3}(`{3,}|~{3,})")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("no")
-        opened, out = "", []
-        for line, m in zip(pdf.line, pdf.m, strict=True):
-            closes = opened and m[:1] == opened[0] and len(m) >= len(opened) and not line.strip().strip(m[:1] or " ")
-            out.append(bool(opened) or bool(m))
-            opened = "" if closes else opened or m
-        return pdf.assign(fence=out).drop(columns="m")
 
-    kind = dict(rows.dtypes)
-    return rows.withColumn("m", mark).groupBy(key).applyInPandas(run, ", ".join(f"{c} {kind[c]}" for c in rows.columns) + ", fence boolean")
+def fence_states(text: str | None) -> list[bool]:
+    """For each line, whether it is inside a code block, which a fence of the same sign and at least its length closes; fences are inside."""
+    held = (text or "").split("\n")
+    if "```" not in (text or "") and "~~~" not in (text or ""):
+        return [False] * len(held)
+    opened, out = "", []
+    for line in held:
+        found = _FENCE.match(line)
+        m = found[1] if found else ""
+        closes = opened and m[:1] == opened[0] and len(m) >= len(opened) and not line.strip().strip(m[:1] or " ")
+        out.append(bool(opened) or bool(m))
+        opened = "" if closes else opened or m
+    return out
+
+
+def fenced(pages: DataFrame, key: str, text: str) -> DataFrame:
+    """Lines of every page with ``fence``: inside a code block. A page's lines are told apart in its own row, so that nothing is grouped or shuffled."""
+
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(fence_states)
+
+    states = F.pandas_udf(run, ArrayType(BooleanType()))(text)
+    both = F.arrays_zip(F.split(text, "\n", -1).alias("line"), states.alias("fence"))
+    rows = pages.where(F.col(text).isNotNull()).select(key, F.posexplode(both).alias("no", "x"))
+    return rows.select(key, (F.col("no") + 1).alias("no"), "x.line", "x.fence")
 
 
 def sections(rows: DataFrame, key: str, level: str = "##") -> DataFrame:

@@ -74,7 +74,7 @@ def causes(spark, d):
 
 @query("h9_links_outside_fences", SQL(f"SELECT {_PAGE} AS page, unnest([{_A}, 'raw/' || {_B} || '.md', {_C}, {_E}, {_A}, {_C}, {_A}, {_B}, {_A}, {_E}, {_C}, {_B}, {_C}, {_E}]) AS link, unnest([5, 6, 7, 7, 13, 16, 16, 17, 18, 19, 22, 23, 31, 33]) AS no FROM {WRITTEN}"))
 def outside(spark, d):
-    rows = X.fenced(X.lines(MD.frame(spark, d).where("body is not null"), "page", "body"), "page").where("not fence")
+    rows = X.fenced(MD.frame(spark, d), "page", "body").where("not fence")
     return rows.select("page", F.explode(X.wikilinks("line")).alias("link"), "no")
 
 
