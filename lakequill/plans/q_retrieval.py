@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lakequill.functions import text as T
 from lakequill.operators import retrieval as R
+from lakequill.operators import tiles as TI
 from lakequill.plans.registry import SQL, query, tbl
 
 STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
@@ -123,30 +124,22 @@ c AS (SELECT q.vec_id AS query_id, q.label AS q_label, v.vec_id, v.label,
   FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0)"""
 
 
-#: Vectors of a block at most, on either side of the tiles of :func:`_cos`.
-BLOCK = 16_384
+def _vectors(spark, d):
+    return tbl(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("vector"))
 
 
-def _cos(spark, d):
-    """Cosines of the stated queries with all vectors, in tiles: as many blocks a side as its number of rows asks for, each sent once to every block of the other."""
-    v = tbl(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("e")).withColumn("n", R.norm("e"))
-    n = v.count()
-    many, few = max(8, -(-n // BLOCK)), max(1, -(-n // (100 * BLOCK)))
-    of = lambda k: F.pmod(F.hash("vec_id"), F.lit(k))
-    each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("q_label"), F.col("e").alias("qe"), F.col("n").alias("qn"), of(few).alias("j"), each(many).alias("i"))
-    pairs = v.select("*", of(many).alias("i"), each(few).alias("j")).join(q, ["i", "j"]).where("vec_id <> query_id")
-    return pairs.select("query_id", "q_label", "vec_id", "label", F.when(F.col("n") * F.col("qn") == 0, 0.0).otherwise(R.dot("e", "qe") / (F.col("qn") * F.col("n"))).alias("cos"))
+#: The stated queries.
+ASKED = "id % 100 = 0"
 
 
 @query("f2_dense_topk", SQL(DENSE + " SELECT query_id, vec_id, round(cos, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(cos, 6) DESC, vec_id) AS INTEGER) AS rank FROM c QUALIFY rank <= 20"))
 def dense_topk(spark, d):
-    return R.top_k(_cos(spark, d).select("query_id", "vec_id", F.round("cos", 6).alias("score")), ["query_id"], [F.desc("score"), "vec_id"], 20)
+    return R.top_k(TI.nearest(_vectors(spark, d), ASKED, 20), ["query_id"], [F.desc("score"), "vec_id"], 20)
 
 
 @query("j1_cosine", SQL(DENSE + " SELECT query_id, label, count(*) AS n, round(avg(cos), 6) AS mean_cos, round(max(cos), 6) AS best FROM c GROUP BY ALL"))
 def cosine(spark, d):
-    return _cos(spark, d).groupBy("query_id", "label").agg(F.count("*").alias("n"), F.round(F.avg("cos"), 6).alias("mean_cos"), F.round(F.max("cos"), 6).alias("best"))
+    return TI.by_label(_vectors(spark, d), ASKED).groupBy("query_id", "label").agg(F.sum("n").alias("n"), R.rounded(F.sum("total") / F.nullif(F.sum("held"), F.lit(0)), 6).alias("mean_cos"), R.rounded(F.max("best"), 6).alias("best"))
 
 
 @query("j2_l2_normalize", SQL("WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), n AS (SELECT *, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM v) SELECT vec_id, round(n, 6) AS norm, list_transform(e, lambda x: round(CASE WHEN n = 0 THEN x ELSE x / n END, 6)) AS unit FROM n"))
