@@ -187,4 +187,7 @@ def top_edge_per_pair(edges: DataFrame, label: DataFrame) -> DataFrame:
     """The strongest edge between each pair of clusters, of ``edges(id, src, dst, count)``; the least id on ties."""
     ls, lt = label.select(F.col("node").alias("src"), F.col("c").alias("cs")), label.select(F.col("node").alias("dst"), F.col("c").alias("ct"))
     e = edges.join(ls, "src").join(lt, "dst").where("cs <> ct").withColumn("ca", F.least("cs", "ct")).withColumn("cb", F.greatest("cs", "ct"))
-    return e.withColumn("r", F.row_number().over(W.partitionBy("ca", "cb").orderBy(F.desc("count"), "id"))).where("r = 1").drop("r", "cs", "ct")
+    # an aggregate of one row a pair, so that no task holds or sorts the edges of a pair
+    others = [c for c in edges.columns if c not in ("count", "id")]
+    best = e.groupBy("ca", "cb").agg(F.min(F.struct((-F.col("count")).alias("c"), "id", *others)).alias("m"))
+    return best.select(*[(-F.col("m.c")).alias(c) if c == "count" else F.col(f"m.{c}").alias(c) for c in edges.columns], "ca", "cb")
