@@ -156,10 +156,18 @@ PAGE_COS = """pc AS (SELECT q.vec_id AS item_id, v.vec_id AS doc_id, list_sum(li
  list_sum(list_transform(list_zip(q.embedding[1:16], v.embedding[1:16]), lambda z: CAST(z[1] AS DOUBLE) * z[2])) AS lead FROM embeddings q, embeddings v WHERE q.vec_id IN (SELECT item_id FROM benchmark))"""
 
 
+#: Vectors of passages that are broadcast at most.
+SENT_VECTORS = 10_000
+
+
 def _with_vectors(spark, d, scored):
     """``scored`` with the cosine of passage and document, and the product of the first sixteen components; null where there is no vector."""
     v = tbl(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
-    both = scored.join(v.select(F.col("vec_id").alias("item_id"), F.col("e").alias("qe")), "item_id", "left").join(v.select(F.col("vec_id").alias("doc_id"), "e"), "doc_id", "left")
+    asked = v.join(tbl(spark, d, "benchmark").select(F.col("item_id").alias("vec_id")).distinct(), "vec_id", "left_semi")
+    asked = asked.select(F.col("vec_id").alias("item_id"), F.col("e").alias("qe"))
+    few = asked.limit(SENT_VECTORS + 1).count() <= SENT_VECTORS
+    # the pair is shuffled without vectors; a document's comes to it by its id, and then the passage's
+    both = scored.join(v.select(F.col("vec_id").alias("doc_id"), "e").hint("merge"), "doc_id", "left").join(F.broadcast(asked) if few else asked, "item_id", "left")
     lead = R.dot(F.slice("qe", 1, 16), F.slice("e", 1, 16))
     return both.withColumn("c", R.cosine(F.col("qe"), F.col("e"))).withColumn("c", F.when(F.col("qe").isNotNull() & F.col("e").isNotNull(), F.col("c"))).withColumn("lead", lead).drop("qe", "e")
 
