@@ -212,9 +212,7 @@ def hashes(spark, d):
 @query("d27_inverted_abstract", SQL("SELECT doc_id, array_to_string(regexp_extract_all(text, '\\S+'), ' ') AS text FROM documents"))
 def inverted(spark, d):
     """Words with their positions, turned back to text."""
-    inv = tbl(spark, d, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"(\S+)"), F.lit(1))).alias("pos", "word")).groupBy("doc_id", "word").agg(F.collect_list("pos").alias("at"))
-    back = inv.select("doc_id", "word", F.explode("at").alias("pos")).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "word"))).alias("ws"))
-    return back.select("doc_id", F.array_join("ws.word", " ").alias("text"))
+    return tbl(spark, d, "documents").select("doc_id", X.from_inverted(X.inverted(F.regexp_extract_all("text", F.lit(r"(\S+)"), F.lit(1)))).alias("text"))
 
 
 @query("q49_slugs", SQL("SELECT s_suppkey, trim(regexp_replace(lower(s_name), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM supplier"))
