@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 from itertools import groupby, pairwise
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -96,11 +97,18 @@ def _scan(s: str) -> Iterator[tuple[str, str]]:
 
 def tokens_udf(text: Column | str) -> Column:
     """:func:`mixed_tokens` in Arrow batches."""
+    return lists_udf(text, mixed_tokens)
 
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(mixed_tokens)
 
-    return F.pandas_udf(run, ArrayType(StringType()))(text)
+def lists_udf(text: Column | str, f: Callable[[str | None], list[str]], at_once: int = 128) -> Column:
+    """``f`` of each text. Texts and strings stand as Python objects for ``at_once`` rows only; a batch otherwise holds Arrow arrays."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.string())
+        parts = [pa.array([f(x) for x in texts.slice(s, at_once).to_pylist()], kind) for s in range(0, len(texts), at_once)]
+        return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+    return F.arrow_udf(run, ArrayType(StringType()))(text)
 
 
 def fold(s: str | None) -> str:
