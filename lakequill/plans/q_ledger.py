@@ -138,9 +138,11 @@ def difference(spark, d):
 @query("o2_referential_integrity", SQL("SELECT DISTINCT sale_id AS k, 'left' AS side FROM sale_lines l WHERE NOT EXISTS (SELECT 1 FROM sales s WHERE s.sale_id = l.sale_id) UNION ALL SELECT DISTINCT sale_id, 'right' FROM sales s WHERE NOT EXISTS (SELECT 1 FROM sale_lines l WHERE l.sale_id = s.sale_id)"))
 def integrity(spark, d):
     """Lines of sales that there are not, and sales without a line."""
-    li, s = tbl(spark, d, "sale_lines").select(F.col("sale_id").alias("k")), tbl(spark, d, "sales").select(F.col("sale_id").alias("k"))
-    a = li.join(s, "k", "left_anti").distinct().withColumn("side", F.lit("left"))
-    return a.unionByName(s.join(li, "k", "left_anti").distinct().withColumn("side", F.lit("right")))
+    of = lambda t, left: tbl(spark, d, t).select(F.col("sale_id").alias("k"), F.lit(left).alias("left"))
+    # one aggregate over both sides, so that nothing is broadcast and keys are summed up before the shuffle; a missing key meets none
+    both = of("sale_lines", True).unionByName(of("sales", False)).groupBy("k").agg(F.max("left").alias("l"), F.max(~F.col("left")).alias("r"))
+    alone = F.col("k").isNull() | ~(F.col("l") & F.col("r"))
+    return both.where(alone).select("k", F.explode(F.array_compact(F.array(F.when(F.col("l"), "left"), F.when(F.col("r"), "right")))).alias("side"))
 
 
 @query("o3_key_uniqueness", SQL("SELECT l_orderkey, l_partkey, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1"))
