@@ -15,6 +15,15 @@ def token_rows(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
     return docs.select(key, F.explode(tokens).alias("term"))
 
 
+def counted(ws: Column) -> Column:
+    """``array<struct<term string, tf long>>``: each word of an array once, with its number; a null array gives an empty one. A text's words are sorted in its own row, so that nothing is shuffled."""
+    starts = lambda w: F.filter(F.sequence(F.lit(1), F.size(w)), lambda i: (i == 1) | (F.get(w, i - 1) != F.get(w, F.greatest(i - 2, F.lit(0)))))
+    runs = lambda x: F.transform(x["s"], lambda b, k: F.struct(F.get(x["w"], b - 1).alias("term"), (F.coalesce(F.get(x["s"], k + 1), F.size(x["w"]) + 1) - b).cast("long").alias("tf")))
+    # arrays of one element, so that each is made once a row
+    kept = F.transform(F.array(F.sort_array(F.filter(ws, lambda w: w.isNotNull()))), lambda w: F.struct(w.alias("w"), F.when(F.size(w) > 0, starts(w)).otherwise(F.array().cast("array<int>")).alias("s")))
+    return F.flatten(F.transform(kept, runs))
+
+
 def postings(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
     """``(term, key, tf, dl)``: the inverted index, laid out for partitioning by term."""
     with_len = docs.select(key, tokens.alias("ts")).withColumn("dl", F.size("ts"))

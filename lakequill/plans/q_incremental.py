@@ -17,24 +17,25 @@ ROUNDS = 10
 LIVE = "live AS (SELECT doc_id, coalesce(text, '') AS text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1))"
 
 
-def _feed(spark, d):
+def _feed(spark, d, batch):
+    """The rows of one batch, by one pass over the documents."""
     docs = tbl(spark, d, "documents").select("doc_id", "text")
     first = F.pmod("doc_id", F.lit(ROUNDS - 1)).cast("int")
+    later = F.least(F.lit(ROUNDS - 1), first + F.pmod("doc_id", F.lit(4)).cast("int"))
     draft = F.when(F.pmod("doc_id", F.lit(3)) == 0, F.concat(F.lit("draft "), F.substring("text", 1, 200))).otherwise(F.col("text"))
-    no = F.lit(False)
-    come = docs.select("doc_id", draft.alias("text"), no.alias("deleted"), F.lit(0).cast("long").alias("seq"), first.alias("batch"))
-    again = docs.select("doc_id", "text", no.alias("deleted"), F.lit(1).cast("long").alias("seq"), F.least(F.lit(ROUNDS - 1), first + F.pmod("doc_id", F.lit(4)).cast("int")).alias("batch"))
-    gone = tbl(spark, d, "labels").where("toxic = 1").select("doc_id", F.lit(None).cast("string").alias("text"), F.lit(True).alias("deleted"), F.lit(2).cast("long").alias("seq"), F.lit(ROUNDS - 1).alias("batch"))
-    return come.unionByName(again).unionByName(gone)
+    row = lambda text, seq, at: F.when(at == batch, F.struct(text.alias("text"), F.lit(False).alias("deleted"), F.lit(seq).cast("long").alias("seq")))
+    come = docs.where((first == batch) | (later == batch)).select("doc_id", F.explode(F.array_compact(F.array(row(draft, 0, first), row(F.col("text"), 1, later)))).alias("x")).select("doc_id", "x.*")
+    if batch < ROUNDS - 1:
+        return come
+    return come.unionByName(tbl(spark, d, "labels").where("toxic = 1").select("doc_id", F.lit(None).cast("string").alias("text"), F.lit(True).alias("deleted"), F.lit(2).cast("long").alias("seq")))
 
 
 def _fed(spark, d, make):
     """An index made by ``make(folder)`` and refreshed ten times, each by a query started anew on one checkpoint."""
     folder = new_folder(spark, "refresh")
-    _feed(spark, d).write.partitionBy("batch").parquet(f"{folder}/cut")
-    cut, index = spark.read.schema(f"{FEED}, batch int").parquet(f"{folder}/cut"), make(folder)
+    index = make(folder)
     for b in range(ROUNDS):
-        cut.where(F.col("batch") == b).drop("batch").write.parquet(f"{folder}/in/round-{b}")
+        _feed(spark, d, b).write.parquet(f"{folder}/in/round-{b}")
         refresh(spark, f"{folder}/in", FEED, f"{folder}/query", index)
     return index
 

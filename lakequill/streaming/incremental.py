@@ -23,10 +23,12 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakequill.operators.retrieval import bm25_parts
+from lakequill.operators.retrieval import bm25_parts, counted
 
 PAGES = "doc_id long, hash string, dl int, deleted boolean, version int, part int"
 POSTINGS = "term string, doc_id long, tf long, version int, bucket int"
+#: Changed pages of a batch whose keys are broadcast at most.
+SENT_PAGES = 600_000
 VECTORS = "doc_id long, hash string, vec array<double>, deleted boolean, version int, part int"
 
 
@@ -47,16 +49,21 @@ def _newest(log: DataFrame) -> DataFrame:
     return best.select("part", "doc_id", "best.*")
 
 
-def _last_of_batch(batch: DataFrame, parts: int) -> DataFrame:
-    """``(doc_id, text, deleted, hash, part)``: the last row of each id in a batch."""
-    one = batch.groupBy("doc_id").agg(F.max_by(F.struct("text", "deleted"), "seq").alias("last"))
-    text = F.coalesce("last.text", F.lit(""))
-    return one.select("doc_id", text.alias("text"), F.coalesce("last.deleted", F.lit(False)).alias("deleted"), F.sha2(text, 256).alias("hash"), F.pmod(F.hash("doc_id"), F.lit(parts)).alias("part"))
+def _keyed(batch: DataFrame, parts: int) -> DataFrame:
+    """The rows of a batch with hash and part; missing values stand as what they mean."""
+    text = F.coalesce("text", F.lit(""))
+    seq = F.coalesce("seq", F.lit(-(2**63)).cast("long"))
+    return batch.select("doc_id", text.alias("text"), F.coalesce("deleted", F.lit(False)).alias("deleted"), seq.alias("seq"), F.sha2(text, 256).alias("hash"), F.pmod(F.hash("doc_id"), F.lit(parts)).alias("part"))
 
 
 def _changed(batch: DataFrame, log: DataFrame, version: int, parts: int) -> DataFrame:
-    """The rows of a batch that change what the log holds, with ``action``: new, changed, deleted."""
-    rows = _last_of_batch(batch, parts)
+    """The last row of each id in a batch that changes what the log holds, with ``action`` (new, changed, deleted) and the number of its ``copies``.
+
+    Told from hashes alone, so that no text is shuffled; :func:`_texts` brings the texts of what is left.
+    """
+    last = ["seq", "hash", "deleted"]
+    each = _keyed(batch, parts).groupBy("part", "doc_id", *last).agg(F.count("*").alias("copies"))
+    rows = each.groupBy("part", "doc_id").agg(F.max(F.struct(*last, "copies")).alias("last")).select("part", "doc_id", "last.*")
     held = _newest(log.where(F.col("version") < version).join(F.broadcast(rows.select("part").distinct()), "part", "left_semi"))
     held = held.where(~F.col("deleted")).select("part", "doc_id", F.col("hash").alias("held_hash"))
     both = rows.join(held, ["part", "doc_id"], "left")
@@ -68,6 +75,26 @@ def _changed(batch: DataFrame, log: DataFrame, version: int, parts: int) -> Data
     return both.withColumn("action", action).where("action is not null").drop("held_hash")
 
 
+def _sizes(changed: DataFrame):
+    """``n_rows``, ``n_live`` and the most ``copies`` of what has changed, by one pass."""
+    return changed.agg(F.count("*").alias("n_rows"), F.count_if(~F.col("deleted")).alias("n_live"), F.coalesce(F.max("copies"), F.lit(0)).alias("copies")).first()
+
+
+def _texts(batch: DataFrame, changed: DataFrame, parts: int, sizes=None) -> DataFrame:
+    """``(part, doc_id, text)`` of the live pages in ``changed``.
+
+    The changed pages have been counted (``sizes``); up to ``SENT_PAGES`` they are broadcast and texts stay where they are, beyond
+    that texts are shuffled by id. Only of pages that a batch has in equal copies one must be chosen.
+    """
+    live = changed.where(~F.col("deleted")).select("part", "doc_id", "seq", "hash", "copies")
+    sizes = sizes or _sizes(changed)
+    rows = _keyed(batch, parts).where(~F.col("deleted")).drop("deleted")
+    found = rows.join(F.broadcast(live) if sizes["n_live"] <= SENT_PAGES else live, ["part", "doc_id", "seq", "hash"]).select("part", "doc_id", "copies", "text")
+    if sizes["copies"] > 1:
+        found = found.where("copies = 1").unionByName(found.where("copies > 1").dropDuplicates(["part", "doc_id"]))
+    return found.drop("copies")
+
+
 class TermIndex:
     """Postings by term bucket that follow a changing set of pages."""
 
@@ -79,17 +106,23 @@ class TermIndex:
 
     def apply(self, batch: DataFrame, version: int) -> None:
         """Takes in ``batch(doc_id, text, deleted, seq)`` as the given version; the same version again gives the same files."""
-        work = f"{self.folder}/work/version={version}"
-        _changed(batch, self._pages_log(), version, self.parts).withColumn("ts", self.tokens("text")).drop("text").write.mode("overwrite").parquet(work)
-        rows = self.spark.read.parquet(work)
-        if rows.isEmpty():
-            return
-        live = rows.where(~F.col("deleted"))
-        terms = live.select("doc_id", F.explode("ts").alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
-        terms = terms.withColumn("bucket", self._bucket()).repartition("bucket")
-        terms.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/postings/version={version}")
-        pages = rows.select("doc_id", "hash", F.when(F.col("deleted"), 0).otherwise(F.size("ts")).alias("dl"), "deleted", "part")
-        pages.repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{self.folder}/pages/version={version}")
+        rows = _changed(batch, self._pages_log(), version, self.parts).persist()
+        try:
+            sizes = _sizes(rows)
+            if not sizes["n_rows"]:
+                return
+            ts = _texts(batch, rows, self.parts, sizes).select("doc_id", self.tokens("text").alias("ts"))
+            terms = ts.select("doc_id", F.size("ts").alias("dl"), counted(F.col("ts")).alias("index")).persist()
+            try:
+                # a task writes what it holds of each bucket: postings are not shuffled
+                out = terms.select("doc_id", F.inline("index")).select("term", "doc_id", "tf", self._bucket().alias("bucket"))
+                out.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/postings/version={version}")
+                pages = rows.join(terms.select("doc_id", "dl"), "doc_id", "left").select("doc_id", "hash", F.coalesce("dl", F.lit(0)).alias("dl"), "deleted", "part")
+                pages.repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{self.folder}/pages/version={version}")
+            finally:
+                terms.unpersist()
+        finally:
+            rows.unpersist()
 
     def _bucket(self) -> Column:
         return F.pmod(F.hash("term"), F.lit(self.buckets))
@@ -133,7 +166,12 @@ class VectorTable:
     def apply(self, batch: DataFrame, version: int) -> None:
         """Embeds what is new or changed in ``batch(doc_id, text, deleted, seq)``; pages that the embedder gives nothing for get a null vector."""
         work = f"{self.folder}/work/version={version}"
-        _changed(batch, self._log(), version, self.parts).write.mode("overwrite").parquet(work)
+        changed = _changed(batch, self._log(), version, self.parts).persist()
+        try:
+            texts = _texts(batch, changed, self.parts)
+            changed.join(texts, ["part", "doc_id"], "left").write.mode("overwrite").parquet(work)
+        finally:
+            changed.unpersist()
         rows = self.spark.read.parquet(work)
         if rows.isEmpty():
             return
