@@ -8,6 +8,7 @@ from lakequill.functions import text as T
 from lakequill.operators import retrieval as R
 from lakequill.operators import tiles as TI
 from lakequill.plans.registry import SQL, query, tbl
+from lakequill.sources.tables import checkpointed
 
 STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
 TOK = f"list_filter(regexp_extract_all(lower(text), '{T.LATIN}'), lambda w: length(w) > 1 AND w NOT IN ({STOP}))"
@@ -81,7 +82,8 @@ g AS (SELECT item_id, source, row_number() OVER (PARTITION BY item_id ORDER BY r
 
 def _channels(spark, d):
     docs = _docs(spark, d).select("doc_id", "source")
-    b = R.ranked(_scores(spark, d), ["item_id"], _bm(), "br", 0).where("br < 50").select("item_id", "doc_id", "br")
+    # fifty rows a query, used several times: scored once
+    b = checkpointed(R.ranked(_scores(spark, d), ["item_id"], _bm(), "br", 0).where("br < 50").select("item_id", "doc_id", "br"))
     g = b.where("br < 5").join(docs, "doc_id").groupBy("item_id", "source").agg(F.sum(1.0 / (F.col("br") + 1)).alias("w"))
     g = R.ranked(g, ["item_id"], [F.desc(F.round("w", 6)), "source"], "gr", 0).select("item_id", "source", "gr")
     return docs, b, g
