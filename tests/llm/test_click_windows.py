@@ -94,3 +94,14 @@ def test_session_zone_plays_no_part(spark):
         assert spark.conf.get("spark.sql.session.timeZone") == "America/New_York"
     finally:
         spark.conf.set("spark.sql.session.timeZone", was)
+
+
+def test_a_page_is_one_value_and_stores_do_not_stay():
+    import pyarrow as pa
+
+    assert [c.split()[1] for c in click_windows.STATE.split(", ")] == ["binary", "long"]  # no array to convert number by number
+    assert click_windows._SETTINGS["spark.sql.streaming.stateStore.unloadOnCommit"] == "true"
+    rows = [(7, -3, 2, 5, 1, 2**40, bytes(range(32))), (-1, 4, 0, 0, 0, 0, b"\0" * 32)]
+    packed = pa.RecordBatch.from_pydict({"closed": [b"".join(click_windows.CLOSED.pack(*r) for r in rows), b""]})
+    (got,) = click_windows.unpacked([packed])
+    assert [tuple(r.values()) for r in got.to_pylist()] == rows
