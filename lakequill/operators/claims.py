@@ -88,13 +88,15 @@ def one_sided(callouts: DataFrame, mentions: DataFrame, parties: DataFrame) -> D
 
     ``callouts(id, host)``, ``mentions(id, name, is_source)``, ``parties(party, party_type)``. The first callout of a
     host that names a party stands for the pair. The party answers if one of its own callouts names the host, or a
-    source or a page that the first callout names: three joins on equal keys, united by pair, instead of one on an OR.
+    source or a page that the first callout names: one join on equal keys with the rows of all three, instead of one on an OR.
+    What callouts name and the pairs are made once each and read again.
     """
-    named = callouts.join(mentions, "id").join(parties, F.col("name") == F.col("party")).where("party <> host")
-    pair = named.groupBy("host", "party", "party_type").agg(F.min("id").alias("id"))
-    own = callouts.join(mentions, "id").select(F.col("host").alias("party"), "name", "is_source").distinct()
-    back = pair.join(own.select("party", F.col("name").alias("host")).distinct(), ["party", "host"]).select("host", "party")
-    theirs = pair.select("id", "host", "party").join(mentions, "id")
-    shared = theirs.join(own, ["party", "name", "is_source"]).select("host", "party")
-    answered = back.unionByName(shared).distinct()
+    theirs = checkpointed(callouts.join(mentions, "id").select("id", "host", "name", "is_source"))
+    named = theirs.join(parties, F.col("name") == F.col("party")).where("party <> host")
+    pair = checkpointed(named.groupBy("host", "party", "party_type").agg(F.min("id").alias("id")))
+    own = theirs.select(F.col("host").alias("party"), "name", "is_source").distinct()
+    # what an answer may name, a row each: the host, as a page or source of its name, and all that the first callout names
+    asked = pair.select("id", "host", "party").join(theirs.select("id", "name", "is_source"), "id").drop("id")
+    asked = asked.unionByName(pair.select("host", "party", F.col("host").alias("name"), F.explode(F.array(F.lit(False), F.lit(True))).alias("is_source")))
+    answered = asked.join(own, ["party", "name", "is_source"], "left_semi").select("host", "party").distinct()
     return pair.join(answered, ["host", "party"], "left_anti").select("id", "host", "party", "party_type")
