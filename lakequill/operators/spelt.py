@@ -18,17 +18,18 @@ _ONES = "|".join(SMALL[1:10])
 NUMBER = rf"(?:(?:{_ONES}) hundred|(?:{'|'.join(TENS)})[- ](?:{_ONES})|{'|'.join(sorted(WORDS, key=lambda w: (-len(w), w)))})"
 
 
-def _values(words: Column) -> Column:
-    """Values of spelt numbers: words add up, and a hundred multiplies."""
-    of = F.create_map(*(F.lit(x) for w, v in WORDS.items() for x in (w, float(v))))
+#: First letters of the words that a number can begin with: elsewhere the long alternation is not tried.
+_FIRST = "".join(sorted({w[0] for w in WORDS}))
+#: A number, with the scale after it if one follows.
+FOUND = rf"(?i)\b(?=[{_FIRST}])(?:{NUMBER})\b(?:\s+(?:{'|'.join(SCALES)})\b)?"
 
-    def value(w: Column) -> Column:
-        parts = F.split(F.lower(w), "[- ]")
-        known = F.transform(parts, lambda p: F.coalesce(F.try_element_at(of, p), F.lit(0.0)))
-        total = F.aggregate(known, F.lit(0.0), lambda x, y: x + y)
-        return F.when(F.element_at(parts, -1) == "hundred", total * 100).otherwise(total)
 
-    return F.transform(words, value)
+def _value(parts: Column) -> Column:
+    """Value of a spelt number in lower-case words: words add up, and a hundred multiplies."""
+    of = F.create_map(*(F.lit(x) for w, v in WORDS.items() for x in (w, float(v))))
+    known = F.transform(parts, lambda p: F.coalesce(F.try_element_at(of, p), F.lit(0.0)))
+    total = F.aggregate(known, F.lit(0.0), lambda x, y: x + y)
+    return F.when(F.element_at(parts, -1) == "hundred", total * 100).otherwise(total)
 
 
 def _plain(v: Column) -> Column:
@@ -37,9 +38,14 @@ def _plain(v: Column) -> Column:
 
 def spelt_keys(text: Column | str) -> Column:
     """Distinct canonical values of the numbers spelt in a text, with those of a thousand, million or billion after them; a null text gives null."""
-    once = _values(F.regexp_extract_all(text, F.lit(rf"(?i)\b({NUMBER})\b"), F.lit(1)))
-    scaled = rf"(?i)\b({NUMBER})\s+({'|'.join(SCALES)})\b"
     of = F.create_map(*(F.lit(x) for w, v in SCALES.items() for x in (w, float(v))))
-    by = F.transform(F.regexp_extract_all(text, F.lit(scaled), F.lit(2)), lambda s: F.element_at(of, F.lower(s)))
-    large = F.zip_with(_values(F.regexp_extract_all(text, F.lit(scaled), F.lit(1))), by, lambda v, s: v * s)
-    return F.array_distinct(F.transform(F.concat(once, large), _plain))
+
+    def values(found: Column) -> Column:
+        parts = F.split(F.lower(found), r"[-\s]+")
+        scale = F.try_element_at(of, F.element_at(parts, -1))
+        number = _value(F.when(scale.isNull(), parts).otherwise(F.slice(parts, F.lit(1), F.size(parts) - 1)))
+        return F.when(scale.isNull(), F.array(number)).otherwise(F.array(number, number * scale))
+
+    # the scaled numbers are those that a scale follows, so that a text is searched once
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(FOUND), F.lit(0)))
+    return F.array_distinct(F.transform(F.flatten(F.transform(found, values)), _plain))
