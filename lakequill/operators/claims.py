@@ -14,8 +14,11 @@ TOP, EXCERPT, LEAST, STUB = 3, 420, 20, 120
 WORD = r"[A-Za-z0-9][A-Za-z0-9.\-+%]*"
 EAST = r"[\x{3040}-\x{30ff}\x{3400}-\x{9fff}\x{ff66}-\x{ff9f}]+"
 NUMERIC = r"^[0-9.,%±()\-–]+$"
+WHOLE = r"(?<!\S)" + NUMERIC[1:-1] + r"(?!\S)"
 #: The rarest words of a claim that the first round of :func:`best_paragraphs` looks up.
 PROBES = 3
+#: Rows that are sent to all tasks at most.
+SENT_ROWS = 200_000
 
 
 def audit_tokens(text: Column | str) -> Column:
@@ -28,17 +31,22 @@ def audit_tokens(text: Column | str) -> Column:
 
 def table_dump(text: Column | str) -> Column:
     """Under six words, or over 35 of a hundred of them numbers."""
-    words = F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != "")
-    return (F.size(words) < 6) | (F.size(F.filter(words, lambda w: w.rlike(NUMERIC))) / F.size(words) > 0.35)
+    words = F.regexp_count(text, F.lit(r"\S+"))
+    return (words < 6) | (F.regexp_count(text, F.lit(WHOLE)) / words > 0.35)
 
 
 def paragraphs(docs: DataFrame, key: str, text: str, breaks: str = r"\n\s*\n") -> DataFrame:
     """``(key, place, body)``: paragraphs of 20 characters or more that are no dump of a table, white space made single."""
-    parts = docs.select(key, F.posexplode(F.split(text, breaks)).alias("place", "body"))
-    clean = parts.withColumn("body", F.trim(F.regexp_replace("body", r"\s+", " ")))
+    # white space goes before paragraphs become rows; else what is kept of them is made anew for each condition
+    clean = docs.select(key, F.posexplode(F.transform(F.split(text, breaks), lambda b: F.trim(F.regexp_replace(b, r"\s+", " ")))).alias("place", "body"))
     return clean.where((F.length("body") >= LEAST) & ~table_dump("body"))
 
 
+def sent(df: DataFrame) -> DataFrame:
+    """Marks a checkpointed table for sending to all tasks if its counted rows are few enough; else it is joined by shuffling."""
+    return F.broadcast(df) if df.count() <= SENT_ROWS else df
+
+
 def score(overlap: Column, size: Column) -> Column:
     return overlap / F.sqrt(size.cast("double"))
 
@@ -56,31 +64,38 @@ def ranked_within(pairs: DataFrame, by: list[str], order: list[str]) -> DataFram
 def best_paragraphs(claims: DataFrame, paras: DataFrame) -> DataFrame:
     """``(claim, doc_id, place, overlap, score, rank)``: the three best paragraphs of all for each of ``claims(claim, ct)``.
 
-    ``paras(doc_id, place, pt)``. Exact, over an inverted index of the claims' words. A claim's n words stand
-    rarest first. The paragraphs of its rarest words give a score that the third best must reach. A paragraph of L
+    ``paras(doc_id, place, pt)``, read once. Exact, over the claims' words of each paragraph, kept as numbers. A claim's n words
+    stand rarest first. The paragraphs of its rarest words give a score that the third best must reach. A paragraph of L
     words whose rarest shared word is the claim's i-th shares n - i words at most, so it is opened only where
-    (n - i) / sqrt(L) reaches that score: the long lists of common words are cut by length before they are joined.
+    (n - i) / sqrt(L) reaches that score. It is opened by its rarest shared word alone, in the row that has its words,
+    so that pairs are neither made twice nor shuffled; what is sent to all tasks is counted first.
     """
-    wanted = claims.select(F.explode("ct").alias("term")).distinct()
-    index = paras.select("doc_id", "place", F.size("pt").alias("size"), F.explode("pt").alias("term")).join(wanted, "term", "left_semi")
-    index = checkpointed(index)
-    df = index.groupBy("term").agg(F.count("*").alias("df"))
-    words = claims.select("claim", F.size("ct").alias("n"), F.explode("ct").alias("term")).join(df, "term")
-    words = checkpointed(words.withColumn("i", F.row_number().over(W.partitionBy("claim").orderBy("df", "term")) - 1).select("claim", "n", "term", "i"))
-    exact = paras.select("doc_id", "place", "pt")
-
-    def opened(candidates: DataFrame) -> DataFrame:
-        return candidates.distinct().join(claims, "claim").join(exact, ["doc_id", "place"])
-
-    first = ranked_within(opened(index.join(words.where(F.col("i") < PROBES), "term").select("claim", "doc_id", "place")), ["claim"], ["doc_id", "place"])
-    least = checkpointed(first.where(F.col("rank") == TOP).select("claim", F.col("score").alias("least")))
+    wanted = checkpointed(claims.select(F.explode("ct").alias("term")).distinct().withColumn("word", F.monotonically_increasing_id()))
+    # numbered before the words become rows: in one step numbers would be the words'
+    numbered = paras.withColumn("row", F.monotonically_increasing_id())
+    each = numbered.select("row", "doc_id", "place", F.size("pt").alias("size"), F.explode("pt").alias("term"))
+    held = each.join(sent(wanted), "term").groupBy("row", "doc_id", "place", "size").agg(F.collect_list("word").alias("ws"))
+    held = checkpointed(held.select("doc_id", "place", "size", "ws"))
+    df = held.select(F.explode("ws").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    words = claims.select("claim", F.size("ct").alias("n"), F.explode("ct").alias("term")).join(wanted, "term").join(df, "word")
+    words = checkpointed(words.withColumn("i", F.row_number().over(W.partitionBy("claim").orderBy("df", "term")) - 1).select("claim", "n", "word", "i"))
+    asked = words.groupBy("claim").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "word"))), lambda x: x["word"]).alias("cw"))
+
+    def best(lists: DataFrame) -> DataFrame:
+        """The best of the paragraphs that ``lists(word, claim, longest)`` open, each by its rarest shared word."""
+        lists = checkpointed(lists.join(asked, "claim").select("claim", F.col("word").alias("by"), "longest", "cw"))
+        rows = held.select("doc_id", "place", "size", "ws", F.explode("ws").alias("word"))
+        met = rows.join(sent(lists), (F.col("word") == F.col("by")) & (F.col("size") <= F.col("longest")))
+        # an array of one element, so that words are compared once a pair
+        met = met.select("claim", "doc_id", "place", "size", "word", F.explode(F.array(F.array_intersect("cw", "ws"))).alias("both"))
+        met = met.where(F.get("both", F.lit(0)) == F.col("word")).withColumn("overlap", F.size("both"))
+        met = met.select("claim", "doc_id", "place", "overlap", score(F.col("overlap"), F.col("size")).alias("score"))
+        return met.withColumn("rank", F.row_number().over(W.partitionBy("claim").orderBy(F.desc("score"), "doc_id", "place"))).where(F.col("rank") <= TOP)
+
+    first = best(words.where(F.col("i") < PROBES).withColumn("longest", F.lit(1e18)))
+    least = first.where(F.col("rank") == TOP).select("claim", F.col("score").alias("least"))
     bound = words.join(least, "claim", "left").withColumn("least", F.coalesce("least", F.lit(0.0)))
-    # a word is looked up for claims that can still gain by it; its list is cut at the greatest length that any of them allows
-    longest = F.when(F.col("least") > 0, F.pow((F.col("n") - F.col("i")) / F.col("least"), 2) * (1 + 1e-9)).otherwise(F.lit(1e18))
-    bound = bound.withColumn("longest", longest)
-    kept = index.join(bound.groupBy("term").agg(F.max("longest").alias("most")), "term").where("size <= most").drop("most")
-    seconds = kept.join(bound.select("claim", "term", "longest"), "term").where("size <= longest").select("claim", "doc_id", "place")
-    return ranked_within(opened(seconds), ["claim"], ["doc_id", "place"]).select("claim", "doc_id", "place", "overlap", "score", "rank")
+    return best(bound.withColumn("longest", F.when(F.col("least") > 0, F.pow((F.col("n") - F.col("i")) / F.col("least"), 2) * (1 + 1e-9)).otherwise(F.lit(1e18))))
 
 
 def one_sided(callouts: DataFrame, mentions: DataFrame, parties: DataFrame) -> DataFrame:
