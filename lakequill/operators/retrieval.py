@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lakequill.sources.tables import checkpointed
+
 K1, B, RRF = 1.5, 0.75, 60
 #: Distinct query terms that are broadcast at most.
 SENT_TERMS = 200_000
@@ -43,26 +45,42 @@ def bm25(index: DataFrame, stats: DataFrame, queries: DataFrame, key: str, query
     return bm25_parts(index.join(queries.select("term").distinct(), "term", "left_semi"), stats, queries, key, query)
 
 
-def asked_postings(docs: DataFrame, key: str, tokens: Column, queries: DataFrame) -> DataFrame:
-    """``(term, key, tf, dl)`` of the query terms alone, so that other words are left out before the first shuffle.
-
-    Query terms are counted first; up to ``SENT_TERMS`` they are broadcast, beyond that the words are joined by shuffling.
-    """
-    wanted = queries.select("term").distinct()
-    small = wanted.limit(SENT_TERMS + 1).count() <= SENT_TERMS
-    words = docs.select(key, tokens.alias("ts")).select(key, F.size("ts").alias("dl"), F.explode("ts").alias("term"))
-    kept = words.join(F.broadcast(wanted) if small else wanted, "term", "left_semi")
-    return kept.groupBy("term", key, "dl").agg(F.count("*").alias("tf"))
-
-
 def bm25_parts(hits: DataFrame, stats: DataFrame, queries: DataFrame, key: str, query: str) -> DataFrame:
     """:func:`bm25` over ``hits(term, key, tf, dl)``, the postings of all query terms."""
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     asked = queries.groupBy(query, "term").agg(F.count("*").alias("times"))
     hit = hits.join(df, "term").join(asked, "term").crossJoin(F.broadcast(stats))
+    return hit.groupBy(query, key).agg(F.round(F.sum(_part() * F.col("times")), 6).alias("score"))
+
+
+def _part() -> Column:
+    """What one word gives to the score of a document."""
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return hit.groupBy(query, key).agg(F.round(F.sum(part * F.col("times")), 6).alias("score"))
+    return idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+
+
+def scored(docs: DataFrame, key: str, tokens: Column, queries: DataFrame, query: str) -> DataFrame:
+    """:func:`bm25` of ``docs`` whose texts are read and cut into words once.
+
+    Each document gives its counts of the queries' words, as numbers, and one row for itself under number nought, of
+    which the collection's row is made. The counts lie together by document, so that a score is summed where they lie:
+    pairs of query and document are not shuffled. The queries' words are counted; up to ``SENT_TERMS`` they are broadcast.
+    """
+    wanted = checkpointed(queries.select("term").where("term is not null").distinct().select("term", (F.monotonically_increasing_id() + 1).alias("word")))
+    few = wanted.count() <= SENT_TERMS
+    own = wanted.select("term", "word").unionByName(docs.sparkSession.createDataFrame([("", 0)], "term string, word long"))
+    none = F.array().cast("array<string>")
+    words = docs.select(key, tokens.alias("ts")).select(key, F.size("ts").alias("dl"), F.explode(F.concat(F.array(F.lit("")), F.coalesce("ts", none))).alias("term"))
+    held = words.join(F.broadcast(own) if few else own, "term").groupBy(key, "dl", "word").agg(F.count("*").alias("tf"))
+    held = checkpointed(held)
+    stats = held.where("word = 0").agg(F.sum("tf").alias("n_docs"), (F.sum(F.col("dl").cast("long") * F.col("tf")) / F.sum(F.when(F.col("dl").isNotNull(), F.col("tf")))).alias("avgdl"))
+    stats = stats.select("n_docs", F.when(F.coalesce("avgdl", F.lit(0.0)) == 0, 1.0).otherwise(F.col("avgdl")).alias("avgdl"))
+    hits = held.where("word > 0")
+    df = hits.groupBy("word").agg(F.count("*").alias("df"))
+    asked = queries.groupBy(query, "term").agg(F.count("*").alias("times")).join(wanted, "term").join(df, "word").crossJoin(stats)
+    asked = checkpointed(asked.select(query, "word", "times", "n_docs", "avgdl", "df"))
+    hit = hits.repartition(key).join(F.broadcast(asked) if asked.count() <= SENT_TERMS else asked, "word")
+    return hit.groupBy(query, key).agg(F.round(F.sum(_part() * F.col("times")), 6).alias("score"))
 
 
 def ranked(df: DataFrame, by: list, order: list, name: str = "rank", base: int = 1) -> DataFrame:

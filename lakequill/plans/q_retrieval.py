@@ -31,7 +31,7 @@ def _docs(spark, d):
 def _scores(spark, d):
     docs, toks = _docs(spark, d), T.latin_tokens("text")
     asked = R.token_rows(tbl(spark, d, "benchmark"), "item_id", toks)
-    return R.bm25_parts(R.asked_postings(docs, "doc_id", toks, asked), R.collection(docs, toks), asked, "doc_id", "item_id")
+    return R.scored(docs, "doc_id", toks, asked, "item_id")
 
 
 def _bm():
