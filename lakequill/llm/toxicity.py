@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakequill.llm.common import checkpointed
+from lakequill.llm.common import checkpointed, released
 
 DECAY, SPAN = 0.6, 6
 #: Labelled documents of each class that training takes at most.
@@ -258,10 +258,8 @@ def sentences(text: str) -> list[list[str]]:
 
 def _cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(sentences, toxic) of each labelled text."""
-    for b in batches:
-        for lo in range(0, b.num_rows, _ROWS):
-            part = b.slice(lo, _ROWS)
-            yield pa.RecordBatch.from_arrays([pa.array([sentences(t) for t in part.column(0).to_pylist()], pa.list_(pa.list_(pa.string()))), part.column(1)], names=["sentences", "toxic"])
+    for part in slices(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([sentences(t) for t in part.column(0).to_pylist()], pa.list_(pa.list_(pa.string()))), part.column(1)], names=["sentences", "toxic"])
 
 
 def inserted(word: str) -> list[str]:
@@ -282,7 +280,7 @@ def _odds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held[k].clear()
         size[k] = 0
 
-    for b in batches:
+    for b in slices(batches):
         for cut, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             for s in cut:
                 held[toxic].extend(s)
@@ -314,6 +312,14 @@ def examples(cut: list[list[str]], toxic: int, weights: np.ndarray, bias: float
     return [(w, of[w]) for w in dict.fromkeys([*strongest, *lot])]
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of ``_ROWS`` rows, so that few rows at a time are Python objects; what another operator left in the worker goes first."""
+    released()
+    for b in batches:
+        for lo in range(0, b.num_rows, _ROWS):
+            yield b.slice(lo, _ROWS)
+
+
 def held_out(key: str = "doc_id"):
     return F.crc32(F.encode(F.col(key).cast("string"), "UTF-8")) % 5 == 0
 
@@ -326,7 +332,7 @@ def _examples(rows: DataFrame, purer: DataFrame, weights: np.ndarray, bias: floa
     shared = rows.sparkSession.sparkContext.broadcast((weights, bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             out = [(w, t, v) for cut, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for w, v in examples(cut, t, *shared.value)]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.string(), pa.int32(), pa.float64()))], names=["word", "toxic", "value"])
 
@@ -383,7 +389,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     table = spark.sparkContext.broadcast(weights)
 
     def value(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             v = document_values([t or "" for t in b.column(0).to_pylist()], table.value) + bias
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(v, -3.0)), b.column(1)], names=["value", "toxic"])
 
@@ -406,11 +412,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo in range(0, b.num_rows, _ROWS):
-                part = b.slice(lo, _ROWS)
-                s = shared.value.score([t or "" for t in part.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s, pa.float64())], names=["doc_id", "score"])
+        for part in slices(batches):
+            s = shared.value.score([t or "" for t in part.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s, pa.float64())], names=["doc_id", "score"])
 
     scored = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -421,10 +425,8 @@ def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo in range(0, b.num_rows, _ROWS):
-                part = b.slice(lo, _ROWS)
-                s = shared.value.score([t or "" for t in part.column(part.schema.get_field_index("text")).to_pylist()])
-                yield part.filter(pa.array(s < 0.5))
+        for part in slices(batches):
+            s = shared.value.score([t or "" for t in part.column(part.schema.get_field_index("text")).to_pylist()])
+            yield part.filter(pa.array(s < 0.5))
 
     return docs.mapInArrow(run, docs.schema)
