@@ -46,6 +46,25 @@ def neighbourhood(adj: DataFrame) -> DataFrame:
     return one.unionByName(two)
 
 
+def neighbours(adj: DataFrame) -> DataFrame:
+    """``(seed, page, score)`` of the pages one hop away, over ``adj(a, b, w)`` both ways; scores as in :func:`neighbourhood`."""
+    return adj.select(F.col("a").alias("seed"), F.col("b").alias("page"), "w").join(damping(adj), "page").select("seed", "page", (F.col("w") / F.col("damp")).alias("score"))
+
+
+def damping(adj: DataFrame) -> DataFrame:
+    return adj.groupBy(F.col("a").alias("page")).agg(F.count("*").alias("deg")).select("page", log2_udf(F.col("deg") + 2).alias("damp"))
+
+
+def second_hop(first: DataFrame, second: DataFrame, near: DataFrame, on: list[str]) -> DataFrame:
+    """``(seed, page, strength)`` of pages two hops away and not in ``near(seed, page)``, from ``first(seed, mid, w1)`` and ``second(mid, page, w)``.
+
+    ``on`` has ``mid`` and what else the two must share, so that pairs which nobody asks for are not made. A page
+    comes by its strongest way, of which the strength alone is kept, added up where the ways are made.
+    """
+    ways = first.join(second, on).where("seed <> page").groupBy("seed", "page").agg(F.max(F.col("w1") * F.col("w") * DECAY).alias("strength"))
+    return ways.join(near.select("seed", "page"), ["seed", "page"], "left_anti")
+
+
 def opponents(callouts: DataFrame) -> DataFrame:
     """``(seed, page, open)`` from ``callouts(id, host, page, open)`` with a row per page that a callout names.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lakequill.operators import related as R
 from lakequill.plans.registry import SQL, query, tbl
+from lakequill.sources.tables import discard, stored
 
 # an urgent order links the parts of its first two lines, and the first part with its supplier
 GRAPH = """u AS (SELECT l_orderkey AS o, l_partkey AS pk, l_suppkey AS sk, l_returnflag AS rf, l_linestatus AS ls, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderpriority = '1-URGENT'),
@@ -21,16 +22,29 @@ near AS (SELECT * FROM d1 UNION ALL SELECT seed, page, dist, score, pred, list_c
 CALLED = "co AS (SELECT o AS id, f AS host, g AS page, ls = 'O' AS open FROM h WHERE rf = 'R'), nm AS (SELECT * FROM co WHERE page IS NOT NULL), op AS (SELECT seed, page, bool_or(open) AS open FROM (SELECT host AS seed, page, open FROM nm UNION ALL SELECT page, host, open FROM nm) WHERE seed <> page GROUP BY ALL)"
 
 
-def _graph(spark, d):
+def _orders(spark, d):
+    """A row an urgent order, with its first two lines."""
     urgent = tbl(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("o"))
-    li = tbl(spark, d, "lineitem").select(F.col("l_orderkey").alias("o"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus").alias("x")).join(urgent, "o")
+    line = ["l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus"]
+    li = tbl(spark, d, "lineitem").select(F.col("l_orderkey").alias("o"), *line).join(urgent, "o").select("o", F.struct(*line).alias("x"))
     two = li.groupBy("o").agg(F.slice(F.sort_array(F.collect_list("x")), 1, 2).alias("x"))  # the lines of an order are few
     one, other = F.col("x")[0], F.try_element_at("x", F.lit(2))
     name = lambda p, c: F.concat(F.lit(p), c.cast("string"))
-    h = two.select("o", name("p", one["l_partkey"]).alias("f"), name("p", other["l_partkey"]).alias("g"), name("s", one["l_suppkey"]).alias("s1"), name("s", other["l_suppkey"]).alias("s2"), one["l_returnflag"].alias("rf"), one["l_linestatus"].alias("ls"))
+    return two.select("o", name("p", one["l_partkey"]).alias("f"), name("p", other["l_partkey"]).alias("g"), name("s", one["l_suppkey"]).alias("s1"), name("s", other["l_suppkey"]).alias("s2"), one["l_returnflag"].alias("rf"), one["l_linestatus"].alias("ls"))
+
+
+def _links(h):
     e0 = h.where("f <> g").select("o", F.col("f").alias("x"), F.col("g").alias("y")).unionByName(h.select("o", F.col("f").alias("x"), F.col("s1").alias("y")))
-    und = e0.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count("*").cast("double").alias("w"), F.slice(F.sort_array(F.collect_set("o")), 1, 8).alias("sources"))
-    return h, und.unionByName(und.select(F.col("b").alias("a"), F.col("a").alias("b"), "w", "sources"))
+    return e0.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def _both_ways(und):
+    return und.unionByName(und.select(F.col("b").alias("a"), F.col("a").alias("b"), *und.columns[2:]))
+
+
+def _graph(spark, d):
+    h = _orders(spark, d)
+    return h, _both_ways(_links(h).agg(F.count("*").cast("double").alias("w"), F.slice(F.sort_array(F.collect_set("o")), 1, 8).alias("sources")))
 
 
 def _callouts(h):
@@ -77,9 +91,15 @@ SELECT seed, role, CAST(place AS INTEGER) AS place, page, NULL AS reason FROM ch
 UNION ALL SELECT seed, role, 0, NULL, CASE role WHEN 'contradiction' THEN CASE WHEN seed IN (SELECT seed FROM tc WHERE seed IS NOT NULL) THEN 'no-opponent' ELSE 'no-callout' END WHEN 'evidence' THEN 'no-source' WHEN 'definition' THEN 'no-concept-neighbor' ELSE coalesce(fixed, 'no-nearby-cluster-peer') END
 FROM sd, (VALUES ('contradiction'), ('evidence'), ('definition'), ('cluster')) v(role) WHERE NOT EXISTS (SELECT 1 FROM ch WHERE ch.seed = sd.seed AND ch.role = v.role)"""))
 def role_typed(spark, d):
-    """Every part's related pages in four roles, and why a role is empty."""
-    h, adj = _graph(spark, d)
-    near, (callouts, named) = R.neighbourhood(adj).drop("via", "pred"), _callouts(h)
+    """Every part's related pages in four roles, and why a role is empty.
+
+    Of the pages two hops away only those are made that a role asks for: of the part's own cluster, and of parts
+    with fewer than two concepts beside them. Orders, links and each role are stored, so that no two steps hold disk together.
+    """
+    h = stored(_orders(spark, d))
+    und, (callouts, named) = stored(_links(h).agg(F.count("*").cast("double").alias("w"))), _callouts(h)
+    adj = _both_ways(und)
+    near = stored(R.neighbours(adj).where("seed like 'p%'"))
     part, sup = tbl(spark, d, "part"), tbl(spark, d, "supplier")
     fixed = F.when(F.col("p_size") <= 2, "not-on-backbone").when(F.col("p_size") >= 49, "seed")
     parts = part.select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("page"), F.col("p_name").alias("title"), F.col("p_brand").alias("c"), fixed.alias("fixed"))
@@ -99,17 +119,24 @@ def role_typed(spark, d):
 
     related = listed(h.where("g is not null").select(F.col("f").alias("seed"), F.col("g").alias("page"), "o"), "rr")
     sources = listed(h.where("g is not null").select(F.col("g").alias("seed"), F.col("s2").alias("page"), "o"), "sr")
-    none = [F.lit(None).cast("int").alias("dist"), F.lit(None).cast("string").alias("title")]
-    ps = [R.ordered(R.opponents(named).select("seed", "page", "open", *none), "contradiction", [F.desc("open"), "page"])]
-    ev = near.where("dist = 1 and page like 's%'").select("seed", "page").unionByName(sources.select("seed", "page")).distinct().join(seeds.select("seed", "s_title"), "seed")
-    ev = ev.join(title.drop("c"), "page").join(sources, ["seed", "page"], "left").join(near.select("seed", "page", "score", "dist"), ["seed", "page"], "left")
+    no_dist, no_title = F.lit(None).cast("int").alias("dist"), F.lit(None).cast("string").alias("title")
+    ps = [R.ordered(R.opponents(named).select("seed", "page", "open", no_dist, no_title), "contradiction", [F.desc("open"), "page"])]
+    # a source that was cited has a place of its own, so that scores order the pages beside the seed alone
+    ev = near.where("page like 's%'").select("seed", "page").unionByName(sources.select("seed", "page")).distinct().join(seeds.select("seed", "s_title"), "seed")
+    ev = ev.join(title.drop("c"), "page").join(sources, ["seed", "page"], "left").join(near, ["seed", "page"], "left").select("*", no_dist)
     needle = F.when((F.length("s_title") >= R.NEEDLE) & F.contains(F.lower("title"), F.lower("s_title")), 0).otherwise(1)
-    ps.append(R.ordered(ev, "evidence", [needle, F.coalesce("sr", far), -F.coalesce("score", F.lit(0.0)), "page"]))
-    concepts = near.where("page like 'p%'")
-    k = concepts.groupBy("seed").agg(F.count_if(F.col("dist") == 1).alias("k"))
-    de = concepts.join(k, "seed").where("dist = 1 or k < 2").join(related, ["seed", "page"], "left").withColumn("title", F.lit(None).cast("string"))
+    ps.append(R.ordered(ev, "evidence", [needle, F.coalesce("sr", far), -F.coalesce("score", F.lit(0.0)), "page"]).withColumn("title", no_title))
+    beside = near.where("page like 'p%'")
+    first, second = adj.where("a like 'p%'").select(F.col("a").alias("seed"), F.col("b").alias("mid"), F.col("w").alias("w1")), adj.where("b like 'p%'").select(F.col("a").alias("mid"), F.col("b").alias("page"), "w")
+    many = beside.groupBy("seed").agg(F.count("*").alias("k")).where("k >= 2")
+    more = R.second_hop(first.join(many, "seed", "left_anti"), second, beside, ["mid"]).join(R.damping(adj), "page").select("seed", "page", (F.col("strength") / F.col("damp")).alias("score"))
+    de = beside.unionByName(more).join(related, ["seed", "page"], "left").select("*", no_dist, no_title)
     ps.append(R.ordered(de, "definition", [F.coalesce("rr", far), -F.col("score"), "page"]))
-    cl = concepts.join(seeds.select("seed", F.col("c").alias("sc")), "seed").join(title, "page").where("c = sc").join(count, "page", "left")
+    of = parts.where("c is not null").select("page", "c").distinct()
+    same = R.second_hop(first.join(of.withColumnRenamed("page", "seed"), "seed"), second.join(of, "page"), beside, ["mid", "c"]).select("seed", "page", F.lit(2).alias("dist"))
+    concepts = beside.select("seed", "page", F.lit(1).alias("dist")).unionByName(same)
+    cl = concepts.join(seeds.where("fixed is null").select("seed", F.col("c").alias("sc")), "seed").join(title, "page").where("c = sc").join(count, "page", "left")
     ps.append(R.ordered(cl, "cluster", ["dist", -F.coalesce("in_count", F.lit(0.0)), "page"]))
-    everyone = ps[0].unionByName(ps[1]).unionByName(ps[2]).unionByName(ps[3])
-    return R.assign(seeds.select("seed", "label", "fixed", "called"), everyone)
+    ps, row = [stored(p) for p in ps], stored(seeds.select("seed", "label", "fixed", "called"))
+    discard(h, und, near)
+    return R.assign(row, ps[0].unionByName(ps[1]).unionByName(ps[2]).unionByName(ps[3]))
